@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import sql
+from provena.llm import bpe, mixing, packing, sql
 from provena.llm.common import table
 from provena.llm.quotations import link_quotations
 from provena.llm.secrets import scan_secrets
@@ -29,6 +31,25 @@ def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
 
 
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A vocabulary file of the public tokenizers; PROVENA_TOKENIZERS names another folder that holds them."""
+    if folder := os.environ.get("PROVENA_TOKENIZERS"):
+        return os.path.join(folder, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lexicon = bpe.build_lexicon(docs, tokenizer_path())
+    rows = bpe.encode(docs, tokenizer_path(), lexicon)
+    return rows.select(
+        "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"),
+    )
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -37,11 +58,24 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = mixing.score(docs, ~mixing.held_out(F.col("doc_id")))
+    return scored.select("doc_id", mixing.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op4_quotation_links": op4_quotation_links,
+    "op5_bpe": op5_bpe,
     "op7_url_filter": op7_url_filter,
     "op8_secret_scan": op8_secret_scan,
+    "op9_packing": op9_packing,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 ORACLE_SQL = {
