@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +41,14 @@ def doc_hash_remainder(doc_id: Column, modulus: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Maximal runs of bytes other than space and tab to carriage return (bytes.split's own set)."""
-    return text.encode("utf-8", "surrogatepass").split() if text else []
+def numbered_words(texts: list[str]) -> tuple[list[bytes], np.ndarray, np.ndarray, list[bytes]]:
+    """(distinct words, number of each word in order, words in each text, texts in bytes) of a block of texts.
+
+    Words are maximal runs of bytes other than space and tab to carriage return, bytes.split's own set.
+    """
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    split = [b.split() for b in raw]
+    number = {w: i for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    flat = np.fromiter((number[w] for ws in split for w in ws), np.int64, int(sizes.sum()))
+    return list(number), flat, sizes, raw

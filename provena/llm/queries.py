@@ -7,8 +7,9 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import bpe, mixing, packing, sql
+from provena.llm import bpe, classifier, mixing, packing, quality_rules, sql
 from provena.llm.common import table
+from provena.llm.dartminhash import near_duplicates
 from provena.llm.quotations import link_quotations
 from provena.llm.secrets import scan_secrets
 from provena.llm.topk import exact_topk, integer_vectors
@@ -27,6 +28,14 @@ def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk(vectors.filter(F.pmod("vec_id", F.lit(50)) == 0), vectors, k=5)
 
 
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_quotations(table(spark, sf_dir, "conversations"))
 
@@ -50,6 +59,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
@@ -70,8 +83,11 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_topk": op1_topk,
+    "op2_quality_rules": op2_quality_rules,
+    "op3_quality_classifier": op3_quality_classifier,
     "op4_quotation_links": op4_quotation_links,
     "op5_bpe": op5_bpe,
+    "op6_near_duplicates": op6_near_duplicates,
     "op7_url_filter": op7_url_filter,
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,

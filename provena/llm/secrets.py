@@ -140,3 +140,11 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def redact_secrets(docs: DataFrame) -> DataFrame:
     """The same rows and columns with every span of `text` replaced by a mark naming its kind; null stays null."""
     return docs.mapInArrow(_redact, docs.schema)
+
+
+def without_secrets(docs: DataFrame) -> DataFrame:
+    """redact_secrets, with n_chars, where there is such a column, brought up to date."""
+    clean = redact_secrets(docs)
+    if "n_chars" in clean.columns:
+        clean = clean.withColumn("n_chars", F.coalesce(F.length("text").cast(clean.schema["n_chars"].dataType), F.col("n_chars")))
+    return clean
