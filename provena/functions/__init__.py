@@ -1 +1 @@
-
+"""Column functions: text, vectors and hashes."""

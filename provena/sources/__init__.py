@@ -1 +1 @@
-
+"""Reading and writing of evidence files."""
