@@ -30,10 +30,12 @@ from provena.llm.common import materialize
 
 LEXICON_WORDS = 65_536  # most words of the automaton
 LEXICON_BYTES = 32  # longest word of the automaton
-MEMO = 400_000  # texts between white space that a worker remembers
+MEMO = 800_000  # texts between white space that a worker remembers
 SLICE = 1_000_000  # code points of a text handled at once
 BLOCK = 4_000_000  # code points of a block of texts
 
+NONE = 1 << 60  # stands for a pair that is never merged
+
 SPECIAL = re.compile(r"(<\|startoftext\|>|<\|endoftext\|>)")
 _SPACE = "\t-\r \x85\xa0"
 
@@ -74,13 +76,16 @@ class Vocabulary:
         self.from_letter = {c: b for b, c in enumerate(letters)}
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         self.merges = {ids[a] << 20 | ids[b]: rank << 20 | ids[a + b] for rank, (a, b) in enumerate(pairs)}
+        known = np.array(sorted(self.merges.items()), np.int64).reshape(-1, 2)
+        self.pairs, self.values = known[:, 0].copy(), np.append(known[:, 1], NONE)
+        self.first_symbols, self.last_symbols = np.array(self.inner, np.int64), np.array(self.last, np.int64)
 
     def merge(self, word: bytes) -> list[int]:
         """Ids of one word."""
         symbols = [self.inner[b] for b in word[:-1]] + [self.last[word[-1]]]
         if len(symbols) > 256:
             return self._merge_long(symbols)
-        get, none = self.merges.get, 1 << 60
+        get, none = self.merges.get, NONE
         found = [get(a << 20 | b, none) for a, b in zip(symbols, symbols[1:])]  # noqa: B905
         while found and (least := min(found)) != none:
             at = found.index(least)
@@ -113,6 +118,61 @@ class Vocabulary:
         return [x for x, dead in zip(s, gone, strict=True) if not dead]
 
 
+    def _values(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a << 20 | b
+        at = np.searchsorted(self.pairs, key)
+        at[at == len(self.pairs)] = 0
+        return np.where(self.pairs[at] == key, self.values[at], NONE) if len(self.pairs) else np.full(len(key), NONE)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """Ids of many words at once, as bytes: every round makes each word's next merge."""
+        out: list[bytes] = [b""] * len(words)
+        short = []
+        for i, w in enumerate(words):
+            if len(w) <= 256:
+                short.append(i)
+            else:
+                out[i] = np.array(self.merge(w), np.uint32).tobytes()
+        if not short:
+            return out
+        size = np.fromiter((len(words[i]) for i in short), np.int64, len(short))
+        flat = np.frombuffer(b"".join([words[i] for i in short]), np.uint8)
+        ends = np.cumsum(size) - 1
+        symbol = self.first_symbols[flat]
+        symbol[ends] = self.last_symbols[flat[ends]]
+        value = np.append(self._values(symbol[:-1], symbol[1:]), NONE)
+        value[ends] = NONE
+        which, owner = np.array(short), np.repeat(np.arange(len(short)), size)  # words still open; the word of each symbol
+        while len(which):
+            starts = np.cumsum(size) - size
+            least = np.minimum.reduceat(value, starts)
+            done = least == NONE
+            if done.any():
+                gone = done[owner]
+                ids, at = symbol[gone].astype(np.uint32).tobytes(), 0
+                for i, n in zip(which[done].tolist(), (size[done] * 4).tolist(), strict=True):
+                    out[i] = ids[at : at + n]
+                    at += n
+                which, size, least = which[~done], size[~done], least[~done]
+                symbol, value = symbol[~gone], value[~gone]
+                owner = np.repeat(np.arange(len(which)), size)
+                if not len(which):
+                    break
+            hit = np.flatnonzero(value == least[owner])
+            hit = hit[np.append(True, owner[hit[1:]] != owner[hit[:-1]])]  # the leftmost of each word
+            symbol[hit] = least & 0xFFFFF
+            stay = np.ones(len(symbol), bool)
+            stay[hit + 1] = False
+            symbol, value, owner, size = symbol[stay], value[stay], owner[stay], size - 1
+            hit -= np.arange(len(hit))
+            value[hit] = NONE
+            after = hit[(hit + 1 < len(owner)) & (owner[np.minimum(hit + 1, len(owner) - 1)] == owner[hit])]
+            before = hit[(hit > 0) & (owner[hit - 1] == owner[hit])] - 1
+            for at in (after, before):
+                value[at] = self._values(symbol[at], symbol[at + 1])
+        return out
+
+
 class Lexicon:
     """The automaton: transitions sorted by (state, byte), each with target and number, and the words' ids."""
 
@@ -240,26 +300,30 @@ class Encoder:
     def words(self, key: str) -> list[bytes]:
         if key[0] == "\t":
             return [bytes(self.vocab.from_letter[c] for c in key[1:])]
+        if key.isalpha():
+            return [key.encode()]
         return [w.encode("utf-8", "surrogatepass") for w in WORD.findall(key)]
 
     def learn(self, keys: set[str]) -> None:
         """Put the ids of new keys into the memo."""
         if len(self.memo) + len(keys) > MEMO:
             self.memo.clear()
-        memo, pack = self.memo, lambda ids: np.array(ids, np.uint32).tobytes()
-        parts = {k: self.words(k) for k in keys if k not in memo and k[0] != "\n"}
+        memo, parts = self.memo, {}
         for k in keys:
+            if k in memo:
+                continue
             if k[0] == "\n":
-                memo[k] = pack([self.vocab.special[k[1:]]])
+                memo[k] = np.array([self.vocab.special[k[1:]]], np.uint32).tobytes()
+            else:
+                parts[k] = self.words(k)
+        new = list({w for ws in parts.values() for w in ws})
         found: dict[bytes, bytes] = {}
         if self.lexicon:
-            new = list({w for ws in parts.values() for w in ws})
             found = {w: ids for w, ids in zip(new, self.lexicon.lookup(new), strict=True) if ids is not None}
-        merge = self.vocab.merge
+            new = [w for w in new if w not in found]
+        for i in range(0, len(new), 20_000):
+            found.update(zip(new[i : i + 20_000], self.vocab.merge_many(new[i : i + 20_000]), strict=True))
         for k, ws in parts.items():
-            for w in ws:
-                if w not in found:
-                    found[w] = pack(merge(w))
             memo[k] = found[ws[0]] if len(ws) == 1 else b"".join([found[w] for w in ws])
 
     def encode(self, text: str) -> bytes:
@@ -284,7 +348,7 @@ class Encoder:
         memo, out = self.memo, []
         for text, keys in zip(texts, split, strict=True):
             try:
-                out.append(self.encode(text) if keys is None else b"".join([memo[k] for k in keys]))
+                out.append(self.encode(text) if keys is None else b"".join(map(memo.__getitem__, keys)))
             except KeyError:  # a memo emptied on the way
                 out.append(self.encode(text))
         return out
