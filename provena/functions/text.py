@@ -55,7 +55,7 @@ def pin_list(text: Column) -> Column:
 
 def pin_residue(text: Column) -> Column:
     """What is left of a pin line without its entries; a well-formed line leaves nothing."""
-    return F.trim(F.regexp_replace(text, r"[A-Za-z][A-Za-z0-9_]*\s*:\s*\d+", ""))
+    return F.regexp_replace(text, r"[A-Za-z][A-Za-z0-9_]*\s*:\s*\d+|\s+", "")
 
 
 def _side(value: Column, lower: Column, upper: Column) -> Column:
