@@ -50,7 +50,7 @@ def catalog(cases: DataFrame) -> DataFrame:
 
 def without_foreign_pins(items: DataFrame, history_pins: Column, current_pins: Column) -> DataFrame:
     """Drop causes that name a pin of the historical case which the current one lacks; ordinals keep their gaps."""
-    named = lambda p: F.col("text").rlike(F.concat(F.lit(r"\b"), p, F.lit(r"\b")))
+    named = lambda p: F.rlike(F.col("text"), F.concat(F.lit(r"\b"), p, F.lit(r"\b")))
     foreign = F.exists(F.array_except(history_pins, current_pins), named)
     return items.filter((F.col("kind") != "cause") | ~foreign)
 
@@ -65,7 +65,7 @@ def alias_catalog(items: DataFrame, by: list[str], order: list[str]) -> DataFram
 def resolve_aliases(picks: DataFrame, catalog_: DataFrame, key: str, ids: str) -> DataFrame:
     """One row per picked alias in its order, joined with the catalog; known is false where the catalog lacks it."""
     rows = picks.select(key, F.posexplode(ids).alias("_at", "alias")).withColumn("pos", F.col("_at") + 1).drop("_at")
-    return rows.join(catalog_.withColumn("_k", F.lit(True)), [key, "alias"], "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_k")
+    return rows.join(catalog_.drop("pos").withColumn("_k", F.lit(True)), [key, "alias"], "left").withColumn("known", F.coalesce("_k", F.lit(False))).drop("_k")
 
 
 def facts(cases: DataFrame) -> DataFrame:
@@ -86,7 +86,7 @@ def applicable(test_number: Column, direction: Column, cause_direction: Column)
 
 def foreign_pin_mentions(text: Column, pins: Column, current: Column) -> Column:
     """Known pins that a text names, in any letter case, and the current failure lacks."""
-    named = F.filter(pins, lambda p: F.lower(text).rlike(F.concat(F.lit(r"(?<![a-z0-9_])"), F.lower(p), F.lit(r"(?![a-z0-9_])"))))
+    named = F.filter(pins, lambda p: F.rlike(F.lower(text), F.concat(F.lit(r"(?<![a-z0-9_])"), F.lower(p), F.lit(r"(?![a-z0-9_])"))))
     return F.array_except(F.transform(named, lambda p: F.upper(p)), F.transform(current, lambda p: F.upper(p)))
 
 
