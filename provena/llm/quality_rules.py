@@ -25,7 +25,7 @@ from provena.llm.common import materialize, numbered_words
 LANGUAGES = 16  # most references; a language with fewer than a hundredth of the documents has none
 COMMON = 200  # words of a reference
 CHAR_GUARD, WORD_GUARD = 100, 50  # least code points and words for the two comparisons
-CHAR_LIMIT, WORD_LIMIT = 0.25, 0.6  # distances from which a document is rejected
+CHAR_LIMIT, WORD_LIMIT = 0.32, 0.6  # distances from which a document is rejected
 WINDOW = 8  # words in a repeated passage
 SPACE, SYMBOL = 0, 1
 CLASSES = 9
