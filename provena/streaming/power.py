@@ -10,9 +10,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def attribute(samples: DataFrame, cases: DataFrame) -> DataFrame:
-    """Stream-static join: each sample (ts, watts) with the cases whose time span [begun, ended) holds it."""
-    return samples.join(F.broadcast(cases), (F.col("ts") >= F.col("begun")) & (F.col("ts") < F.col("ended")))
+def attribute(samples: DataFrame, cases: DataFrame, bucket_seconds: int = 3600) -> DataFrame:
+    """Stream-static range join: each sample (ts, watts) with the cases whose time span [begun, ended) holds it.
+
+    Spans are spread over the hours that they touch, so that the join has an equality on the hour and needs no
+    broadcast; the exact bounds are checked after it.
+    """
+    hour = lambda c: F.floor(F.unix_timestamp(c) / bucket_seconds)
+    spread = cases.withColumn("_hour", F.explode(F.sequence(hour("begun"), hour("ended"))))
+    near = samples.withColumn("_hour", hour("ts")).join(spread, "_hour").drop("_hour")
+    return near.filter((F.col("ts") >= F.col("begun")) & (F.col("ts") < F.col("ended")))
 
 
 def windowed(samples: DataFrame, by: str, value: str, every: str = "1 hour", late: str = "2 hours") -> DataFrame:

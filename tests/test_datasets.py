@@ -112,8 +112,8 @@ def test_sinks(spark, tmp_path):
     with pytest.raises(ContractError):
         sinks.outside("/data/in/out", "/data/in")
     sinks.outside("/data/out", "/data/in")
-    a, b = sinks.content_hash(df, ["id"]).first(), sinks.content_hash(df.repartition(3), ["id"]).first()
-    assert a == b and a["n"] == 2
+    a, b = sinks.content_hash(df).first(), sinks.content_hash(df.repartition(3)).first()
+    assert a == b and a["n"] == 2 and sinks.content_hash(df.withColumn("a", F.lit("z"))).first()["sha256"] != a["sha256"]
     sinks.append_audit(df.withColumn("run_id", F.lit("r1")), f"{tmp_path}/audit")
     sinks.append_audit(df.withColumn("run_id", F.lit("r2")), f"{tmp_path}/audit")
     assert spark.read.parquet(f"{tmp_path}/audit").filter("run_id = 'r2'").count() == 2
