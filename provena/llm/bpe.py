@@ -30,7 +30,7 @@ from provena.llm.common import materialize
 
 LEXICON_WORDS = 65_536  # most words of the automaton
 LEXICON_BYTES = 32  # longest word of the automaton
-MEMO = 800_000  # texts between white space that a worker remembers
+MEMO = 500_000  # texts between white space that a worker remembers
 SLICE = 1_000_000  # code points of a text handled at once
 BLOCK = 4_000_000  # code points of a block of texts
 
@@ -390,7 +390,7 @@ def vocabulary_bytes(path: str) -> bytes:
 
 
 def _count_words(content: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    maker = Encoder(content)
+    maker = encoder(content)
     counts: Counter[str] = Counter()
 
     def flush() -> pa.RecordBatch:
@@ -405,7 +405,7 @@ def _count_words(content: bytes, batches: Iterator[pa.RecordBatch]) -> Iterator[
     for _, texts in blocks(batches):
         for t in texts:
             counts.update(maker.chunks(t))
-        if len(counts) > 400_000:
+        if len(counts) > 250_000:
             yield flush()
     yield flush()
 

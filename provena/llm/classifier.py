@@ -58,7 +58,7 @@ class Hasher:
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the cores and of the shapes."""
         memo = self.memo
-        if len(memo) > 500_000:
+        if len(memo) > 200_000:
             memo.clear()
         small = lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")
         for w in words:

@@ -33,8 +33,9 @@ BANDS, ROWS = 25, 5
 K = BANDS * ROWS
 DARTS = K * np.log(K) + 2 * K  # thrown on average before coordinates are looked at
 FIRST = 6  # the first stretch is [0, 2**-FIRST), the n-th one ends at 2**(n - FIRST)
-AGREE = 0.62  # share of equal coordinates below which similarity cannot be 0.8 (five deviations)
-SIDE = 256  # texts on each side of a block of comparisons
+SIDE = 512  # texts on each side of a block of comparisons
+GROUP_BYTES = 16_000_000  # of regions in a group of blocks, about
+COLUMNS = 8192  # regions multiplied at once
 
 _C = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
 _S = [np.uint64(x) for x in (30, 27, 31, 32, 11)]
@@ -75,7 +76,7 @@ class Shingler:
         try:
             ids = np.fromiter([memo[w] for w in ws], np.uint64, len(ws))
         except KeyError:
-            if len(memo) > 500_000:
+            if len(memo) > 200_000:
                 memo.clear()
             for w in ws:
                 if w not in memo:
@@ -130,6 +131,20 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def signatures_in_parts(sets: list[np.ndarray], most: int = 200_000) -> np.ndarray:
+    """The same for any number of sets, about `most` regions at a time."""
+    parts, held, n = [np.zeros((0, K), np.uint64)], [], 0
+    for s in sets:
+        held.append(s)
+        n += len(s)
+        if n >= most:
+            parts.append(signatures(held))
+            held, n = [], 0
+    if held:
+        parts.append(signatures(held))
+    return np.concatenate(parts)
+
+
 def bands(sig: np.ndarray) -> np.ndarray:
     """One 64-bit key per band, shape (sets, BANDS)."""
     part = sig.reshape(len(sig), BANDS, ROWS)
@@ -149,10 +164,8 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = [_SHINGLER.regions(ws) for ws in split]
         keys: list[list[int] | None] = [None] * len(sets)
         some = [i for i, s in enumerate(sets) if len(s)]
-        for a in range(0, len(some), 256):
-            part = some[a : a + 256]
-            for i, row in zip(part, bands(signatures([sets[i] for i in part])).tolist(), strict=True):
-                keys[i] = row
+        for i, row in zip(some, bands(signatures_in_parts([sets[i] for i in some])).tolist(), strict=True):
+            keys[i] = row
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "digest", "bands"]
         )
@@ -187,30 +200,60 @@ def _verified(pairs: DataFrame, regions: DataFrame, least: float, label: str) ->
     return materialize(two.select("a", "b", "ra", "rb").mapInArrow(lambda it: _verify(least, it), "a long, b long").distinct(), label)
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add short signatures, 16 bits a coordinate, in place of the regions."""
-    for batch in batches:
-        sets = [np.frombuffer(x, np.uint32) for x in batch.column("regions").to_pylist()]
-        sig = signatures(sets).astype(np.uint16) if sets else np.zeros((0, K), np.uint16)
-        keep = batch.drop_columns(["regions"])
-        yield keep.append_column("sig", pa.array([r.tobytes() for r in sig], pa.binary()))
-
-
-def _compare(table: pa.Table) -> pa.Table:
-    """Pairs of different components, one text from each side of a block, whose signatures agree enough."""
-    table = table.sort_by([("bucket", "ascending")])
-    bucket = table.column("bucket").to_numpy()
-    ids, comps, left, right = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "comp", "left", "right"))
-    sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, K)
-    a, b = [], []
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, by products of dense slices of the membership matrix."""
+    size = np.array([len(x) for x in sets])
+    value, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(times > 1)  # a region of one text is in no intersection
+    place = np.full(len(value), -1)
+    place[shared] = np.arange(len(shared))
+    column, row = place[at], np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    for start in range(0, len(shared), COLUMNS):
+        lo, hi = np.searchsorted(column, (start, start + COLUMNS))
+        x = np.zeros((len(sets), min(COLUMNS, len(shared) - start)), np.float32)
+        x[row[lo:hi], column[lo:hi] - start] = 1
+        out += x @ x.T
+    return out
+
+
+def _linked(ids: np.ndarray, comps: np.ndarray, across: np.ndarray, sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Links that join the components of these texts, no more than it takes, among the pairs that are across."""
+    common, size = _common(sets), np.array([len(x) for x in sets], np.float32)
+    alike = common >= least * (size[:, None] + size[None, :] - common) - 1e-3
+    near = np.argwhere(np.triu(alike & across & (comps[:, None] != comps[None, :]), 1))
+    above = {c: c for c in comps.tolist()}
+
+    def root(c: int) -> int:
+        while above[c] != c:
+            above[c] = c = above[above[c]]
+        return c
+
+    out = []
+    for i, j in near.tolist():
+        x, y = root(int(comps[i])), root(int(comps[j]))
+        if x != y and similarity(sets[i].tobytes(), sets[j].tobytes()) >= least:
+            above[max(x, y)] = min(x, y)
+            out.append((int(min(ids[i], ids[j])), int(max(ids[i], ids[j]))))
+    return out
+
+
+def _compare(least: float, table: pa.Table) -> pa.Table:
+    """Links between texts of different components, for each bucket of a group of blocks."""
+    table = table.sort_by([("bucket", "ascending"), ("id", "ascending")])
+    bucket, ids, comps, mine = (table.column(c).to_numpy() for c in ("bucket", "id", "comp", "mine"))
+    one_side = table.column("i")[0].as_py() == table.column("j")[0].as_py()
+    regions = table.column("regions").to_pylist()
+    links = []
     edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
     for lo, hi in zip(edges[:-1], edges[1:], strict=True):
-        x, y = lo + np.flatnonzero(left[lo:hi]), lo + np.flatnonzero(right[lo:hi])
-        for i in x:
-            other = y[(comps[y] != comps[i])]
-            near = other[(sig[other] == sig[i]).sum(1) >= AGREE * K]
-            a += [min(ids[i], ids[j]) for j in near]
-            b += [max(ids[i], ids[j]) for j in near]
+        if hi - lo > 1:
+            side = mine[lo:hi]
+            across = np.ones((hi - lo, hi - lo), bool) if one_side else side[:, None] != side[None, :]
+            links += _linked(ids[lo:hi], comps[lo:hi], across, [np.frombuffer(x, np.uint32) for x in regions[lo:hi]], least)
+    a, b = zip(*links, strict=True) if links else ([], [])
     return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
 
@@ -259,17 +302,15 @@ def _rest(members: DataFrame, roots: DataFrame, regions: DataFrame, least: float
     if mixed.isEmpty():
         return None
     open_ = materialize(large.join(mixed, "bucket"), "dart-open")
-    total = open_.count()
     sides = F.ceil(F.col("n") / SIDE).cast("int")
     mine = F.pmod(F.xxhash64("id", "bucket"), sides).cast("int")
-    signed = open_.join(regions, "id").mapInArrow(_alike, "id long, bucket long, comp long, n long, sig binary")
-    dealt = signed.withColumn("sides", sides).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    dealt = dealt.select("bucket", "id", "comp", "sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine")
-    dealt = dealt.withColumn("left", F.col("mine") == F.col("i")).withColumn("right", F.col("mine") == F.col("j"))
-    groups = max(1, total // 20_000)
+    whole = open_.join(regions, "id").withColumn("sides", sides).withColumn("mine", mine)
+    n_bytes = open_.join(regions.select("id", F.octet_length("regions").alias("k")), "id").agg(F.sum(F.col("k") * sides)).first()[0] or 0
+    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
+    dealt = dealt.select("bucket", "id", "comp", "regions", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    groups = int(n_bytes // GROUP_BYTES) + 1
     by = [F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).alias("g"), "i", "j"]
-    found = dealt.groupBy(*by).applyInArrow(_compare, "a long, b long").distinct()
-    return _verified(materialize(found, "dart-more"), regions, least, "dart-more-links")
+    return materialize(dealt.groupBy(*by).applyInArrow(lambda table: _compare(least, table), "a long, b long").distinct(), "dart-more-links")
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
