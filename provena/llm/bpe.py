@@ -26,13 +26,13 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import materialize
+from provena.llm.common import materialize, worker_memo
 
 LEXICON_WORDS = 65_536  # most words of the automaton
 LEXICON_BYTES = 32  # longest word of the automaton
 MEMO = 500_000  # texts between white space that a worker remembers
 SLICE = 1_000_000  # code points of a text handled at once
-BLOCK = 4_000_000  # code points of a block of texts
+BLOCK = 2_000_000  # code points of a block of texts
 
 NONE = 1 << 60  # stands for a pair that is never merged
 
@@ -277,7 +277,8 @@ class Encoder:
     def __init__(self, content: bytes, lexicon: bytes | None = None):
         self.vocab = Vocabulary(content)
         self.lexicon = Lexicon.mapped(lexicon) if lexicon else None
-        self.memo: dict[str, bytes] = {}
+        self.owner = "bpe " + hashlib.sha256(content).hexdigest()  # the ids of a word do not depend on the lexicon
+        self.memo: dict[str, bytes] = worker_memo(self.owner)
 
     @property
     def library(self):
@@ -369,6 +370,7 @@ def encoder(content: bytes, lexicon: bytes | None = None) -> Encoder:
         while len(_ENCODERS) > 1:
             _ENCODERS.pop(next(iter(_ENCODERS)))
         _ENCODERS[key] = Encoder(content, lexicon)
+    worker_memo(_ENCODERS[key].owner)
     return _ENCODERS[key]
 
 

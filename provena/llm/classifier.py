@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import blocks
-from provena.llm.common import doc_hash_remainder, numbered_words
+from provena.llm.common import doc_hash_remainder, numbered_words, worker_memo
 
 SIZE = 1 << 20  # weights
 SAMPLE = 32_768  # labelled rows to fit on, about
@@ -52,12 +52,9 @@ def shape_of(word: bytes) -> tuple[bytes, bytes]:
 
 
 class Hasher:
-    def __init__(self):
-        self.memo: dict[bytes, tuple[int, int]] = {}
-
     def hashes(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the cores and of the shapes."""
-        memo = self.memo
+        memo: dict[bytes, tuple[int, int]] = worker_memo("classifier")
         if len(memo) > 200_000:
             memo.clear()
         small = lambda b: int.from_bytes(hashlib.blake2b(b, digest_size=8).digest(), "little")

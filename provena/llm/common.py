@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,6 +37,23 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_MEMOS: dict[str, dict] = {}
+
+
+def worker_memo(owner: str) -> dict:
+    """What one operator remembers in this Python worker from task to task.
+
+    Spark reuses workers, so that each of them comes to run every stage of a job; asking for a memo empties those
+    of the other operators and gives back what Arrow has kept, so that a worker holds one at a time.
+    """
+    left = [memo for other, memo in _MEMOS.items() if other != owner and memo]
+    for memo in left:
+        memo.clear()
+    if left:
+        pa.default_memory_pool().release_unused()
+    return _MEMOS.setdefault(owner, {})
+
+
 def doc_hash_remainder(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id's decimal text, modulo a number; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % modulus

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import blocks
-from provena.llm.common import materialize
+from provena.llm.common import materialize, worker_memo
 from provena.llm.components import connected_components
 
 SHINGLE = 5
@@ -66,13 +66,10 @@ def words(text: str) -> list[bytes]:
 class Shingler:
     """Sets of unit regions: 32-bit hashes of (shingle, number of its copy), sorted."""
 
-    def __init__(self):
-        self.memo: dict[bytes, int] = {}
-
     def regions(self, ws: list[bytes]) -> np.ndarray:
         if not ws:
             return np.zeros(0, np.uint32)
-        memo = self.memo
+        memo: dict[bytes, int] = worker_memo("dartminhash")
         try:
             ids = np.fromiter([memo[w] for w in ws], np.uint64, len(ws))
         except KeyError:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import blocks
-from provena.llm.common import materialize, numbered_words
+from provena.llm.common import materialize, numbered_words, worker_memo
 
 LANGUAGES = 16  # most references; a language with fewer than a hundredth of the documents has none
 COMMON = 200  # words of a reference
@@ -159,6 +159,7 @@ def judge(texts: list[str], refs: References) -> tuple[Base, np.ndarray, np.ndar
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(lang, word, n) and, under the words \\n0 to \\n8 and \\nn, the summed shares of classes and the documents."""
+    worker_memo("quality_rules")  # empties those of other operators
     words: dict[str | None, Counter[bytes]] = {}
     sums: dict[str | None, np.ndarray] = {}
 
@@ -222,6 +223,7 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     sent = base.sparkSession.sparkContext.broadcast(references(base.select("text", "lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("quality_rules")  # empties those of other operators
         for batch, texts in blocks(batches):
             b, kept, by_char, by_word = judge(texts, sent.value)
             counts = [pa.array(x, pa.int64()) for x in b]
@@ -236,6 +238,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(references(_inputs(docs, "doc_id", "text", "lang").select("text", "lang")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_memo("quality_rules")  # empties those of other operators
         for batch, texts in blocks(batches):
             yield batch.filter(pa.array(judge(texts, sent.value)[1]))
 
