@@ -10,6 +10,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from provena.llm import bpe, classifier, dartminhash, mixing, packing, quality_rules, secrets
 from provena.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
@@ -273,5 +274,20 @@ def test_mixing_is_a_distribution():
     assert np.isfinite(long_).all() and long_[0] < -50
 
 
+def test_mixing_learns_from_all_counted_words(spark):
+    words = [b"%06d" % i for i in range(110_000)]
+    head = mixing.Head([b"0", b""], np.array([[0, 2, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0]]), np.array([0, 3, 0, 0, 0, 0]))
+    rows = spark.range(len(words)).select(F.encode(F.lpad(F.col("id").cast("string"), 6, "0"), "UTF-8").alias("word"), *(F.lit(int(k == 1)).cast("long").alias(f"k{k}") for k in range(mixing.CLASSES)))
+    decisions = sum(len(mixing.events(words[i : i + 10_000], np.ones(10_000, np.int64), head.code)[0]) for i in range(0, len(words), 10_000))
+    assert mixing.train(rows, len(words), head)[2].sum() == decisions
+
+
+def test_mixing_counts_are_exact_beyond_float32():
+    head = mixing.Head([b"a", b""], np.array([[0, 9, 0, 0, 0, 0], [0, 9, 0, 0, 0, 0]]), np.array([0, 18, 0, 0, 0, 0]))
+    batch = lambda n: pa.RecordBatch.from_pydict({"word": [b"a"], **{f"k{k}": [n if k == 1 else 0] for k in range(mixing.CLASSES)}})
+    tables = mixing.count_tables(iter([batch(1 << 24), *[batch(1)] * 9]), head)
+    assert tables.max() == (1 << 24) + 9
+
+
 def test_schema_of_helper():
     assert DOCS.startswith("doc_id long")
