@@ -4,12 +4,18 @@ A candidate is a run of secret-like characters that follows a sensitive word and
 Its novelty is its marginal cost: bytes of the surrounding text with the candidate, less bytes without it, both
 compressed by zstandard primed with a dictionary of code identifiers. What the dictionary and the surroundings
 explain costs little; a random string costs nearly its entropy. Candidates that stay incompressible are reported.
+
+Zstandard stores the letters of a short text as they are, so that a new word costs as much as a random key. A candidate
+without both a digit and a letter must therefore be costly by pairs of characters too, as learnt from common words and
+from its own document, itself taken out.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
@@ -29,7 +35,7 @@ KINDS = ("assign", "access", "hex", "novel")
 #: Words whose neighbourhood is sensitive, beyond those of the assign pattern; then an assignment and a value.
 SENSITIVE = re.compile(
     r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|auth|bearer|signature|session[_-]?id|cookie)"""
-    r"""[A-Za-z0-9_-]{0,24}["']?[\x20\t]*(?:[:=]|=>|\x20is\x20|\x20)[\x20\t]*["']?([A-Za-z0-9+/_.=~!@\#$%^&*-]{12,512})""",
+    r"""[A-Za-z0-9_-]{0,24}["']?[\x20\t]*(?:[:=]|=>|\x20is\x20|\x20)[\x20\t]*["']?([A-Za-z0-9+/_.=~!@\#$%^&*-]{12,})""",
     re.IGNORECASE | re.ASCII,
 )
 HINT = re.compile(r"passw|passphrase|pwd|secret|token|api_?-?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|auth|bearer|signature|session|cookie", re.IGNORECASE | re.ASCII)
@@ -47,6 +53,17 @@ abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 0000
 
 CONTEXT = 256  # code points of surrounding text on either side
 LEAST_BITS = 4.0  # marginal bits per byte from which a candidate counts as incompressible
+PAIR_BITS = 5.2  # bits per character by pairs, for candidates without both a digit and a letter
+#: Common words of several languages, which teach pairs of letters where a document is short.
+WORDS = """
+the and that have with this from they will would there their what about which when make like time just know take people
+into year your good some could them other than then look only come over think also back after work first well even want
+because these give most ordinary looking words here standard information management application service between
+under each before through during without another however something national general important following system
+que los las una por con para como pero sus este entre cuando todo esta ser son dos tambien fue habia desde nos durante
+les des est dans qui une pour pas sur plus avec sont mais comme tout nous vous leur cette entre aussi bien sans deux
+der die und den von das mit sich des auf ist nicht ein eine als auch nach wie aus bei einer werden oder haben sind noch
+"""
 
 
 @cache
@@ -63,6 +80,26 @@ def marginal_bits(before: str, value: str, after: str) -> float:
     return 8 * (size(around + value) - size(around)) / n
 
 
+def _pairs(text: str) -> tuple[Counter[tuple[str, str]], Counter[str]]:
+    return Counter(zip(text, text[1:], strict=False)), Counter(text)
+
+
+@cache
+def _usual_pairs() -> tuple[Counter[tuple[str, str]], Counter[str]]:
+    return _pairs(" ".join((IDENTIFIERS + WORDS).split()))
+
+
+def pair_bits(value: str, text: str, own: tuple[Counter[tuple[str, str]], Counter[str]]) -> float:
+    """Bits per character of the value after the character before, by common words and its text, whose pairs are own, without it."""
+    times, mine, usual = text.count(value), _pairs(value), _usual_pairs()
+    shown = value.lower() if value.isupper() else value
+    pair = lambda a, b: usual[0][a, b] + max(0, own[0][a, b] - times * mine[0][a, b])
+    single = lambda a: usual[1][a] + max(0, own[1][a] - times * mine[1][a])
+    n = usual[1].total() + max(0, len(text) - times * len(value))
+    bits = [math.log2((single(a) + 4) / (pair(a, b) + 4 * (single(b) + 0.5) / (n + 64))) for a, b in zip(" " + shown, shown, strict=False)]
+    return sum(bits) / max(1, len(bits))
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the three fixed kinds, in order."""
     spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
@@ -75,14 +112,18 @@ def novel_spans(text: str, known: list[tuple[int, int, int]], least_bits: float
     """Spans of incompressible values in sensitive contexts that no known span covers."""
     if not HINT.search(text):
         return []
-    found = []
+    found, own = [], None
     for m in SENSITIVE.finditer(text):
         a, b = m.span(1)
         value = text[a:b]
-        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
-        if not mixed or any(s <= a and b <= e for s, _, e in known):
+        if any(s <= a and b <= e for s, _, e in known):
+            continue
+        if marginal_bits(text[max(0, a - CONTEXT) : a], value, text[b : b + CONTEXT]) < least_bits:
             continue
-        if marginal_bits(text[max(0, a - CONTEXT) : a], value, text[b : b + CONTEXT]) >= least_bits:
+        mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
+        if not mixed:
+            own = own or _pairs(text)
+        if mixed or pair_bits(value, text, own) >= PAIR_BITS:
             found.append((a, 3, b))
     return found
 

@@ -244,6 +244,17 @@ def test_secret_spans(spark):
     assert secrets.scan_secrets(frame(spark, [])).collect() == []
 
 
+def test_novel_spans_are_whole_and_need_no_digit():
+    rng = random.Random(12)
+    key = lambda pool, n: "".join(rng.choice(pool) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    for value in (key(letters + "0123456789", 2000), key(letters, 16), key(letters[:26], 20), key("0123456789", 24), key(letters, 1500)):
+        text = f"Authorization: Bearer {value} and the rest"
+        assert [(a, b) for a, _, b in secrets.novel_spans(text, [])] == [(22, 22 + len(value))]
+    for word in ("understanding", "Internationalization", "CONFIDENTIALITY", "Verantwortlichkeit", "userAccessController", "-" * 40):
+        assert not secrets.novel_spans(f"the cookie {word} is here", [])
+
+
 def test_mixing_base_counts_and_probabilities(spark):
     rows = sentence_docs()
     docs = clashing(frame(spark, rows)).drop("score")
