@@ -1,9 +1,10 @@
 """Quality rules: repetition and length, then the divergence from the languages of the corpus.
 
-References are made from all documents: for each frequent language the mean histogram of character classes, every
-document weighing the same, and the shares of its most common words. A document's own two histograms are compared with
-each reference by Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1). It is rejected where
-even the nearest language is too far. Short documents are not judged by histograms that say little about them.
+References are made from all documents: for each language the mean histogram of character classes, every document
+weighing the same, and the shares of its most common words. A document's own two histograms are compared with each
+reference by Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1). It is rejected where even the
+nearest language is too far. Short documents are not judged by histograms that say little about them, nor is a document
+of a language with too few documents for a mean to say much: such a language has no reference.
 """
 
 from __future__ import annotations
@@ -16,13 +17,13 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.llm.bpe import blocks
 from provena.llm.common import materialize, numbered_words, worker_memo
 
-LANGUAGES = 16  # most references; a language with fewer than a hundredth of the documents has none
+LEAST_DOCS = 20  # documents with text from which a language has a reference, whatever its share
 COMMON = 200  # words of a reference
 CHAR_GUARD, WORD_GUARD = 100, 50  # least code points and words for the two comparisons
 CHAR_LIMIT, WORD_LIMIT = 0.32, 0.6  # distances from which a document is rejected
@@ -115,11 +116,12 @@ def distance(own: np.ndarray, reference: np.ndarray) -> np.ndarray:
 
 
 class References(NamedTuple):
-    """chars (languages, CLASSES), shares (languages, COMMON + 1) with all other words last, and the words' places."""
+    """chars (languages, CLASSES), shares (languages, COMMON + 1) with all other words last, the words' places, the languages."""
 
     chars: np.ndarray
     shares: np.ndarray
     places: dict[bytes, list[tuple[int, int]]]
+    names: frozenset[str]
 
     @classmethod
     def of(cls, chars: dict[str, np.ndarray], words: dict[str, list[tuple[bytes, float]]]) -> References:
@@ -131,26 +133,30 @@ class References(NamedTuple):
                 shares[i, j] = share
                 places.setdefault(w, []).append((i, j))
             shares[i, COMMON] = max(0.0, 1 - shares[i].sum())
-        return cls(np.array([chars[n] for n in names]).reshape(-1, CLASSES), shares, places)
+        return cls(np.array([chars[n] for n in names]).reshape(-1, CLASSES), shares, places, frozenset(names))
 
 
-def judge(texts: list[str], refs: References) -> tuple[Base, np.ndarray, np.ndarray, np.ndarray]:
-    """(base counts, kept, distance by characters, distance by words) of each text; NaN where guarded."""
+def judge(texts: list[str], langs: list[str | None], refs: References) -> tuple[Base, np.ndarray, np.ndarray, np.ndarray]:
+    """(base counts, kept, distance by characters, distance by words) of each text; NaN where guarded or its language has no reference."""
     words, flat, sizes, raw = numbered_words(texts)
     chars = character_classes(texts)
     base = Base(sizes, chars.sum(1) - chars[:, SPACE], chars[:, SYMBOL], np.array([duplicate_lines(r) for r in raw], np.int64), repeated_words(flat, sizes))
     by_char, by_word = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
     owner = np.repeat(np.arange(len(texts)), sizes)
-    long_, wordy = chars.sum(1) >= CHAR_GUARD, sizes >= WORD_GUARD
+    judged = np.fromiter((k is None or k in refs.names for k in langs), bool, len(texts))
+    long_, wordy = judged & (chars.sum(1) >= CHAR_GUARD), judged & (sizes >= WORD_GUARD)
     own_chars = chars / np.maximum(1, chars.sum(1, keepdims=True))
     lower = [w.lower() if w.isascii() else w.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass") for w in words]
+    common: list[list[tuple[int, int]]] = [[] for _ in refs.chars]
+    for n, w in enumerate(lower):
+        for lang, j in refs.places.get(w, ()):
+            common[lang].append((n, j))
     for i in range(len(refs.chars)):
         by_char = np.where(long_, np.fmin(by_char, distance(own_chars, refs.chars[i])), by_char)
         place = np.full(len(words), COMMON)
-        for n, w in enumerate(lower):
-            for lang, j in refs.places.get(w, ()):
-                if lang == i:
-                    place[n] = j
+        if common[i]:
+            at, to = np.array(common[i]).T
+            place[at] = to
         own = np.bincount(owner * (COMMON + 1) + place[flat], minlength=len(texts) * (COMMON + 1)).reshape(-1, COMMON + 1)
         by_word = np.where(wordy, np.fmin(by_word, distance(own / np.maximum(1, sizes)[:, None], refs.shares[i])), by_word)
     far = (np.nan_to_num(by_char) > CHAR_LIMIT) | (np.nan_to_num(by_word) > WORD_LIMIT)
@@ -176,7 +182,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chars = character_classes(texts)
         for text, lang, row in zip(texts, langs, chars, strict=True):
             total = row.sum()
-            if lang is not None and total >= CHAR_GUARD:
+            if lang is not None and total:
                 sums.setdefault(lang, np.zeros(CLASSES + 1))
                 sums[lang] += np.append(row / total, 1)
                 words.setdefault(lang, Counter()).update(text.lower().encode("utf-8", "surrogatepass").split())
@@ -186,20 +192,22 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def references(docs: DataFrame) -> References:
-    """References of the frequent languages, from all documents (text, lang)."""
+    """References of the languages with LEAST_DOCS documents, from all documents (text, lang)."""
     made = docs.mapInArrow(_gather, "lang string, word binary, n double").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     made = materialize(made, "quality-words")
-    marks = made.filter(F.col("word").startswith(F.lit(b"\n")))
-    n = marks.filter(F.col("word") == F.lit(b"\nn"))
-    total = n.agg(F.sum("n")).first()[0] or 0
-    top = [r["lang"] for r in n.filter(F.col("n") >= total / 100).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
-    chars, words = {}, {}
-    for lang in top:  # a bounded number of languages, each with a bounded number of rows
-        own = {bytes(r["word"]): r["n"] for r in marks.filter(F.col("lang") == lang).collect()}
-        chars[lang] = np.array([own.get(b"\n%d" % k, 0.0) for k in range(CLASSES)]) / own[b"\nn"]
-        mine = made.filter((F.col("lang") == lang) & ~F.col("word").startswith(F.lit(b"\n")))
-        every = mine.agg(F.sum("n")).first()[0] or 1
-        words[lang] = [(bytes(r["word"]), r["n"] / every) for r in mine.orderBy(F.desc("n"), "word").limit(COMMON).collect()]
+    is_mark = F.col("word").startswith(F.lit(b"\n"))
+    sums: dict[str, dict[bytes, float]] = {}
+    # A few rows for each language; the words of a language are ranked where they lie before they meet.
+    enough = made.filter((F.col("word") == F.lit(b"\nn")) & (F.col("n") >= LEAST_DOCS)).select("lang")
+    for r in made.filter(is_mark).join(enough, "lang").collect():
+        sums.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
+    chars = {k: np.array([own.get(b"\n%d" % c, 0.0) for c in range(CLASSES)]) / own[b"\nn"] for k, own in sums.items()}
+    mine = made.filter(~is_mark)
+    every = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.sum("n").alias("n")).join(enough, "lang").collect()}
+    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= COMMON)
+    words: dict[str, list[tuple[bytes, float]]] = {}
+    for r in ranked.join(enough, "lang").orderBy("lang", "rank").collect():
+        words.setdefault(r["lang"], []).append((bytes(r["word"]), r["n"] / every[r["lang"]]))
     return References.of(chars, words)
 
 
@@ -216,8 +224,9 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     """One row per document: doc_id, the five counts, base_failed, kept, char_distance, word_distance.
 
     kept is false where the base rules fail or the nearest language is too far. Null and empty texts have no words
-    and fail; documents below the guards have a null distance and are not rejected by it; rows with a null or missing
-    language are judged, but make no reference; repeated rows are judged each; a null id stays null.
+    and fail; documents below the guards, and those of a language with fewer than LEAST_DOCS documents, have a null distance
+    and are not rejected by it; rows with a null or missing language are judged, but make no reference; repeated rows
+    are judged each; a null id stays null.
     """
     base = _inputs(docs, key, text, lang)
     sent = base.sparkSession.sparkContext.broadcast(references(base.select("text", "lang")))
@@ -225,21 +234,23 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memo("quality_rules")  # empties those of other operators
         for batch, texts in blocks(batches):
-            b, kept, by_char, by_word = judge(texts, sent.value)
+            b, kept, by_char, by_word = judge(texts, batch.column("lang").to_pylist(), sent.value)
             counts = [pa.array(x, pa.int64()) for x in b]
             far = [pa.array(x, pa.float64(), from_pandas=True) for x in (by_char, by_word)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(b.failed), pa.array(kept), *far], ["doc_id", *NAMES, "base_failed", "kept", "char_distance", "word_distance"])
 
-    return base.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return base.mapInArrow(run, SCHEMA)
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows that the rules keep, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(references(_inputs(docs, "doc_id", "text", "lang").select("text", "lang")))
+    known = "lang" in docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memo("quality_rules")  # empties those of other operators
         for batch, texts in blocks(batches):
-            yield batch.filter(pa.array(judge(texts, sent.value)[1]))
+            langs = batch.column("lang").cast(pa.string()).to_pylist() if known else [None] * len(texts)
+            yield batch.filter(pa.array(judge(texts, langs, sent.value)[1]))
 
     return docs.mapInArrow(run, docs.schema)

@@ -126,6 +126,27 @@ def test_quality_rules_divergence_tells_noise_from_prose(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == list(range(60)) and kept.columns == clashing(frame(spark, rows)).columns
 
 
+def test_quality_rules_keep_small_languages(spark):
+    rng = random.Random(5)
+    words = lambda pool: ["".join(rng.choice(pool) for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    latin, kana, thai = words("aeioulnrst"), words("あいうえおかきくけこ"), words("กขคงจฉชซญด")
+    text = lambda pool: " ".join(rng.choice(pool) for _ in range(120)) + "."
+    rows = [(i, text(latin), "en", "s", 1) for i in range(2600)]
+    rows += [(3000 + i, text(kana), "ja", "s", 1) for i in range(24)] + [(4000 + i, text(thai), "th", "s", 1) for i in range(3)]
+    rows += [(5000, " ".join(f"{rng.randrange(10**6)}#%" for _ in range(60)), "ja", "s", 1)]
+    rows += [(6000 + i, text(latin)[:40], "xx", "s", 1) for i in range(20)] + [(7000, text(latin), "xx", "s", 1)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
+    assert all(got[i]["kept"] for i in range(2600))
+    # Under a hundredth of the documents: judged by a reference of its own, which still rejects noise.
+    assert all(got[3000 + i]["kept"] and got[3000 + i]["char_distance"] < 0.2 for i in range(24)) and not got[5000]["kept"]
+    # Three documents make no reference and are not judged by others'.
+    assert all(got[4000 + i]["kept"] and got[4000 + i]["char_distance"] is None and got[4000 + i]["word_distance"] is None for i in range(3))
+    # Documents below the guards count in references too.
+    assert {"en", "ja", "xx"} == quality_rules.references(docs.select("text", "lang")).names
+    assert {r["doc_id"] for r in quality_rules.keep_good(docs).select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
+
+
 def test_jensen_shannon_by_hand():
     a, b = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), np.array([0.5, 0.5])
     m = [0.75, 0.25]
