@@ -46,8 +46,33 @@ def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Colu
     return text, verdict
 
 
+def without_dots(path: Column) -> Column:
+    """The path, from its first slash, with . and .. segments taken away as browsers do; a .. beyond the top goes too."""
+    parts = F.slice(F.split(path, "/"), 2, 1 << 30)
+    last = F.element_at(parts, -1)
+    step = lambda out, x: F.when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(0)))).when(x == ".", out).otherwise(F.array_append(out, x))
+    kept = F.aggregate(parts, F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), "/").otherwise(""))
+
+
+def resolved(target: Column, source: Column) -> Column:
+    """The target as an address of its own; one without scheme or host takes them, and its folder, from the source."""
+    scheme = F.regexp_extract(source, r"(?s)^(.*?)://", 1)
+    folder = F.regexp_replace(path_of(source), r"[^/]*$", "")
+    rest = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    plain = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    path = F.when(plain == "", path_of(source)).otherwise(without_dots(F.concat(F.when(folder == "", "/").otherwise(folder), plain)))
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), target)
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(target.startswith("/"), F.concat(F.lit("http://"), host_of(source), target))
+        .when(plain.contains("://") | (host_of(source) == ""), target)
+        .otherwise(F.concat(scheme, F.lit("://"), host_of(source), path, rest))
+    )
+
+
 def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
-    """(source, target) addresses of canonical links and refresh redirects; a target from / takes the page's host."""
+    """(source, target) addresses of canonical links and refresh redirects; relative targets are resolved by the page's address."""
     low = F.lower(F.col(html))
     quick = pages.filter(low.contains("canonical") | low.contains("refresh")).select(F.col(url).alias("source"), F.col(html).alias("h"))
     tags = quick.select("source", F.explode(F.regexp_extract_all("h", F.lit(r"(?i)<(?:link|meta)\b[^>]*>"), F.lit(0))).alias("tag"))
@@ -58,8 +83,7 @@ def html_links(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
         F.col("tag").rlike(r"(?i)\bhttp-equiv\s*=\s*[\"']?refresh\b"), F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     )
     found = tags.select("source", F.coalesce(canonical, refresh).alias("target")).filter("target <> ''")
-    absolute = F.when(F.col("target").startswith("/") & ~F.col("target").startswith("//"), F.concat(F.lit("http://"), host_of(F.col("source")), F.col("target"))).otherwise(F.col("target"))
-    return found.select("source", absolute.alias("target")).filter("instr(target, '://') > 0")
+    return found.select("source", resolved(F.col("target"), F.col("source")).alias("target")).filter("instr(target, '://') > 0")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None = None, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -96,6 +96,19 @@ def test_url_allow_wins_over_a_spread_block(spark):
     assert rows_of(judge_urls(pages.limit(0), [Rule("block", "net", "/")])) == []
 
 
+def test_url_aliases_by_relative_links(spark):
+    link = lambda x: f'<link rel="canonical" href="{x}">'
+    pages = [
+        (1, "https://free.com/a/b/page", link("//example.net/x")), (2, "http://e.org/d/e/f", link("../bad/y.html?q#f")), (3, "http://e.org/d/bad/y.html", link("http://t.net/1")),
+        (4, "http://g.org", link("z.html")), (5, "http://g.org/z.html", link("http://t.net/2")), (6, "http://k.org/a/b", link("./../../../n")), (7, "http://k.org/n", link("http://t.net/3")),
+        (8, "http://m.org/a?x", link("?y")), (9, "http://n.org/a", link("mailto:x@t.net")), (10, "nowhere", link("page.html")), (11, "http://o.org/a", link("c?u=http://t.net/4")),
+    ]
+    got = {r["page_id"]: (r["verdict"], r["alias_root"]) for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.URL_RULES).collect()}
+    assert got[1] == ("block", "example.net/x")
+    assert {got[2], got[3]} == {("block", "e.org/d/bad/y.html")} and {got[4], got[5]} == {("block", "g.org")} and {got[6], got[7]} == {("block", "k.org/a/b")}
+    assert got[8] == ("allow", "m.org/a") and got[9] == got[10] == ("allow", None) and got[11] == ("allow", "o.org/a")
+
+
 TURNS = [
     (1, 0, "user", "Hello there\nfriend"), (1, 1, "assistant", "Bob wrote:\n> hello there\n> friend\n\nI agree"), (1, 2, "user", ">> Hello  there\n>> friend\n> I agree\nfine"),
     (2, 0, "user", "> i agree\n>\n> x\nmm"), (2, 1, "user", None), (2, 2, "user", ""), (3, 0, "user", "> fine"), (3, 1, None, "> > no one said this\n>\n> \nok"), (4, 0, "user", "a > b\n\n\nmm"),
