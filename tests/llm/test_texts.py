@@ -10,7 +10,6 @@ import re
 import zlib
 
 import numpy as np
-import pyarrow as pa
 from provena.llm import bpe, classifier, dartminhash, mixing, packing, quality_rules, secrets
 from provena.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
@@ -295,29 +294,102 @@ def test_mixing_base_counts_and_probabilities(spark):
     assert mixing.score(frame(spark, []), F.lit(True)).collect() == []
 
 
+def plain_head() -> mixing.Head:
+    return mixing.Head([b"a", b"b", b""], np.array([[0, 5, 0, 0, 0, 0], [0, 3, 0, 0, 0, 0], [0, 2, 0, 0, 0, 0]]), np.array([0, 10, 0, 0, 0, 0]))
+
+
+def fitted_coder(words: list[bytes], head: mixing.Head) -> mixing.Coder:
+    """A coder fitted on these words, each seen once, in class 1."""
+    parts, _ = mixing.cut(words)
+    tables, kinds, n = np.zeros(mixing.SLOTS * 2), np.ones(len(parts), np.int64), np.ones(len(parts))
+    mixing.add_counts(tables, parts, kinds, n, head.code)
+    fit = mixing.Fit()
+    for i in range(0, len(parts), 64):
+        fit.update(parts[i : i + 64], kinds[i : i + 64], n[i : i + 64], tables.reshape(-1, 2), head.code)
+    return mixing.Coder(tables.reshape(-1, 2).astype(np.float32), fit.weights, fit.refined, head.code)
+
+
 def test_mixing_is_a_distribution():
-    """Over all continuations of a short alphabet, token probabilities sum to no more than one."""
+    """Over all continuations the token probabilities sum to no more than one, at the edge of a word's parts too."""
     words = [bytes([a]) for a in range(256) if not bytes([a]).isspace()] + [b""]
-    head = mixing.Head([b"a", b"b", b""], np.array([[0, 5, 0, 0, 0, 0], [0, 3, 0, 0, 0, 0], [0, 2, 0, 0, 0, 0]]), np.array([0, 10, 0, 0, 0, 0]))
-    model = mixing.Mixer(np.zeros((mixing.SLOTS, 2), np.float32), np.full((mixing.GATES, mixing.ORDERS), 0.3), np.zeros((256 * mixing.REFINED, 2)), head)
-    total = (10 ** model.costs(words, np.ones(len(words), np.int64))).sum()
-    assert 0 < total <= 1 + 1e-9
-    long_ = model.costs([b"x" * 500], np.ones(1, np.int64))
-    assert np.isfinite(long_).all() and long_[0] < -50
+    rng, head = random.Random(1), plain_head()
+    model = fitted_coder([bytes(rng.choice(b"abcd") for _ in range(rng.choice((1, 3, 47, 48, 49, 96)))) for _ in range(300)], head)
+    cost = lambda ws: model.costs(ws, np.ones(len(ws), np.int64))
+    assert 0 < (10 ** cost(words)).sum() <= 1 + 1e-9
+    # A full part's probability, which is the word's without its closing, holds the word and all longer ones by a byte.
+    for n in (48, 96):
+        start = (b"ab" * 48)[:n]
+        grown = [start, *(start + bytes([a]) for a in range(256) if not bytes([a]).isspace())]
+        assert (10 ** cost(grown)).sum() <= 10 ** (cost([start]) - cost([b""]))[0] * (1 + 1e-9)
+    assert cost([b"x" * 500])[0] < -50
+    # Equal bytes in other words cost otherwise: the parts of a long word are not words.
+    two = cost([b"ab" * 24, b"ab" * 24]).sum()
+    assert cost([b"ab" * 48])[0] != two
+
+
+def test_mixing_costs_equal_a_plain_scorer():
+    """Decision by decision in plain Python: contexts, log odds, gate, mix, refinement."""
+    rng, head = random.Random(2), plain_head()
+    words = [bytes(rng.choice(b"abcdef") for _ in range(rng.choice((1, 2, 5, 47, 48, 50)))) for _ in range(200)]
+    model = fitted_coder(words, head)
+    for w in [*words[:20], b"", b"zz\xff", b"a" * 97]:
+        total = 0.0
+        for part in mixing.cut([w])[0]:
+            for _, slots, bit, before in zip(*mixing.events([part], np.ones(1, np.int64), head.code), strict=True):
+                gate = int(model.prefix[slots[4] - mixing.BASES[4]]) + int(model.middle[slots[2] - mixing.BASES[2]])
+                mixed = sum(float(model.odds[s]) * float(model.weights[gate, k]) for k, s in enumerate(slots))
+                at = int(before) * mixing.REFINED + min(max(math.floor((mixed + 9) * mixing.REFINED / 18), 0), mixing.REFINED - 1)
+                p = min(max((1 / (1 + math.exp(-mixed)) + float(model.refined[at])) / 2, 1e-6), 1 - 1e-6)
+                total += math.log10(p if bit else 1 - p)
+        assert abs(total - model.costs([w], np.ones(1, np.int64))[0]) < 1e-3 * max(1, abs(total))
+
+
+def test_phrases_are_cut_alike_and_foretold_by_other_texts(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(60, 120))) for _ in range(200)]
+    ids = [i for i in range(2000) if zlib.crc32(str(i).encode()) % 7 != 2][:200]
+    out = [i for i in range(2000, 4000) if zlib.crc32(str(i).encode()) % 7 == 2][:4]
+    rows = [(i, t, "en", "s", 1) for i, t in zip(ids, texts, strict=True)]
+    rows += [(5000, texts[0], "en", "s", 1), (out[0], texts[1], "en", "s", 1), (out[1], "x y " + texts[2], "en", "s", 1), (out[2], " ".join(reversed(texts[3].split())), "en", "s", 1), (out[3], "same " * 90, "en", "s", 1)]
+    got = {r["doc_id"]: r["score"] / r["n_tokens"] for r in mixing.score(frame(spark, rows), ~mixing.held_out(F.col("doc_id"))).collect()}
+    once = sorted(got[i] for i in ids[4:])
+    # Copies, in training or held out, cost far less than texts that occur once; the same words in another order do not.
+    assert min(got[i] for i in (ids[0], 5000, out[0], out[1])) > 0.6 * once[-1] > once[-1] * 1.0001
+    assert got[out[2]] < once[-1] and math.isfinite(got[out[3]])
+
+
+def test_text_score_by_hand_and_within_one():
+    """All runs alone, as by the loop; and over a small world of runs, the probabilities sum to no more than one."""
+    lows = [-3.0, -4.0, -2.5]
+    slow = mixing.text_score(lows, {0: 1e-300}, 10)
+    assert abs(mixing.text_score(lows, {}, 10) - slow) < 1e-9
+    low = {"a": 0.5, "b": 0.25, "c": 0.25}
+    counts, n = {"a": 6, "b": 4}, 10
+    total = sum(10 ** mixing.text_score([math.log10(low[x]) for x in t], {i: counts[x] for i, x in enumerate(t) if x in counts}, n) for t in ((x, y, z) for x in low for y in low for z in low))
+    assert abs(total - 1) < 1e-6
 
 
 def test_mixing_learns_from_all_counted_words(spark):
     words = [b"%06d" % i for i in range(110_000)]
     head = mixing.Head([b"0", b""], np.array([[0, 2, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0]]), np.array([0, 3, 0, 0, 0, 0]))
-    rows = spark.range(len(words)).select(F.encode(F.lpad(F.col("id").cast("string"), 6, "0"), "UTF-8").alias("word"), *(F.lit(int(k == 1)).cast("long").alias(f"k{k}") for k in range(mixing.CLASSES)))
-    decisions = sum(len(mixing.events(words[i : i + 10_000], np.ones(10_000, np.int64), head.code)[0]) for i in range(0, len(words), 10_000))
-    assert mixing.train(rows, len(words), head)[2].sum() == decisions
+    rows = spark.range(len(words), numPartitions=6).select(F.encode(F.lpad(F.col("id").cast("string"), 6, "0"), "UTF-8").alias("word"), *(F.lit(int(k == 1)).cast("long").alias(f"k{k}") for k in range(mixing.CLASSES)))
+    decisions = sum(len(mixing.events(mixing.cut(words[i : i + 10_000])[0], np.ones(10_000, np.int64), head.code)[0]) for i in range(0, len(words), 10_000))
+    tables, weights, refined = mixing.train(rows, len(words), head)
+    assert refined.sum() == decisions and tables.sum() == decisions * mixing.ORDERS
+    # The same in several shards, summed as a tree.
+    before, mixing.SHARD, fan, mixing.FAN = mixing.SHARD, 20_000, mixing.FAN, 2
+    try:
+        again, _, fitted = mixing.train(rows, len(words), head)
+    finally:
+        mixing.SHARD, mixing.FAN = before, fan
+    assert (again == tables).all() and fitted.sum() == decisions
 
 
 def test_mixing_counts_are_exact_beyond_float32():
-    head = mixing.Head([b"a", b""], np.array([[0, 9, 0, 0, 0, 0], [0, 9, 0, 0, 0, 0]]), np.array([0, 18, 0, 0, 0, 0]))
-    batch = lambda n: pa.RecordBatch.from_pydict({"word": [b"a"], **{f"k{k}": [n if k == 1 else 0] for k in range(mixing.CLASSES)}})
-    tables = mixing.count_tables(iter([batch(1 << 24), *[batch(1)] * 9]), head)
+    head, tables = plain_head(), np.zeros(mixing.SLOTS * 2)
+    for n in [1 << 24, *[1] * 9]:
+        mixing.add_counts(tables, [b"a "], np.ones(1, np.int64), np.array([float(n)]), head.code)
     assert tables.max() == (1 << 24) + 9
 
 
