@@ -1,13 +1,15 @@
 """Exact top-k by integer inner product with block-at-a-time pruning.
 
-Vectors are cut into blocks of neighbouring documents. Each block keeps its forward index (the vectors) and, for
-every term (component), the largest and smallest value. A query's bound for a block is the sum over terms of the
-larger of q*max and q*min. Blocks are taken by falling bound and scored through the forward index until the bound
-is below the query's k-th score.
-
-Placement. Within each input partition, vectors are ordered by their leading terms so that blocks are tight; no
-shuffle is needed for that. Blocks are dealt to segments, queries to groups, both of bounded size; every pair of a
-segment and a group is one unit of work, and the k best of each unit are merged by a window per query. A query and
+Vectors are cut into blocks of neighbouring documents. Each block keeps its forward index (the vectors, term by term)
+and, for every term (component), the largest and smallest value. A query's bound for a block is the sum over terms of
+the larger of q*max and q*min. Blocks are taken by falling bound; the first ones are scored whole, which sets the k-th
+score. The others are scored through the forward index a few terms at a time, the query's heaviest first, while the sum
+of what the block's best document has so far and of the other terms' maxima is not below the k-th score. A block whose
+bound falls below it is left, most often long before its last term, and at once where vectors lie in clusters.
+
+Placement. Within each input partition, vectors are ordered by halving along the widest component so that blocks are
+tight; no shuffle is needed for that. Blocks are dealt to segments, queries to groups, both of bounded size; every pair
+of a segment and a group is one unit of work, and the k best of each unit are merged by a window per query. A query and
 a document meet in one unit only, so work is quadratic as any all-queries search, and memory is not.
 """
 
@@ -15,6 +17,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -24,15 +27,21 @@ from pyspark.sql import functions as F
 
 from provena.llm.common import materialize
 
-BLOCK = 64  # vectors in a block
-UNIT = 16  # blocks in a row, the grain in which blocks are dealt
+BLOCK = 32  # vectors in a block
+UNIT = 32  # blocks in a row, the grain in which blocks are dealt
+STEP = 4  # terms scored before a bound is looked at again
+WIDEST = 9223372036854774784.0  # the largest double below 2**63
 
 
 def integer_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", scale: int = 256) -> DataFrame:
-    """(vec_id, v array<long>): floor(scale * x) with x as double; vectors null or with null or non-finite parts go."""
-    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 2.0**54 / scale))
+    """(vec_id, v array<long>): floor(scale * x) with x as double; vectors null or with null or non-finite parts go.
+
+    Components whose integers would not fit 64 bits are held at their ends. Rows with a null key go; repeated rows stay.
+    """
+    finite = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
     kept = vectors.filter(F.col(key).isNotNull() & F.col(vector).isNotNull() & finite)
-    return kept.select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, lambda x: F.floor(x.cast("double") * scale)).alias("v"))
+    whole = lambda x: F.floor(F.greatest(F.least(x.cast("double") * scale, F.lit(WIDEST)), F.lit(-WIDEST)))
+    return kept.select(F.col(key).cast("long").alias("vec_id"), F.transform(vector, whole).alias("v"))
 
 
 def _matrix(column: pa.ListArray, width: int | None = None) -> np.ndarray:
@@ -45,6 +54,25 @@ def _matrix(column: pa.ListArray, width: int | None = None) -> np.ndarray:
     return out
 
 
+def tight_order(m: np.ndarray, least: int = BLOCK) -> np.ndarray:
+    """An order of the rows in which blocks of `least` lie close: halves at the middle of the widest component, again and again."""
+    order = np.arange(len(m))
+    todo = [(0, len(m))]
+    while todo:
+        lo, hi = todo.pop()
+        if hi - lo <= least:
+            continue
+        part = m[order[lo:hi]].astype(np.float64)
+        wide = part.max(0) - part.min(0)
+        at = int(np.argmax(wide)) if len(wide) else 0
+        if not len(wide) or wide[at] == 0:
+            continue
+        middle = max(least, (hi - lo) // 2 // least * least)
+        order[lo:hi] = order[lo:hi][np.argpartition(part[:, at], middle - 1)]
+        todo += [(lo, lo + middle), (lo + middle, hi)]
+    return order
+
+
 def _packed(batches: Iterator[pa.RecordBatch], rows: int, ordered: bool) -> Iterator[pa.RecordBatch]:
     """Rows of up to `rows` vectors as (ids, values, width) in binary form."""
 
@@ -53,10 +81,7 @@ def _packed(batches: Iterator[pa.RecordBatch], rows: int, ordered: bool) -> Iter
         ids = whole.column("vec_id").to_numpy()
         m = _matrix(whole.column("v").chunk(0) if whole.num_rows else pa.array([], pa.list_(pa.int64())))
         if ordered and m.size:
-            # Documents with the same leading terms and signs become neighbours.
-            lead = np.argsort(-np.abs(m), axis=1, kind="stable")[:, : min(3, m.shape[1])]
-            signed = lead * 2 + (np.take_along_axis(m, lead, 1) < 0)
-            order = np.lexsort((ids, *signed.T[::-1]))
+            order = tight_order(m)
             ids, m = ids[order], m[order]
         parts = [(ids[i : i + rows].tobytes(), m[i : i + rows].tobytes(), m.shape[1]) for i in range(0, len(ids), rows)]
         if parts:
@@ -84,59 +109,119 @@ def _unpack(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return ids, np.concatenate(rows)
 
 
-def _exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """a @ b.T over integers: in floating point where that is exact, else in integers of the size needed."""
-    most = float(np.abs(a).max(initial=0)) * float(np.abs(b).max(initial=0)) * max(1, a.shape[1])
-    if most < 2**53:
-        return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    if most < 2**63:
-        return a @ b.T
-    low, high = -(2**63), 2**63 - 1
-    return np.array([[min(max(int(x), low), high) for x in row] for row in a.astype(object) @ b.T.astype(object)], np.int64).reshape(len(a), len(b))
-
-
-def search_blocks(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, block: int = BLOCK) -> list[tuple[int, int, int]]:
-    """(query, document, score) of the k best of each query among these documents, pruned block by block."""
+class Work(NamedTuple):
+    """Blocks met by queries, those left at their first bound, those left on the way, and products of a query's and a document's term."""
+
+    met: int
+    left_at_once: int
+    left_on_the_way: int
+    products: int
+    all_products: int
+
+    @property
+    def share_left(self) -> float:
+        """Blocks that were not scored to their end."""
+        return (self.left_at_once + self.left_on_the_way) / max(1, self.met)
+
+    @property
+    def share_saved(self) -> float:
+        return 1 - self.products / max(1, self.all_products)
+
+
+class Blocks:
+    """Documents cut into blocks, with forward indexes by term and each term's largest and smallest value by block."""
+
+    def __init__(self, ids: np.ndarray, d: np.ndarray, largest_query: float, block: int = BLOCK):
+        # Sums of products are exact in floating point below 2^53; beyond, they are taken in Python's integers.
+        exact = float(np.abs(d.astype(np.float64)).max(initial=0)) * largest_query * max(1, d.shape[1]) < 2**53
+        self.kind = np.float64 if exact else object
+        self.ids, self.block, self.n = ids, block, len(d)
+        self.starts = np.arange(0, len(d), block)
+        whole = d.astype(self.kind)
+        if short := -len(d) % block:  # the last block is filled by copies of its last document, which are never taken
+            whole = np.concatenate([whole, np.repeat(whole[-1:], short, 0)])
+        cells = whole.reshape(len(self.starts), block, d.shape[1])
+        self.top, self.bottom = cells.max(1), cells.min(1)
+        self.by_term = np.ascontiguousarray(cells.transpose(2, 0, 1))  # terms, blocks, documents
+
+    def search(self, q_id: int, q: np.ndarray, k: int) -> tuple[list[tuple[int, int]], np.ndarray]:
+        """([(score, document)] of the k best, [blocks left at once, left on the way, products]) of one query."""
+        q = q.astype(self.kind)
+        terms = np.argsort(-np.abs(q.astype(np.float64)), kind="stable")
+        q = q[terms]
+        most = np.where(q > 0, q * self.top[:, terms], q * self.bottom[:, terms])  # by block and term
+        rest = np.concatenate([np.cumsum(most[:, ::-1], 1)[:, ::-1], np.zeros((len(most), 1), self.kind)], 1)
+        order = np.argsort(-rest[:, 0].astype(np.float64), kind="stable")
+        best: list[tuple[int, int]] = []
+        work = np.zeros(3, np.int64)
+
+        def take(blocks: np.ndarray, scores: np.ndarray) -> None:
+            """Merge the scores of these blocks' documents into the best."""
+            nonlocal best
+            at = (self.starts[blocks][:, None] + np.arange(self.block)).ravel()
+            s, real = scores.ravel(), at < self.n
+            real[real] = self.ids[at[real]] != q_id
+            at, s = at[real], s[real]
+            if len(best) == k and len(s):
+                near = s >= best[-1][0]
+                at, s = at[near], s[near]
+            if len(s) > 4 * k:  # only scores among the k highest, with all ties
+                near = s >= np.partition(s, len(s) - k)[len(s) - k]
+                at, s = at[near], s[near]
+            found = [(int(x), int(i)) for x, i in zip(s.tolist(), self.ids[at].tolist(), strict=True)]
+            best = sorted([*best, *found], key=lambda t: (-t[0], t[1]))[:k]
+
+        # The first blocks, until k documents are known, and as many again, give the k-th score.
+        lead = max(1, min(len(order), 2 * math.ceil((k + 1) / self.block)))
+        first, live = order[:lead], order[lead:]
+        scores = sum((x * self.by_term[t, first] for x, t in zip(q, terms, strict=True)), np.zeros((len(first), self.block), self.kind))
+        work[2] += scores.size * len(q)
+        take(first, scores)
+        least = lambda: best[-1][0] if len(best) == k else None
+        if (bar := least()) is not None:
+            # A block whose bound equals the k-th score may still hold a smaller id.
+            open_ = rest[live, 0] >= bar
+            work[0] += int((~open_).sum())
+            live = live[open_]
+        so_far, step = np.zeros((len(live), self.block), self.kind), 0
+        while len(live) and step < len(q):
+            more = range(step, min(step + STEP, len(q)))
+            for c in more:
+                so_far += q[c] * self.by_term[terms[c], live]
+            work[2] += so_far.size * len(more)
+            step += len(more)
+            if step < len(q) and (bar := least()) is not None:
+                open_ = so_far.max(1) + rest[live, step] >= bar
+                work[1] += int((~open_).sum())
+                live, so_far = live[open_], so_far[open_]
+        if len(live):
+            take(live, so_far)
+        return best, work
+
+
+def search_blocks(q_ids: np.ndarray, q: np.ndarray, d_ids: np.ndarray, d: np.ndarray, k: int, block: int = BLOCK) -> tuple[list[tuple[int, int, int]], Work]:
+    """((query, document, score) of the k best of each query among these documents, what it took); scores are held within 64 bits."""
     wide = max(q.shape[1], d.shape[1])
     q, d = (np.pad(x, ((0, 0), (0, wide - x.shape[1]))) for x in (q, d))
-    starts = np.arange(0, len(d), block)
-    top, bottom = np.maximum.reduceat(d, starts, 0), np.minimum.reduceat(d, starts, 0)
-    bounds = _exact(np.maximum(q, 0), top) + _exact(np.minimum(q, 0), bottom)
-    order = np.argsort(-bounds, axis=1, kind="stable")
-    floor = np.iinfo(np.int64).min
-    best = np.full((len(q), k), floor)  # falling
-    who = np.full((len(q), k), np.iinfo(np.int64).max)
-    have = np.zeros(len(q), np.int64)
-    alive = np.arange(len(q))
-    for r in range(len(starts)):
-        at = order[alive, r]
-        # A block whose bound equals the k-th score may still hold a smaller id.
-        open_ = (have[alive] < k) | (bounds[alive, at] >= best[alive, k - 1])
-        alive, at = alive[open_], at[open_]
-        if not len(alive):
-            break
-        for b in np.unique(at):
-            rows, lo = alive[at == b], starts[b]
-            ids = d_ids[lo : lo + block]
-            scores = _exact(q[rows], d[lo : lo + block])
-            own = ids[None, :] == q_ids[rows][:, None]
-            s = np.concatenate([best[rows], np.where(own, floor, scores)], 1)
-            i = np.concatenate([who[rows], np.broadcast_to(np.where(own, np.iinfo(np.int64).max, ids), scores.shape)], 1)
-            pick = np.lexsort((i, -s.astype(np.float64) if np.abs(s[s > floor]).max(initial=0) < 2**53 else ~s), axis=1)[:, :k]
-            best[rows], who[rows] = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-            have[rows] += (~own).sum(1)
-    return [(int(q_ids[j]), int(who[j, c]), int(best[j, c])) for j in range(len(q)) for c in range(min(k, int(have[j])))]
+    held = Blocks(d_ids, d, float(np.abs(q.astype(np.float64)).max(initial=0)), block)
+    found, total = [], np.zeros(3, np.int64)
+    for q_id, row in zip(q_ids.tolist(), q, strict=True):
+        best, work = held.search(q_id, row, k)
+        total += work
+        found += [(q_id, i, min(max(s, -(2**63)), 2**63 - 1)) for s, i in best]
+    met = len(q) * len(held.starts)
+    return found, Work(met, int(total[0]), int(total[1]), int(total[2]), met * block * wide)
 
 
 def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, segment: int | None = None, group: int | None = None) -> DataFrame:
     """(query_id, rank, vec_id, score): the k candidates of highest inner product, ties to the smaller vec_id.
 
-    Both inputs are (vec_id, v array<long>), as integer_vectors makes them; repeated rows count once, and a
-    candidate with the query's own id is left out. Fewer than k candidates give fewer rows; vectors of different
-    widths meet as if filled with zeros, and an empty vector scores 0. segment and group bound the vectors of a
-    unit of work; by default they follow the sizes between fixed limits, which changes no result.
+    Both inputs are (vec_id, v array<long>), as integer_vectors makes them. Every row is a candidate, repeated ones
+    too, but for rows of the query's own id; the scores of query rows that share an id are ranked together. Fewer than
+    k candidates give fewer rows; vectors of different widths meet as if filled with zeros, and an empty vector
+    scores 0. Scores beyond 64 bits are held at their ends. segment and group bound the vectors of a unit of work;
+    by default they follow the sizes between fixed limits, which changes no result. Empty inputs give no rows.
     """
-    queries, candidates = queries.dropDuplicates(), candidates.dropDuplicates()
     pack = lambda df, rows, ordered: df.select("vec_id", "v").mapInArrow(lambda it: _packed(it, rows, ordered), "ids binary, vals binary, width int")
     docs = materialize(pack(candidates, BLOCK * UNIT, True), "topk-blocks")
     asked = materialize(pack(queries, 256, False), "topk-queries")
@@ -155,8 +240,7 @@ def exact_topk(queries: DataFrame, candidates: DataFrame, k: int = 5, segment: i
         if len(left) and len(right):
             d_ids, d = _unpack(left)
             q_ids, q = _unpack(right)
-            for i in range(0, len(q), 1024):
-                found += search_blocks(q_ids[i : i + 1024], q[i : i + 1024], d_ids, d, k)
+            found, _ = search_blocks(q_ids, q, d_ids, d, k)
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"]).astype("int64")
 
     near = docs.groupBy("seg", "grp").cogroup(asked.groupBy("seg", "grp")).applyInPandas(unit, "query_id long, vec_id long, score long")

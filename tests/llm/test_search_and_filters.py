@@ -10,7 +10,7 @@ import numpy as np
 from provena.llm import queries, sql
 from provena.llm.components import connected_components
 from provena.llm.quotations import link_quotations
-from provena.llm.topk import exact_topk, integer_vectors, search_blocks
+from provena.llm.topk import exact_topk, integer_vectors, search_blocks, tight_order
 from provena.llm.url_filters import Rule, judge_urls
 
 from tests.llm.helpers import clashing
@@ -35,13 +35,14 @@ def test_topk_equals_brute_force_with_ties_and_bad_vectors(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
     v = integer_vectors(clashing(df))
     got = rows_of(exact_topk(v.filter("vec_id % 50 = 0"), v, segment=40, group=2))
+    # Row 7 is there twice and counts twice, as in the SQL.
+    assert in_duckdb(sql.TOPK, embeddings=df.filter("vec_id is not null")) == got
     ints = {i: [math.floor(256 * float(np.float32(x))) for x in e] for i, e, _ in rows[:140]}
     want = []
     for q in (0, 50, 100):
-        best = sorted(((-sum(a * b for a, b in zip(ints[q], e, strict=True)), i) for i, e in ints.items() if i != q))[:5]
+        best = sorted((-sum(a * b for a, b in zip(ints[q], ints[i], strict=True)), i) for i in [*ints, 7] if i != q)[:5]
         want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want, key=str)
-    assert in_duckdb(sql.TOPK, embeddings=df.filter("vec_id is not null").dropDuplicates(["vec_id"])) == got
 
 
 def test_topk_of_few_and_none(spark):
@@ -51,17 +52,43 @@ def test_topk_of_few_and_none(spark):
     assert rows_of(exact_topk(two.filter("vec_id = 0"), two)) == [(0, 1, 1, 3), (0, 2, 2, 0)]
 
 
-def test_block_search_prunes_nothing_that_counts():
+def test_topk_keeps_vectors_of_any_finite_size(spark):
+    rows = [(0, [1e14, 1.0]), (1, [1e14, -3.0]), (2, [1e30, 0.0]), (3, [-1e300, 5.0]), (4, [0.5, 0.25])]
+    v = integer_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
+    ints = {r["vec_id"]: r["v"] for r in v.collect()}
+    assert len(ints) == 5 and ints[0] == [256 * 10**14, 256] and ints[2][0] == 2**63 - 1024 and ints[3][0] == -(2**63) + 1024
+    got = [(r["vec_id"], r["score"]) for r in exact_topk(v.filter("vec_id = 0"), v).orderBy("rank").collect()]
+    want = sorted(((max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[0], x, strict=True)))), i) for i, x in ints.items() if i), key=lambda t: (-t[0], t[1]))
+    assert [(i, s) for s, i in want] == got
+
+
+def test_block_search_equals_brute_force():
     rng = np.random.default_rng(1)
-    for low, high in ((-3, 3), (-(2**20), 2**20), (-(2**40), 2**40)):
-        d, q = rng.integers(low, high, (300, 6)), rng.integers(low, high, (9, 6))
-        got = search_blocks(np.arange(1000, 1009), q, np.arange(300), d, 5, block=16)
+    for low, high in ((-3, 3), (-(2**20), 2**20), (-(2**40), 2**40), (0, 4)):
+        d, q = rng.integers(low, high, (300, 20)), rng.integers(low, high, (9, 20))
+        d[150:] = d[:150]  # ties
+        got, _ = search_blocks(np.arange(1000, 1009), q, np.arange(300), d, 5, block=16)
         for j in range(9):
             s = sorted((-sum(int(a) * int(b) for a, b in zip(q[j], x, strict=True)), i) for i, x in enumerate(d.tolist()))[:5]
-            clip = [(max(-(2**63), min(2**63 - 1, -x)), i) for x, i in s]
-            mine = [(x, i) for a, i, x in got if a == 1000 + j]
-            assert [x for x, _ in mine] == [x for x, _ in clip]
-            assert high >= 2**40 or mine == clip
+            assert [(x, i) for a, i, x in got if a == 1000 + j] == [(max(-(2**63), min(2**63 - 1, -x)), i) for x, i in s]
+
+
+def test_blocks_are_pruned():
+    """Vectors without any order leave most blocks on the way, clusters leave them at once; neither changes a result."""
+    rng = np.random.default_rng(4)
+    unit = lambda x: np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    for d, q, at_once, on_the_way in (
+        (unit(rng.normal(size=(8192, 64))), unit(rng.normal(size=(20, 64))), 0.0, 0.3),
+        (unit(np.repeat(rng.normal(size=(128, 64)), 64, 0) + 0.05 * rng.normal(size=(8192, 64))), unit(rng.normal(size=(20, 64))), 0.5, 0.0),
+    ):
+        d = d[rng.permutation(len(d))]
+        d = d[tight_order(d)]
+        got, work = search_blocks(np.arange(10**6, 10**6 + 20), q, np.arange(len(d)), d, 5)
+        assert work.left_at_once >= at_once * work.met and work.left_on_the_way >= on_the_way * work.met and work.share_left > 0.3 and work.share_saved > 0.05
+        scores = q @ d.T
+        want = [(10**6 + j, int(i), int(scores[j, i])) for j in range(20) for i in np.lexsort((np.arange(len(d)), -scores[j]))[:5]]
+        assert got == want
+    assert sorted(tight_order(np.zeros((200, 3), np.int64)).tolist()) == list(range(200))
 
 
 def test_components(spark):
