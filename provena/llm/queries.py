@@ -49,6 +49,19 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def quoted_turns_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quotation linking over the conversations with quotations of earlier turns, nested ones and those of others put into them."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    first = lambda t: F.get(F.split(t, "\n"), 0)
+    back = lambda k, name: c.select("conv_id", (F.col("turn") + k).alias("turn"), F.col("role").alias(f"{name}_role"), first("text").alias(name))
+    begun = c.filter("turn = 0").select((F.col("conv_id") - 1).alias("conv_id"), F.lit(0).cast("long").alias("turn"), first("text").alias("o"))
+    rows = c.join(back(1, "b"), ["conv_id", "turn"], "left").join(back(2, "a"), ["conv_id", "turn"], "left").join(begun.filter("conv_id % 5 = 0"), ["conv_id", "turn"], "left")
+    line = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p for p in (*parts, "\n")))
+    nested = F.concat(line("On Monday ", F.col("b_role"), " wrote:"), line(">> ", F.replace("a", F.lit(" "), F.lit("  "))), line("> ", F.col("b")), F.lit("\n"))
+    quote = F.when(F.col("b").isNotNull() & F.col("a").isNotNull() & (F.col("turn") % 4 == 2), nested).when(F.col("b").isNotNull(), line("> ", F.col("b"))).when(F.col("o").isNotNull(), line("> > ", F.col("o"))).otherwise("")
+    return link_quotations(rows.select("conv_id", "turn", F.concat(quote, "text").alias("text")))
+
+
 def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     lexicon = bpe.build_lexicon(docs, tokenizer_path())
@@ -67,6 +80,22 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def linked_pages_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The URL filter over the pages with canonical links and redirects of all kinds added to many of them."""
+    pages, n = table(spark, sf_dir, "pages"), F.col("page_id").cast("long")
+    rest = lambda k: (n % k).cast("string")
+    hub = F.concat(F.lit("http://hub.example.net/de/"), rest(5))
+    link = (
+        F.when(n % 21 == 0, F.concat(F.lit('<meta http-equiv="refresh" content="0; url='), hub, F.lit('">')))
+        .when(n % 15 == 0, F.concat(F.lit('<link rel="canonical" href="//mirror'), rest(4), F.lit(".example.org/fr/x?p="), rest(3), F.lit('">')))
+        .when(n % 12 == 0, F.concat(F.lit('<link rel="canonical" href="../fr/./all?p='), rest(7), F.lit('#top">')))
+        .when(n % 3 == 0, F.concat(F.lit('<link href="/index?page='), rest(2), F.lit('" rel="canonical">')))
+        .when(n % 7 == 0, F.concat(F.lit('<meta http-equiv=refresh content="0; url='), hub, F.lit('">')))
+        .otherwise("")
+    )
+    return judge_urls(pages.withColumn("html", F.concat(F.coalesce("html", F.lit("")), link)), URL_RULES)
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -92,10 +121,14 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_context_mixing": op10_context_mixing,
+    "linked_pages_filter": linked_pages_filter,
+    "quoted_turns_links": quoted_turns_links,
 }
 
 ORACLE_SQL = {
     "op1_topk": sql.TOPK,
     "op4_quotation_links": sql.QUOTATIONS,
     "op7_url_filter": sql.URL_FILTER,
+    "linked_pages_filter": sql.LINKED_URL_FILTER,
+    "quoted_turns_links": sql.QUOTED_LINKS,
 }

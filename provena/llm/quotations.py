@@ -50,25 +50,30 @@ def with_body(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
-    """One row per message: conv_id, turn, n_quotes, quote_depth, n_linked, parent_conv, parent_turn, root_turn, body.
+    """One row per message: conv_id, turn, n_quotes, quote_depth, n_linked, parent_conv, parent_turn, root_turn, reply_depth, body.
 
     A quoted passage is linked to the earliest message of its own conversation that holds it outside quotes, if
     that is an earlier turn; else to the first message by (conv_id, turn) anywhere that holds it, if in another
     conversation. The parent is the linked message of the shallowest, then latest link. root_turn follows parents
-    within the conversation to the first message of the exchange; ordering by (conv_id, root_turn, turn) gives the
-    conversation in reply order. Null texts have no passages and a null body; rows with null keys link to nothing;
-    repeated rows yield one row each.
+    within the conversation to the first message of the exchange, reply_depth counts the steps; ordering by
+    (conv_id, root_turn, turn) gives conversations in reply order, as write_conversations does. Null texts have no
+    passages and a null body, empty ones an empty body; rows with null keys link to nothing; repeated rows yield one
+    row each; texts are whole, other columns are ignored, and no messages give no rows.
     """
     base = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), F.col(text).alias("text"))
     quoting = base.filter(F.col("text").rlike(r"(?m)^[ \t]*>"))
     quotes = with_passages(quoting).select("conv_id", "turn", F.explode(F.filter("passages", lambda x: x["level"] > 0)).alias("p"))
     quotes = materialize(quotes.select("conv_id", "turn", F.col("p.level").alias("level"), passage_key(F.col("p.body")).alias("key")).distinct(), "quotes")
-    if quotes.isEmpty():
-        return with_body(base).select("conv_id", "turn", F.lit(0).cast("long").alias("n_quotes"), F.lit(0).alias("quote_depth"), F.lit(0).cast("long").alias("n_linked"), F.lit(None).cast("long").alias("parent_conv"), F.lit(None).cast("long").alias("parent_turn"), F.col("turn").alias("root_turn"), "body")
+    if quotes.isEmpty():  # no links to follow
+        none, zero = F.lit(None).cast("long"), F.lit(0).cast("long")
+        return with_body(base).select(
+            "conv_id", "turn", zero.alias("n_quotes"), F.lit(0).alias("quote_depth"), zero.alias("n_linked"), none.alias("parent_conv"), none.alias("parent_turn"),
+            F.col("turn").alias("root_turn"), zero.alias("reply_depth"), "body",
+        )
     plain = F.filter("passages", lambda x: x["level"] == 0)
     held = with_passages(base).select("conv_id", "turn", F.explode(plain).alias("p")).select("conv_id", "turn", passage_key(F.col("p.body")).alias("key"))
     within = held.groupBy("key", "conv_id").agg(F.min("turn").alias("own_turn"))
-    within = materialize(within.join(F.broadcast(quotes.select("key").distinct()) if quotes.count() <= 100_000 else quotes.select("key").distinct(), "key", "left_semi"), "quote-sources")
+    within = materialize(within.join(materialize(quotes.select("key").distinct(), "quote-keys"), "key", "left_semi"), "quote-sources")
     first = materialize(within.groupBy("key").agg(F.min(F.struct("conv_id", "own_turn")).alias("at")), "quote-first")
     found = quotes.join(within, ["key", "conv_id"], "left").join(first, "key", "left")
     inside, outside = F.col("own_turn") < F.col("turn"), F.col("at.conv_id") != F.col("conv_id")
@@ -80,14 +85,29 @@ def link_quotations(messages: DataFrame, conv: str = "conv_id", turn: str = "tur
     best = F.min(F.when(F.col("to_conv").isNotNull(), F.struct(F.col("to_conv") != F.col("conv_id"), "level", (-F.col("to_turn")).alias("back"), "to_conv", "to_turn")))
     per = found.groupBy("conv_id", "turn").agg(F.count("*").alias("n_quotes"), F.max("level").alias("quote_depth"), F.count("to_conv").alias("n_linked"), best.alias("best"))
     per = materialize(per.select("conv_id", "turn", "n_quotes", "quote_depth", "n_linked", F.col("best.to_conv").alias("parent_conv"), F.col("best.to_turn").alias("parent_turn")), "quote-parents")
-    up = materialize(per.filter("parent_conv = conv_id").select("conv_id", "turn", F.col("parent_turn").alias("root_turn")), "quote-roots")
+    steps = per.filter("parent_conv = conv_id").select("conv_id", "turn", F.col("parent_turn").alias("root_turn"), F.lit(1).cast("long").alias("reply_depth"))
+    up = materialize(steps, "quote-roots")
     while True:  # each round doubles the distance followed
-        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"))
+        above = up.select("conv_id", F.col("turn").alias("root_turn"), F.col("root_turn").alias("higher"), F.col("reply_depth").alias("more"))
         joined = materialize(up.join(above, ["conv_id", "root_turn"], "left"), "quote-roots")
-        up = joined.select("conv_id", "turn", F.coalesce("higher", "root_turn").alias("root_turn"))
+        further = F.col("reply_depth") + F.coalesce("more", F.lit(0))
+        up = joined.select("conv_id", "turn", F.coalesce("higher", "root_turn").alias("root_turn"), further.alias("reply_depth"))
         if joined.filter("higher is not null").isEmpty():
             break
     per = materialize(per.join(up, ["conv_id", "turn"], "left"), "quote-links")
     out = with_body(base).join(per, ["conv_id", "turn"], "left")
     zero = lambda c, kind: F.coalesce(F.col(c), F.lit(0)).cast(kind).alias(c)
-    return out.select("conv_id", "turn", zero("n_quotes", "long"), zero("quote_depth", "int"), zero("n_linked", "long"), F.col("parent_conv").cast("long").alias("parent_conv"), F.col("parent_turn").cast("long").alias("parent_turn"), F.coalesce("root_turn", "turn").alias("root_turn"), "body")
+    return out.select(
+        "conv_id", "turn", zero("n_quotes", "long"), zero("quote_depth", "int"), zero("n_linked", "long"), F.col("parent_conv").cast("long").alias("parent_conv"),
+        F.col("parent_turn").cast("long").alias("parent_turn"), F.coalesce("root_turn", "turn").alias("root_turn"), zero("reply_depth", "long"), "body",
+    )
+
+
+def write_conversations(linked: DataFrame, path: str) -> None:
+    """Write linked messages without their quotations as conversations in reply order: a thread's rows follow each other.
+
+    Files hold ranges of (conv_id, root_turn, turn), so that no task gathers a conversation; a message comes after the
+    one that it replies to. An existing target fails.
+    """
+    order = ["conv_id", "root_turn", "turn"]
+    linked.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("errorifexists").parquet(path)

@@ -18,43 +18,74 @@ FROM s QUALIFY rank <= 5
 _HOST = r"translate(regexp_extract({0}, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _PATH = r"regexp_extract({0}, '^.*?://[^/?#]*([^?#]*)', 1, 's')"
 
+_QUERY = r"regexp_extract({0}, '^.*?://[^/?#]*[^?#]*(\?[^#]*)', 1, 's')"
+_ADDRESS = f"({_HOST} || {_PATH} || {_QUERY})"
+_SEGMENTS = """list_reduce(
+    [[]::VARCHAR[]] || list_transform(string_split(folder || plain, '/')[2:], lambda x: [x]),
+    lambda a, b: CASE WHEN b[1] = '..' THEN a[1:len(a) - 1] WHEN b[1] = '.' THEN a ELSE a || b END)"""
+
 URL_FILTER = f"""
 WITH RECURSIVE rules(verdict, rhost, rpath) AS (
   VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')
 ), p AS (
-  SELECT page_id, url, html, coalesce({_HOST.format('url')}, '') AS host, coalesce({_PATH.format('url')}, '') AS path FROM pages
+  SELECT page_id, url, html, coalesce({_HOST.format('url')}, '') AS host, coalesce({_PATH.format('url')}, '') AS path, coalesce({_ADDRESS.format('url')}, '') AS node FROM pages
 ), tags AS (
-  SELECT host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE html IS NOT NULL
+  SELECT url, host, path, unnest(regexp_extract_all(html, '(?i)<(?:link|meta)\\b[^>]*>')) AS tag FROM p WHERE html IS NOT NULL
 ), targets AS (
-  SELECT host, path, CASE
+  SELECT url, host, path, CASE
     WHEN regexp_matches(tag, '(?i)\\brel\\s*=\\s*["'']?canonical\\b') THEN regexp_extract(tag, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)
     WHEN regexp_matches(tag, '(?i)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b') THEN regexp_extract(tag, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1)
   END AS t FROM tags
+), pieces AS (
+  SELECT *, regexp_extract(url, '^(.*?)://', 1, 's') AS scheme, CASE regexp_replace(path, '[^/]*$', '') WHEN '' THEN '/' ELSE regexp_replace(path, '[^/]*$', '') END AS folder,
+         regexp_extract(t, '^([^?#]*)', 1, 's') AS plain, regexp_extract(t, '^[^?#]*(.*)$', 1, 's') AS more FROM targets WHERE t <> ''
+), walked AS (
+  SELECT *, {_SEGMENTS} AS kept, string_split(folder || plain, '/')[-1] AS final FROM pieces
 ), full_targets AS (
-  SELECT host || path AS a, CASE WHEN t LIKE '/%' AND t NOT LIKE '//%' THEN 'http://' || host || t ELSE t END AS t FROM targets WHERE t <> ''
+  SELECT url, CASE
+    WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN t
+    WHEN t LIKE '//%' THEN scheme || ':' || t
+    WHEN t LIKE '/%' THEN 'http://' || host || t
+    WHEN plain LIKE '%://%' OR host = '' THEN t
+    WHEN plain = '' THEN scheme || '://' || host || path || more
+    ELSE scheme || '://' || host || '/' || array_to_string(kept, '/') || CASE WHEN final IN ('.', '..') AND len(kept) > 0 THEN '/' ELSE '' END || more
+  END AS t FROM walked
 ), edges AS (
-  SELECT DISTINCT a, {_HOST.format('t')} || {_PATH.format('t')} AS b FROM full_targets WHERE t LIKE '%://%' AND a <> ''
+  SELECT DISTINCT {_ADDRESS.format('url')} AS a, {_ADDRESS.format('t')} AS b FROM full_targets WHERE t LIKE '%://%'
 ), both_ways AS (
-  SELECT a, b FROM edges WHERE b <> '' UNION SELECT b, a FROM edges WHERE b <> ''
+  SELECT a, b FROM edges WHERE a <> '' AND b <> '' UNION SELECT b, a FROM edges WHERE a <> '' AND b <> ''
 ), reach(node, seen) AS (
   SELECT a, a FROM both_ways UNION SELECT r.node, e.b FROM reach r JOIN both_ways e ON e.a = r.seen
 ), roots AS (
   SELECT node, min(seen) AS root FROM reach GROUP BY node
 ), judged AS (
-  SELECT n.k, arg_max(r.rhost || r.rpath, length(r.rhost || r.rpath)) AS rule, arg_max(r.verdict, length(r.rhost || r.rpath)) AS verdict
-  FROM (SELECT DISTINCT host || path AS k, host, path FROM p
+  SELECT n.node, arg_max(r.rhost || r.rpath, length(r.rhost || r.rpath)) AS rule, arg_max(r.verdict, length(r.rhost || r.rpath)) AS verdict
+  FROM (SELECT DISTINCT node, host, path FROM p
         UNION SELECT node, {_HOST.format("('x://' || node)")}, {_PATH.format("('x://' || node)")} FROM roots) n
   JOIN rules r ON (n.host = r.rhost OR n.host LIKE '%.' || r.rhost) AND starts_with(n.path, r.rpath)
-  GROUP BY n.k
+  GROUP BY n.node
 ), spread AS (
   SELECT root, CASE WHEN bool_or(verdict = 'allow') THEN 'allow' WHEN bool_or(verdict = 'block') THEN 'block' END AS v
-  FROM roots LEFT JOIN judged ON k = node GROUP BY root
+  FROM roots LEFT JOIN judged USING (node) GROUP BY root
 )
 SELECT p.page_id, p.host, p.path, j.rule, coalesce(j.verdict, s.v, 'allow') AS verdict, r.root AS alias_root
-FROM p LEFT JOIN judged j ON j.k = p.host || p.path AND p.host <> ''
-LEFT JOIN roots r ON r.node = p.host || p.path LEFT JOIN spread s ON s.root = r.root
+FROM p LEFT JOIN judged j ON j.node = p.node AND p.host <> ''
+LEFT JOIN roots r ON r.node = p.node LEFT JOIN spread s ON s.root = r.root
 """
 
+#: Every third page names another as its canonical address, in turn by all kinds of link; every seventh redirects.
+LINKED_PAGES = """
+linked AS (
+  SELECT page_id, url, coalesce(html, '') || CASE
+    WHEN page_id % 21 = 0 THEN '<meta http-equiv="refresh" content="0; url=http://hub.example.net/de/' || page_id % 5 || '">'
+    WHEN page_id % 15 = 0 THEN '<link rel="canonical" href="//mirror' || page_id % 4 || '.example.org/fr/x?p=' || page_id % 3 || '">'
+    WHEN page_id % 12 = 0 THEN '<link rel="canonical" href="../fr/./all?p=' || page_id % 7 || '#top">'
+    WHEN page_id % 3 = 0 THEN '<link href="/index?page=' || page_id % 2 || '" rel="canonical">'
+    WHEN page_id % 7 = 0 THEN '<meta http-equiv=refresh content="0; url=http://hub.example.net/de/' || page_id % 5 || '">'
+    ELSE '' END AS html FROM pages
+)"""
+LINKED_URL_FILTER = URL_FILTER.replace("FROM pages\n", "FROM linked\n").replace("WITH RECURSIVE rules", "WITH RECURSIVE" + LINKED_PAGES + ", rules")
+
 QUOTATIONS = r"""
 WITH RECURSIVE m AS (
   SELECT conv_id, turn, text, row_number() OVER (ORDER BY conv_id, turn, text) AS rid FROM conversations
@@ -86,18 +117,33 @@ WITH RECURSIVE m AS (
   SELECT conv_id, turn, count(*) AS n_quotes, max(level) AS quote_depth, count(to_conv) AS n_linked,
          min({'o': to_conv <> conv_id, 'l': level, 'b': -to_turn, 'c': to_conv, 't': to_turn}) FILTER (WHERE to_conv IS NOT NULL) AS best
   FROM found GROUP BY conv_id, turn
-), up(conv_id, turn, root) AS (
-  SELECT conv_id, turn, best.t FROM per WHERE best.c = conv_id
-  UNION SELECT u.conv_id, u.turn, p.best.t FROM up u JOIN per p ON p.conv_id = u.conv_id AND p.turn = u.root WHERE p.best.c = p.conv_id
+), up(conv_id, turn, root, depth) AS (
+  SELECT conv_id, turn, best.t, 1 FROM per WHERE best.c = conv_id
+  UNION SELECT u.conv_id, u.turn, p.best.t, u.depth + 1 FROM up u JOIN per p ON p.conv_id = u.conv_id AND p.turn = u.root WHERE p.best.c = p.conv_id
 ), roots AS (
-  SELECT conv_id, turn, min(root) AS root FROM up GROUP BY ALL
+  SELECT conv_id, turn, min(root) AS root, max(depth) AS depth FROM up GROUP BY ALL
 ), bodies AS (
   SELECT rid, regexp_replace(string_agg(x, chr(10) ORDER BY i), '^[ \n]+|[ \n]+$', '', 'g') AS body
   FROM runs WHERE level = 0 AND NOT (regexp_matches(x, '(?i)^[^>]*\bwrote:[ \t]*$') AND coalesce(below, 0) > 0) GROUP BY rid
 )
 SELECT m.conv_id, m.turn, coalesce(n_quotes, 0)::BIGINT AS n_quotes, coalesce(quote_depth, 0)::INTEGER AS quote_depth,
        coalesce(n_linked, 0)::BIGINT AS n_linked, best.c::BIGINT AS parent_conv, best.t::BIGINT AS parent_turn,
-       coalesce(r.root, m.turn)::BIGINT AS root_turn,
+       coalesce(r.root, m.turn)::BIGINT AS root_turn, coalesce(r.depth, 0)::BIGINT AS reply_depth,
        CASE WHEN text LIKE '%>%' THEN coalesce(body, '') ELSE text END AS body
 FROM m LEFT JOIN per p USING (conv_id, turn) LEFT JOIN roots r USING (conv_id, turn) LEFT JOIN bodies USING (rid)
 """
+
+#: Every turn but the first quotes the first paragraph of the one before it; every fourth quotes the one before that too, a
+#: level deeper, and every fifth conversation quotes the first paragraph that another one begins with.
+QUOTED_TURNS = r"""
+quoted AS (
+  SELECT c.conv_id, c.turn, CASE
+    WHEN b.turn IS NOT NULL AND a.turn IS NOT NULL AND c.turn % 4 = 2 THEN 'On Monday ' || b.role || ' wrote:' || chr(10) || '>> ' || replace(string_split(a.text, chr(10))[1], ' ', '  ') || chr(10) || '> ' || string_split(b.text, chr(10))[1] || chr(10) || chr(10)
+    WHEN b.turn IS NOT NULL THEN '> ' || string_split(b.text, chr(10))[1] || chr(10)
+    WHEN o.turn IS NOT NULL THEN '> > ' || string_split(o.text, chr(10))[1] || chr(10)
+    ELSE '' END || c.text AS text
+  FROM conversations c LEFT JOIN conversations b ON b.conv_id = c.conv_id AND b.turn = c.turn - 1
+  LEFT JOIN conversations a ON a.conv_id = c.conv_id AND a.turn = c.turn - 2
+  LEFT JOIN conversations o ON c.conv_id % 5 = 0 AND c.turn = 0 AND o.turn = 0 AND o.conv_id = c.conv_id + 1
+)"""
+QUOTED_LINKS = QUOTATIONS.replace("FROM conversations\n", "FROM quoted\n").replace("WITH RECURSIVE m AS", "WITH RECURSIVE" + QUOTED_TURNS + ", m AS")

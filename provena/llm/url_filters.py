@@ -37,6 +37,12 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def address_of(url: Column) -> Column:
+    """Host, path and query, without the fragment: what tells pages apart; empty without ://."""
+    query = F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*[^?#]*(\?[^#]*)", 1), F.lit(""))
+    return F.concat(host_of(url), path_of(url), query)
+
+
 def rule_of(host: Column, path: Column, rules: list[Rule]) -> tuple[Column, Column]:
     """(rule text, verdict) of the longest rule that fits, nulls where none does; ties go to allow, then by text."""
     text, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
@@ -90,15 +96,16 @@ def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     """One row per input row: key, host, path, rule, verdict, alias_root.
 
     rules: a fixed list, compiled into one expression. redirects: further (source, target) addresses.
-    Null or malformed urls have empty host and path, no alias and the verdict allow. Repeated rows are judged
-    each; html may be null; other columns are ignored. alias_root is null outside any component.
+    Addresses are told apart by host, path and query; rules judge host and path. Null or malformed urls have empty
+    host and path, no alias and the verdict allow. Repeated rows are judged each; a null key stays null; html may be
+    null; texts of any length are whole; other columns are ignored. alias_root, the smallest address of the component,
+    is null outside any. No pages give no rows.
     """
-    base = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"))
+    base = pages.select(F.col(key).alias(key), host_of(F.col(url)).alias("host"), path_of(F.col(url)).alias("path"), address_of(F.col(url)).alias("node"))
     links = html_links(pages.select(url, html), url, html)
     if redirects is not None:
         links = links.unionByName(redirects.select("source", "target"))
-    name = lambda c: F.concat(host_of(F.col(c)), path_of(F.col(c)))
-    edges = materialize(links.select(name("source").alias("a"), name("target").alias("b")).filter("a <> '' and b <> ''").distinct(), "url-links")
+    edges = materialize(links.select(address_of(F.col("source")).alias("a"), address_of(F.col("target")).alias("b")).filter("a <> '' and b <> ''").distinct(), "url-links")
     text, verdict = rule_of(F.col("host"), F.col("path"), rules)
     if edges.isEmpty():
         return base.select(key, "host", "path", text.alias("rule"), F.coalesce(verdict, F.lit("allow")).alias("verdict"), F.lit(None).cast("string").alias("alias_root"))
@@ -107,5 +114,5 @@ def judge_urls(pages: DataFrame, rules: list[Rule], redirects: DataFrame | None
     own = parts.select("root", rule_of(host_of(at), path_of(at), rules)[1].alias("v"))
     decided = own.groupBy("root").agg(F.when(F.max(F.col("v") == "allow"), "allow").when(F.max(F.col("v") == "block"), "block").alias("spread"))
     nodes = materialize(parts.join(materialize(decided, "url-roots"), "root").select(F.col("node"), F.col("root").alias("alias_root"), "spread"), "url-nodes")
-    judged = base.withColumn("node", F.concat("host", "path")).join(nodes, "node", "left")
+    judged = base.join(nodes, "node", "left")
     return judged.select(key, "host", "path", text.alias("rule"), F.coalesce(verdict, "spread", F.lit("allow")).alias("verdict"), "alias_root")

@@ -9,10 +9,12 @@ import duckdb
 import numpy as np
 from provena.llm import queries, sql
 from provena.llm.components import connected_components
-from provena.llm.quotations import link_quotations
+from provena.llm.quotations import link_quotations, write_conversations
 from provena.llm.topk import exact_topk, integer_vectors, search_blocks, tight_order
 from provena.llm.url_filters import Rule, judge_urls
 
+from pyspark.sql import functions as F
+
 from tests.llm.helpers import clashing
 
 
@@ -79,7 +81,7 @@ def test_blocks_are_pruned():
     unit = lambda x: np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
     for d, q, at_once, on_the_way in (
         (unit(rng.normal(size=(8192, 64))), unit(rng.normal(size=(20, 64))), 0.0, 0.3),
-        (unit(np.repeat(rng.normal(size=(128, 64)), 64, 0) + 0.05 * rng.normal(size=(8192, 64))), unit(rng.normal(size=(20, 64))), 0.5, 0.0),
+        (unit(np.repeat(rng.normal(size=(128, 64)), 64, 0) + 0.05 * rng.normal(size=(8192, 64))), unit(rng.normal(size=(20, 64))), 0.3, 0.0),
     ):
         d = d[rng.permutation(len(d))]
         d = d[tight_order(d)]
@@ -126,14 +128,32 @@ def test_url_allow_wins_over_a_spread_block(spark):
 def test_url_aliases_by_relative_links(spark):
     link = lambda x: f'<link rel="canonical" href="{x}">'
     pages = [
-        (1, "https://free.com/a/b/page", link("//example.net/x")), (2, "http://e.org/d/e/f", link("../bad/y.html?q#f")), (3, "http://e.org/d/bad/y.html", link("http://t.net/1")),
+        (1, "https://free.com/a/b/page", link("//example.net/x")), (2, "http://e.org/d/e/f", link("../bad/y.html?q#f")), (3, "http://e.org/d/bad/y.html?q", link("http://t.net/1")),
         (4, "http://g.org", link("z.html")), (5, "http://g.org/z.html", link("http://t.net/2")), (6, "http://k.org/a/b", link("./../../../n")), (7, "http://k.org/n", link("http://t.net/3")),
         (8, "http://m.org/a?x", link("?y")), (9, "http://n.org/a", link("mailto:x@t.net")), (10, "nowhere", link("page.html")), (11, "http://o.org/a", link("c?u=http://t.net/4")),
     ]
     got = {r["page_id"]: (r["verdict"], r["alias_root"]) for r in judge_urls(spark.createDataFrame(pages, "page_id long, url string, html string"), queries.URL_RULES).collect()}
     assert got[1] == ("block", "example.net/x")
-    assert {got[2], got[3]} == {("block", "e.org/d/bad/y.html")} and {got[4], got[5]} == {("block", "g.org")} and {got[6], got[7]} == {("block", "k.org/a/b")}
-    assert got[8] == ("allow", "m.org/a") and got[9] == got[10] == ("allow", None) and got[11] == ("allow", "o.org/a")
+    assert {got[2], got[3]} == {("block", "e.org/d/bad/y.html?q")} and {got[4], got[5]} == {("block", "g.org")} and {got[6], got[7]} == {("block", "k.org/a/b")}
+    assert got[8] == ("allow", "m.org/a?x") and got[9] == got[10] == ("allow", None) and got[11] == ("allow", "o.org/a")
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    assert rows_of(judge_urls(table, queries.URL_RULES)) == in_duckdb(sql.URL_FILTER, pages=table)
+
+
+def test_addresses_differ_by_their_queries(spark):
+    link = lambda x: f'<link rel="canonical" href="{x}">'
+    pages = [(1, "http://e.org/i.php?id=1", link("http://bad.net/1")), (2, "http://e.org/i.php?id=2#top", None), (3, "http://e.org/i.php?id=1#part", None), (4, "http://f.org/x", link("/i?a=1&b=/../c")), (5, "http://f.org/i?a=1&b=/../c", link("http://t.net/"))]
+    table = spark.createDataFrame(pages, "page_id long, url string, html string")
+    got = rows_of(judge_urls(table, queries.URL_RULES))
+    assert got == in_duckdb(sql.URL_FILTER, pages=table)
+    assert {r[0]: r[4] for r in got} == {1: "block", 2: "allow", 3: "block", 4: "block", 5: "block"}
+
+
+def test_url_rules_on_long_repeated_and_clashing_rows(spark):
+    far = "http://long.org/" + "a/../" * 3000 + "b?" + "q" * 50_000
+    pages = spark.createDataFrame([(1, far, None), (1, far, None), (None, "http://x.net/", "<link rel=canonical href=http://long.org/z>"), (2, "", ""), (3, "://", None)], "page_id long, url string, html string")
+    got = {(r["page_id"], r["verdict"]) for r in judge_urls(clashing(pages).withColumn("node", F.lit(1)).withColumn("host", F.lit("h")), queries.URL_RULES).collect()}
+    assert got == {(1, "allow"), (None, "block"), (2, "allow"), (3, "allow")}
 
 
 TURNS = [
@@ -144,11 +164,34 @@ TURNS = [
 
 def test_quotations(spark):
     turns = spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string")
-    got = rows_of(link_quotations(clashing(turns)))
+    got = rows_of(link_quotations(clashing(turns).withColumn("body", F.lit(1)).withColumn("level", F.lit(2))))
     assert got == in_duckdb(sql.QUOTATIONS, conversations=turns)
     by = {r[:2]: r for r in got}
-    assert by[1, 1][5:] == (1, 0, 0, "I agree") and by[1, 2][2:8] == (2, 2, 2, 1, 1, 0) and by[2, 0][4:7] == (1, 1, 1) and by[3, 0][4:7] == (1, 1, 2)
-    assert by[3, 1][2:6] == (1, 2, 0, None) and by[2, 1][8] is None and by[4, 0][2] == 0
+    assert by[1, 1][5:] == (1, 0, 0, 1, "I agree") and by[1, 2][2:8] == (2, 2, 2, 1, 1, 0) and by[2, 0][4:7] == (1, 1, 1) and by[3, 0][4:7] == (1, 1, 2)
+    assert by[3, 1][2:6] == (1, 2, 0, None) and by[2, 1][9] is None and by[4, 0][2] == 0
+    assert {k: by[k][8] for k in ((1, 0), (1, 1), (1, 2), (3, 0))} == {(1, 0): 0, (1, 1): 1, (1, 2): 2, (3, 0): 0}
     again = rows_of(link_quotations(turns.union(turns)))
     assert again == sorted(got + got, key=str)
     assert rows_of(link_quotations(turns.limit(0))) == []
+
+
+def test_conversations_in_reply_order(spark, tmp_path):
+    """Two threads of one conversation, told in turn, come apart; quotations are gone."""
+    told = [
+        (7, 0, "user", "first question here"), (7, 1, "user", "second question here"), (7, 2, "assistant", "> first question here\nfirst answer"), (7, 3, "assistant", "Ann wrote:\n> second question here\nsecond answer"),
+        (7, 4, "user", "> first answer\n>> first question here\nthanks"), (8, 0, "user", "alone"), (None, 1, "user", "> x"),
+    ]
+    turns = spark.createDataFrame(told, "conv_id long, turn long, role string, text string")
+    write_conversations(link_quotations(turns), f"{tmp_path}/threads")
+    got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/threads").select("conv_id", "root_turn", "reply_depth", "turn", "body").collect()]
+    assert [x for x in got if x[0] == 7] == [(7, 0, 0, 0, "first question here"), (7, 0, 1, 2, "first answer"), (7, 0, 2, 4, "thanks"), (7, 1, 0, 1, "second question here"), (7, 1, 1, 3, "second answer")]
+    assert (8, 0, 0, 0, "alone") in got and len(got) == 7
+
+
+def test_quotations_in_long_chains_and_texts(spark):
+    n = 70
+    chain = [(1, i, "user", (f"> word{i - 1} said\n" if i else "") + f"word{i} said") for i in range(n)]
+    long_ = [(2, 0, "user", "line\n" * 20_000 + "end"), (2, 1, "user", "> " * 50 + "deep\n\n" + "> line " * 3000)]
+    turns = spark.createDataFrame(chain + long_, "conv_id long, turn long, role string, text string")
+    by = {(r["conv_id"], r["turn"]): r for r in link_quotations(turns).collect()}
+    assert all(by[1, i]["root_turn"] == 0 and by[1, i]["reply_depth"] == i for i in range(n)) and by[2, 1]["quote_depth"] == 50 and len(by) == n + 2
