@@ -1,12 +1,14 @@
 """Secret scanning: fixed patterns, then the compression novelty of strings in sensitive contexts.
 
-A candidate is a run of secret-like characters that follows a sensitive word and an assignment within one line.
-Its novelty is its marginal cost: bytes of the surrounding text with the candidate, less bytes without it, both
-compressed by zstandard primed with a dictionary of code identifiers. What the dictionary and the surroundings
-explain costs little; a random string costs nearly its entropy. Candidates that stay incompressible are reported.
+A candidate is a run of secret-like characters that follows a sensitive word and an assignment within one line, or the
+lines of a private key's block. Its novelty is its marginal cost: bytes of the surrounding text with the candidate in its
+place, less bytes without it, both compressed by zstandard primed with a dictionary of identifiers: a fixed list of
+those around secrets, and the names that most documents of the corpus use, candidates' values left out. What the
+dictionary and the surroundings explain costs little; a random string costs nearly its entropy. Candidates that stay
+incompressible are reported.
 
 Zstandard stores the letters of a short text as they are, so that a new word costs as much as a random key. A candidate
-without both a digit and a letter must therefore be costly by pairs of characters too, as learnt from common words and
+without both a digit and a letter must therefore be costly by pairs of characters too, as learnt from the dictionary and
 from its own document, itself taken out.
 """
 
@@ -24,7 +26,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import worker_memo
+from provena.llm.bpe import blocks
+from provena.llm.common import materialize, worker_memo
 
 # The patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -51,6 +54,9 @@ aws_access_key_id aws_secret_access_key github gitlab slack stripe azure google
 abcdefghijklmnopqrstuvwxyz ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 1234567890 00000000 xxxxxxxx ********
 """
 
+#: The lines of a private key, which may be written with escaped line ends.
+KEY_BLOCK = re.compile(r"PRIVATE\x20KEY-----((?:\\n|[A-Za-z0-9+/=\s])+)", re.ASCII)
+
 CONTEXT = 256  # code points of surrounding text on either side
 LEAST_BITS = 4.0  # marginal bits per byte from which a candidate counts as incompressible
 PAIR_BITS = 5.2  # bits per character by pairs, for candidates without both a digit and a letter
@@ -66,38 +72,50 @@ der die und den von das mit sich des auf ist nicht ein eine als auch nach wie au
 """
 
 
-@cache
-def _compressor() -> zstandard.ZstdCompressor:
-    words = " ".join(IDENTIFIERS.split())
-    primed = zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-    return zstandard.ZstdCompressor(level=19, dict_data=primed, write_content_size=False, write_checksum=False, write_dict_id=False)
-
-
-def marginal_bits(before: str, value: str, after: str) -> float:
-    """Bits per byte that the value adds to its compressed surroundings."""
-    size = lambda s: len(_compressor().compress(s.encode("utf-8", "surrogatepass")))
-    around, n = before + after, max(1, len(value.encode("utf-8", "surrogatepass")))
-    return 8 * (size(around + value) - size(around)) / n
+#: Names that documents use; letters alone, so that no key is among them.
+NAME = re.compile(r"[^\W\d]{4,24}")
+CAPITALISED = re.compile(r"(?:[A-Z]?[a-z]{2,})+", re.ASCII)  # words run together, each perhaps with a capital
+DICTIONARY_BYTES = 32_768  # of the corpus's names in the dictionary, the commonest
+LEAST_USERS = 3  # documents that use such a name
 
 
 def _pairs(text: str) -> tuple[Counter[tuple[str, str]], Counter[str]]:
     return Counter(zip(text, text[1:], strict=False)), Counter(text)
 
 
-@cache
-def _usual_pairs() -> tuple[Counter[tuple[str, str]], Counter[str]]:
-    return _pairs(" ".join((IDENTIFIERS + WORDS).split()))
+class Novelty:
+    """Marginal costs of strings, given the names of a corpus."""
+
+    def __init__(self, names: tuple[str, ...] = ()):
+        known = " ".join((IDENTIFIERS + WORDS).split())
+        # What stands last in a dictionary is cheapest to point to.
+        primed = zstandard.ZstdCompressionDict((" ".join(reversed(names)) + " " + " ".join(IDENTIFIERS.split())).encode("utf-8", "surrogatepass"), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        primed.precompute_compress(level=19)
+        self.compressor = zstandard.ZstdCompressor(dict_data=primed, level=19, write_content_size=False, write_checksum=False, write_dict_id=False)
+        self.usual = _pairs(known + " " + " ".join(names))
+        self.n_usual = self.usual[1].total()
 
+    def size(self, text: str) -> int:
+        return len(self.compressor.compress(text.encode("utf-8", "surrogatepass")))
 
-def pair_bits(value: str, text: str, own: tuple[Counter[tuple[str, str]], Counter[str]]) -> float:
-    """Bits per character of the value after the character before, by common words and its text, whose pairs are own, without it."""
-    times, mine, usual = text.count(value), _pairs(value), _usual_pairs()
-    shown = value.lower() if value.isupper() else value
-    pair = lambda a, b: usual[0][a, b] + max(0, own[0][a, b] - times * mine[0][a, b])
-    single = lambda a: usual[1][a] + max(0, own[1][a] - times * mine[1][a])
-    n = usual[1].total() + max(0, len(text) - times * len(value))
-    bits = [math.log2((single(a) + 4) / (pair(a, b) + 4 * (single(b) + 0.5) / (n + 64))) for a, b in zip(" " + shown, shown, strict=False)]
-    return sum(bits) / max(1, len(bits))
+    def marginal_bits(self, before: str, value: str, after: str) -> float:
+        """Bits per byte that the value adds to its compressed surroundings."""
+        return 8 * (self.size(before + value + after) - self.size(before + after)) / max(1, len(value.encode("utf-8", "surrogatepass")))
+
+    def pair_bits(self, value: str, text: str, own: tuple[Counter[tuple[str, str]], Counter[str]]) -> float:
+        """Bits per character of the value after the character before, by usual names and its text, whose pairs are own, without it."""
+        times, mine, usual = text.count(value), _pairs(value), self.usual
+        shown = value.lower() if value.isupper() or CAPITALISED.fullmatch(value) else value
+        pair = lambda a, b: usual[0][a, b] + max(0, own[0][a, b] - times * mine[0][a, b])
+        single = lambda a: usual[1][a] + max(0, own[1][a] - times * mine[1][a])
+        n = self.n_usual + max(0, len(text) - times * len(value))
+        bits = [math.log2((single(a) + 4) / (pair(a, b) + 4 * (single(b) + 0.5) / (n + 64))) for a, b in zip(" " + shown, shown, strict=False)]
+        return sum(bits) / max(1, len(bits))
+
+
+@cache
+def novelty(names: tuple[str, ...] = ()) -> Novelty:
+    return Novelty(names)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,22 +126,29 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(spans)
 
 
-def novel_spans(text: str, known: list[tuple[int, int, int]], least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the values in sensitive contexts, in order, none within another."""
+    found = [m.span(1) for m in SENSITIVE.finditer(text)] if HINT.search(text) else []
+    if "PRIVATE KEY-----" in text:
+        blocks_ = [(m.start(1), m.start(1) + len(m[1].rstrip())) for m in KEY_BLOCK.finditer(text)]
+        blocks_ = [(a, b) for a, b in blocks_ if b - a >= 32]
+        found = sorted([*blocks_, *((a, b) for a, b in found if not any(x <= b and a <= y for x, y in blocks_))])
+    return found
+
+
+def novel_spans(text: str, known: list[tuple[int, int, int]], own_names: Novelty | None = None, least_bits: float = LEAST_BITS) -> list[tuple[int, int, int]]:
     """Spans of incompressible values in sensitive contexts that no known span covers."""
-    if not HINT.search(text):
-        return []
-    found, own = [], None
-    for m in SENSITIVE.finditer(text):
-        a, b = m.span(1)
+    judge, found, own = own_names or novelty(), [], None
+    for a, b in candidates(text):
         value = text[a:b]
         if any(s <= a and b <= e for s, _, e in known):
             continue
-        if marginal_bits(text[max(0, a - CONTEXT) : a], value, text[b : b + CONTEXT]) < least_bits:
+        if judge.marginal_bits(text[max(0, a - CONTEXT) : a], value, text[b : b + CONTEXT]) < least_bits:
             continue
         mixed = any(c.isdigit() for c in value) and any(c.isalpha() for c in value)
         if not mixed:
             own = own or _pairs(text)
-        if mixed or pair_bits(value, text, own) >= PAIR_BITS:
+        if mixed or judge.pair_bits(value, text, own) >= PAIR_BITS:
             found.append((a, 3, b))
     return found
 
@@ -132,45 +157,90 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in sorted(spans))
 
 
-def all_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+def all_spans(text: str, own_names: Novelty | None = None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, all spans) of one text."""
     base = base_spans(text)
-    return base, sorted(base + novel_spans(text, base))
+    return base, sorted(base + novel_spans(text, base, own_names))
+
+
+def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names and how many of the documents use them; values of candidates and of the fixed kinds are cut out first."""
+    worker_memo("secrets")  # empties those of other operators
+    users: Counter[str] = Counter()
+
+    def flush() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array([w.encode("utf-8", "surrogatepass") for w in users], pa.binary()), pa.array(list(users.values()), pa.int64())], ["name", "n"])
+        users.clear()
+        return out
+
+    for _, texts in blocks(batches):
+        for text in texts:
+            spans = sorted([(a, b) for a, _, b in base_spans(text)] + candidates(text))
+            if spans:
+                pieces, end = [], 0
+                for a, b in spans:
+                    pieces.append(text[end : max(a, end)])
+                    end = max(end, b)
+                text = " ".join([*pieces, text[end:]])
+            users.update(set(NAME.findall(text)))
+        if len(users) > 300_000:
+            yield flush()
+    yield flush()
+
+
+def usual_names(docs: DataFrame, text: str = "text", most_bytes: int = DICTIONARY_BYTES) -> tuple[str, ...]:
+    """The names that most documents use, counted over all of them, the commonest first, as many as most_bytes hold."""
+    made = docs.select(F.col(text).alias("text")).mapInArrow(_names, "name binary, n long")
+    counted = materialize(made.groupBy("name").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_USERS), "secret-names")
+    out, size = [], 0
+    for r in counted.orderBy(F.desc("n"), "name").limit(most_bytes // 5).collect():  # a name takes five bytes or more
+        name = bytes(r["name"]).decode("utf-8", "surrogatepass")
+        size += len(r["name"]) + 1
+        if size > most_bytes:
+            break
+        out.append(name)
+    return tuple(out)
 
 
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string"
 
 
-def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _scan(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_memo("secrets")  # empties those of other operators
+    judge = novelty(names)
     for batch in batches:
         rows = []
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            base, every = all_spans(text or "")
+            base, every = all_spans(text or "", judge)
             n = [sum(k == kind for _, k, _ in base) for kind in range(3)]
             rows.append((doc_id, *n, hashlib.sha256(joined(base).encode()).hexdigest(), joined(every)))
         cols = zip(*rows, strict=True) if rows else [[]] * 6
         kinds = [pa.int64()] * 4 + [pa.string()] * 2
-        names = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names)
+        names_ = ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names_)
 
 
-def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", names: tuple[str, ...] | None = None) -> DataFrame:
     """One row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
-    Spans are kind:start:end in code points, end exclusive, by start and then kind. Null and empty texts have no
-    spans; a null id stays null; repeated rows are scanned each; other columns are ignored. One pass, no shuffle.
+    Spans are kind:start:end in code points, end exclusive, by start and then kind. names prime the dictionary, by
+    default those of the documents themselves, from a pass over all of them. Null and empty texts have no spans; a null
+    id stays null; repeated rows are scanned each; texts and values of any length are whole; other columns are ignored;
+    no documents give no rows.
     """
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(_scan, SCHEMA)
+    names = usual_names(docs, text) if names is None else names
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    return rows.mapInArrow(lambda it: _scan(names, it), SCHEMA)
 
 
-def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _redact(names: tuple[str, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     worker_memo("secrets")  # empties those of other operators
+    judge = novelty(names)
     for batch in batches:
         at = batch.schema.get_field_index("text")
         out = []
         for text in batch.column(at).to_pylist():
-            spans = all_spans(text)[1] if text else []
+            spans = all_spans(text, judge)[1] if text else []
             if spans:
                 pieces, end = [], 0
                 for a, k, b in spans:
@@ -182,9 +252,13 @@ def _redact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(at, batch.schema.field(at), pa.array(out, batch.schema.field(at).type))
 
 
-def redact_secrets(docs: DataFrame) -> DataFrame:
-    """The same rows and columns with every span of `text` replaced by a mark naming its kind; null stays null."""
-    return docs.mapInArrow(_redact, docs.schema)
+def redact_secrets(docs: DataFrame, names: tuple[str, ...] | None = None) -> DataFrame:
+    """The same rows and columns with every span of `text` replaced by a mark naming its kind; null stays null.
+
+    names as in scan_secrets. Other columns, whatever their names, stay; repeated rows stay each; no rows give none.
+    """
+    names = usual_names(docs) if names is None else names
+    return docs.mapInArrow(lambda it: _redact(names, it), docs.schema)
 
 
 def without_secrets(docs: DataFrame) -> DataFrame:

@@ -294,6 +294,57 @@ def test_mixing_base_counts_and_probabilities(spark):
     assert mixing.score(frame(spark, []), F.lit(True)).collect() == []
 
 
+def planted(rng: random.Random) -> tuple[list[tuple[str, str]], list[str]]:
+    """(lead, value) of random keys of many kinds, and lines with harmless values in the same places."""
+    pools = {"base62": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+    leads = ["Authorization: Bearer ", "client_key = ", "credential=", "session_id: ", "private_key => ", "auth is "]
+    keys = [(rng.choice(leads), "".join(rng.choice(pools[kind]) for _ in range(n))) for kind in pools for n in (20, 24, 32, 40, 64) for _ in range(12)]
+    words = "understanding internationalization responsibility configuration documentation administration notwithstanding straightforward".split()
+    harmless = [f"{lead}{value}" for lead in leads for value in ("-".join(rng.sample(words, 2)), rng.choice(words) + "_" + rng.choice(words), rng.choice(words).capitalize() + rng.choice(words).capitalize(), "xxxxxxxxxxxxxxxx", "1234567890123456")]
+    return keys, harmless
+
+
+def test_novelty_finds_planted_keys_and_leaves_names():
+    rng = random.Random(21)
+    keys, harmless = planted(rng)
+    prose = lambda: " ".join(rng.choice("the value of this service is read from its file before each call and kept".split()) for _ in range(40))
+    found = sum(secrets.novel_spans(text := f"{prose()} {lead}{value} {prose()}", []) == [(at := text.index(value), 3, at + len(value))] for lead, value in keys)
+    wrong = [h for h in harmless if secrets.novel_spans(f"{prose()} {h} {prose()}", [])]
+    assert found >= 0.95 * len(keys) and len(wrong) <= 0.05 * len(harmless), (found, len(keys), wrong)
+
+
+def test_novelty_is_measured_in_place_against_surroundings_and_names(spark):
+    judge = secrets.novelty()
+    known = "Qz7XkTnVb2RmLp9sWd4Y"
+    assert judge.marginal_bits(f"key {known} and ", known, " again") < 2 < judge.marginal_bits("key and ", known, " again")
+    assert judge.marginal_bits("key and ", known, f" again {known}") < 4 < judge.marginal_bits("key and ", known, " again")
+    # A name that many documents use costs less to a scanner that has learnt it; a key that many documents hold is not learnt.
+    rows = [(i, f"the cookie zyxoqwertuvamp is set; client_key = {known}Zz and {known}Zz", "en", "s", 1) for i in range(30)]
+    names = secrets.usual_names(frame(spark, rows))
+    assert "zyxoqwertuvamp" not in names and not any(known[:6] in n for n in names)
+    plain = [(i, "zyxoqwertuvamp and others", "en", "s", 1) for i in range(30)]
+    names = secrets.usual_names(frame(spark, plain))
+    assert "zyxoqwertuvamp" in names
+    costs = [secrets.novelty(k).marginal_bits("cookie ", "zyxoqwertuvamp", " is") for k in ((), names)]
+    assert costs[1] < costs[0] / 2
+    assert secrets.usual_names(frame(spark, [])) == ()
+
+
+def test_secrets_of_any_length_and_lines_are_removed_whole(spark):
+    rng = random.Random(13)
+    key = lambda n: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(n))
+    lines = [key(64) for _ in range(8)]
+    begin, end = "-----BEGIN RSA " + "PRIVATE KEY-----", "-----END RSA " + "PRIVATE KEY-----"
+    long_ = key(10_000).replace("/", "x")
+    rows = [(1, f"see\n{begin}\n" + "\n".join(lines) + f"\n{end}\nrest"), (2, f"Authorization: Bearer {long_} tail"), (3, '{"k": "' + begin + "\\n" + "\\n".join(lines) + "\\n" + end + '"}'), (4, f"{begin} is how such a block begins"), (5, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("name", F.lit("n")).withColumn("n", F.lit(1)).withColumn("spans", F.lit("s"))
+    clean = {r["doc_id"]: r for r in secrets.without_secrets(docs).collect()}
+    assert not any(x in clean[i]["text"] for i in (1, 3) for x in lines) and end in clean[1]["text"] and clean[1]["text"].endswith("rest")
+    assert clean[2]["text"] == "Authorization: Bearer [novel removed] tail" and clean[4]["text"] == rows[3][1] and clean[5]["text"] == ""
+    assert clean[1]["name"] == "n" and clean[1]["spans"] == "s"
+    assert secrets.without_secrets(docs.limit(0)).collect() == []
+
+
 def plain_head() -> mixing.Head:
     return mixing.Head([b"a", b"b", b""], np.array([[0, 5, 0, 0, 0, 0], [0, 3, 0, 0, 0, 0], [0, 2, 0, 0, 0, 0]]), np.array([0, 10, 0, 0, 0, 0]))
 
