@@ -5,17 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from provena.llm.common import materialize
+from provena.llm.common import discard, materialize
 
 
-def _star(edges: DataFrame, label: str) -> DataFrame:
+def _star(edges: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     """Link every neighbour of a node to the smallest of them; edges holds (u, v), both ways where wanted.
 
-    The minima are stored first: the join then sees two plain exchanges, which adaptive execution can
+    The minima are stored first and returned too: the join then sees two plain exchanges, which adaptive execution can
     split when one node has very many neighbours.
     """
     least = edges.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return edges.join(materialize(least, label), "u").select("u", "v", "m")
+    least = materialize(least, label)
+    return edges.join(least, "u").select("u", "v", "m"), least
 
 
 def connected_components(edges: DataFrame, a: str, b: str, label: str = "components", max_rounds: int = 60) -> DataFrame:
@@ -34,11 +35,12 @@ def connected_components(edges: DataFrame, a: str, b: str, label: str = "compone
             break
         before = mark
         around = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _star(around, label).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = materialize(large, label)
-        small = _star(large, label)
+        starred, least = _star(around, label)
+        large = materialize(starred.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), label)
+        small, lower = _star(large, label)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v")))
-        links = materialize(small.filter("u <> v").distinct(), label)
+        older, links = links, materialize(small.filter("u <> v").distinct(), label)
+        discard(older, least, large, lower)
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = links.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("root"))

@@ -8,9 +8,11 @@ Jaccard similarity. Only ranks up to a bound set by the document's weight are th
 empty; stretches double in length, so that documents of different weight throw the same darts.
 
 Bands of the signature are joined. Texts with the same words are one class from the start. In each band's bucket
-every text is compared exactly with the two hubs of the bucket; texts that stay outside the hubs' components
-are compared with the other members by signature, in blocks of bounded size, and exactly where those agree enough.
-Connected components of the links are the classes.
+every text is compared by its regions with the two hubs of the bucket. Where a bucket still holds several components,
+the members outside its largest one are compared with each other and with those of the largest one, in blocks of bounded
+size; members of the largest one need no comparison among themselves, so a bucket of one component and an outsider costs
+what its members are. Connected components of the links are the classes. Regions are 32-bit hashes: a similarity is
+exact but for their collisions, of which a pair of texts of a thousand words each has one in some two thousand.
 """
 
 from __future__ import annotations
@@ -290,21 +292,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def _rest(members: DataFrame, roots: DataFrame, regions: DataFrame, least: float) -> DataFrame | None:
-    """Links that the hubs have not shown: between texts of a bucket of three or more that are not yet of one component."""
+    """Links that the hubs have not shown: between texts of a bucket of three or more that are not yet of one component.
+
+    In every bucket the members outside its largest component are dealt to sides 0, 1, ..., those of the largest one to
+    sides -1, -2, ...; a block is a pair of sides of which the first is outside.
+    """
     large = materialize(members.filter("n > 2").select("bucket", "id"), "dart-large")
-    large = large.join(roots, large["id"] == roots["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
-    large = materialize(large, "dart-large")
-    mixed = large.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("n")).filter("x <> y")
-    mixed = materialize(mixed.select("bucket", "n"), "dart-mixed")
+    placed = large.join(roots, large["id"] == roots["node"], "left").select("bucket", "id", F.coalesce("root", "id").alias("comp"))
+    placed = materialize(placed, "dart-placed")
+    per = placed.groupBy("bucket", "comp").agg(F.count("*").alias("k"))
+    mixed = per.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("k").alias("n"), F.max(F.struct("k", "comp")).alias("main")).filter("comps > 1")
+    mixed = materialize(mixed.select("bucket", (F.col("n") - F.col("main.k")).alias("n_out"), F.col("main.k").alias("n_main"), F.col("main.comp").alias("main")), "dart-mixed")
     if mixed.isEmpty():
         return None
-    open_ = materialize(large.join(mixed, "bucket"), "dart-open")
-    sides = F.ceil(F.col("n") / SIDE).cast("int")
-    mine = F.pmod(F.xxhash64("id", "bucket"), sides).cast("int")
-    whole = open_.join(regions, "id").withColumn("sides", sides).withColumn("mine", mine)
-    n_bytes = open_.join(regions.select("id", F.octet_length("regions").alias("k")), "id").agg(F.sum(F.col("k") * sides)).first()[0] or 0
-    dealt = whole.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("sides") - 1)))
-    dealt = dealt.select("bucket", "id", "comp", "regions", "mine", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"))
+    open_ = materialize(placed.join(mixed, "bucket"), "dart-open")
+    sides = lambda n: F.ceil(F.col(n) / SIDE).cast("int")
+    out, spread = F.col("comp") != F.col("main"), F.xxhash64("id", "bucket")
+    side = F.when(out, F.pmod(spread, sides("n_out"))).otherwise(-1 - F.pmod(spread, sides("n_main"))).cast("int")
+    others = F.when(out, F.sequence(-sides("n_main"), sides("n_out") - 1)).otherwise(F.sequence(F.lit(0), sides("n_out") - 1))
+    dealt = open_.withColumn("mine", side).withColumn("others", others)
+    n_bytes = dealt.join(regions.select("id", F.octet_length("regions").alias("k")), "id").agg(F.sum(F.col("k") * F.size("others"))).first()[0] or 0
+    dealt = dealt.join(regions, "id").withColumn("other", F.explode("others"))
+    first = F.when(F.col("other") < 0, F.col("mine")).when(F.col("mine") < 0, F.col("other")).otherwise(F.least("mine", "other"))
+    second = F.when(F.col("other") < 0, F.col("other")).when(F.col("mine") < 0, F.col("mine")).otherwise(F.greatest("mine", "other"))
+    dealt = dealt.select("bucket", "id", "comp", "regions", "mine", first.alias("i"), second.alias("j"))
     groups = int(n_bytes // GROUP_BYTES) + 1
     by = [F.pmod(F.xxhash64("bucket", "i", "j"), F.lit(groups)).alias("g"), "i", "j"]
     return materialize(dealt.groupBy(*by).applyInArrow(lambda table: _compare(least, table), "a long, b long").distinct(), "dart-more-links")
@@ -313,12 +324,14 @@ def _rest(members: DataFrame, roots: DataFrame, regions: DataFrame, least: float
 def keep_one(docs: DataFrame, least: float = SIMILARITY) -> DataFrame:
     """The rows of one document of each class, that of the smallest doc_id, with all their columns.
 
-    Rows that share an id share a class, and one of them stays; rows with a null id stay.
+    Rows that share an id share a class, and one of them stays, the one whose columns hash lowest; rows with a null id stay.
     """
     classes = materialize(near_duplicates(docs, least=least), "dart-kept")
     dropped = classes.filter("class_id <> doc_id").select("doc_id").distinct()
     kept = docs.join(materialize(dropped, "dart-dropped"), "doc_id", "left_anti").select(docs.columns)
     named = classes.filter("doc_id is not null")
     if not named.groupBy("doc_id").count().filter("count > 1").isEmpty():
-        kept = kept.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.filter("doc_id is null"))
+        whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+        first = kept.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(whole, F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))).alias("_row"))
+        kept = first.select("_row.*").unionByName(kept.filter("doc_id is null"))
     return kept

@@ -1,10 +1,14 @@
 """Quality rules: repetition and length, then the divergence from the languages of the corpus.
 
 References are made from all documents: for each language the mean histogram of character classes, every document
-weighing the same, and the shares of its most common words. A document's own two histograms are compared with each
-reference by Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1). It is rejected where even the
-nearest language is too far. Short documents are not judged by histograms that say little about them, nor is a document
-of a language with too few documents for a mean to say much: such a language has no reference.
+weighing the same, and the shares of its most common words, marks by themselves left out. A document's own two histograms
+are compared with each reference by Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1).
+
+Limits come from the references and the corpus, not from labels. By words, a document is rejected where it is nearly as
+far from every reference as a text without any of its common words is. By characters, it is rejected where even the
+nearest language is far outside the distances of the documents near to that language: beyond their median by many times
+their spread. Short documents are not judged by histograms that say little about them, nor is a document of a language
+with too few documents for a mean to say much: such a language has no reference.
 """
 
 from __future__ import annotations
@@ -17,8 +21,9 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from provena.llm.bpe import blocks
 from provena.llm.common import materialize, numbered_words, worker_memo
@@ -26,7 +31,8 @@ from provena.llm.common import materialize, numbered_words, worker_memo
 LEAST_DOCS = 20  # documents with text from which a language has a reference, whatever its share
 COMMON = 200  # words of a reference
 CHAR_GUARD, WORD_GUARD = 100, 50  # least code points and words for the two comparisons
-CHAR_LIMIT, WORD_LIMIT = 0.32, 0.6  # distances from which a document is rejected
+WORD_LIMIT = 0.99  # of the distance of a text without common words: about one such word in fifty is left
+SPREADS, LEAST_SPREAD = 10.0, 0.01  # spreads beyond the median from which a document is far by characters
 WINDOW = 8  # words in a repeated passage
 SPACE, SYMBOL = 0, 1
 CLASSES = 9
@@ -121,7 +127,12 @@ class References(NamedTuple):
     chars: np.ndarray
     shares: np.ndarray
     places: dict[bytes, list[tuple[int, int]]]
-    names: frozenset[str]
+    names: list[str]
+
+    @property
+    def without_common(self) -> np.ndarray:
+        """The distance of a text without any common word from each reference."""
+        return np.array([distance(np.eye(COMMON + 1)[COMMON:], s)[0] for s in self.shares])
 
     @classmethod
     def of(cls, chars: dict[str, np.ndarray], words: dict[str, list[tuple[bytes, float]]]) -> References:
@@ -133,17 +144,27 @@ class References(NamedTuple):
                 shares[i, j] = share
                 places.setdefault(w, []).append((i, j))
             shares[i, COMMON] = max(0.0, 1 - shares[i].sum())
-        return cls(np.array([chars[n] for n in names]).reshape(-1, CLASSES), shares, places, frozenset(names))
+        return cls(np.array([chars[n] for n in names]).reshape(-1, CLASSES), shares, places, names)
+
+
+class Measured(NamedTuple):
+    """Of each text: base counts, distance by characters and its language, distance by words, and that one's share of the farthest; NaN where guarded."""
 
+    base: Base
+    by_char: np.ndarray
+    near: list[str | None]
+    by_word: np.ndarray
+    word_share: np.ndarray
 
-def judge(texts: list[str], langs: list[str | None], refs: References) -> tuple[Base, np.ndarray, np.ndarray, np.ndarray]:
-    """(base counts, kept, distance by characters, distance by words) of each text; NaN where guarded or its language has no reference."""
+
+def measure(texts: list[str], langs: list[str | None], refs: References) -> Measured:
     words, flat, sizes, raw = numbered_words(texts)
     chars = character_classes(texts)
     base = Base(sizes, chars.sum(1) - chars[:, SPACE], chars[:, SYMBOL], np.array([duplicate_lines(r) for r in raw], np.int64), repeated_words(flat, sizes))
-    by_char, by_word = np.full(len(texts), np.nan), np.full(len(texts), np.nan)
+    by_char, by_word, word_share, near = (np.full(len(texts), np.nan) for _ in range(4))
     owner = np.repeat(np.arange(len(texts)), sizes)
-    judged = np.fromiter((k is None or k in refs.names for k in langs), bool, len(texts))
+    named = set(refs.names)
+    judged = np.fromiter((k is None or k in named for k in langs), bool, len(texts))
     long_, wordy = judged & (chars.sum(1) >= CHAR_GUARD), judged & (sizes >= WORD_GUARD)
     own_chars = chars / np.maximum(1, chars.sum(1, keepdims=True))
     lower = [w.lower() if w.isascii() else w.decode("utf-8", "surrogatepass").lower().encode("utf-8", "surrogatepass") for w in words]
@@ -151,16 +172,20 @@ def judge(texts: list[str], langs: list[str | None], refs: References) -> tuple[
     for n, w in enumerate(lower):
         for lang, j in refs.places.get(w, ()):
             common[lang].append((n, j))
+    farthest = np.maximum(refs.without_common, 1e-9) if len(refs.names) else np.zeros(0)
     for i in range(len(refs.chars)):
-        by_char = np.where(long_, np.fmin(by_char, distance(own_chars, refs.chars[i])), by_char)
+        here = distance(own_chars, refs.chars[i])
+        near = np.where(long_ & ~(here >= by_char), i, near)
+        by_char = np.where(long_, np.fmin(by_char, here), by_char)
         place = np.full(len(words), COMMON)
         if common[i]:
             at, to = np.array(common[i]).T
             place[at] = to
         own = np.bincount(owner * (COMMON + 1) + place[flat], minlength=len(texts) * (COMMON + 1)).reshape(-1, COMMON + 1)
-        by_word = np.where(wordy, np.fmin(by_word, distance(own / np.maximum(1, sizes)[:, None], refs.shares[i])), by_word)
-    far = (np.nan_to_num(by_char) > CHAR_LIMIT) | (np.nan_to_num(by_word) > WORD_LIMIT)
-    return base, ~base.failed & ~far, by_char, by_word
+        here = distance(own / np.maximum(1, sizes)[:, None], refs.shares[i])
+        by_word = np.where(wordy, np.fmin(by_word, here), by_word)
+        word_share = np.where(wordy, np.fmin(word_share, here / farthest[i]), word_share)
+    return Measured(base, by_char, [None if np.isnan(x) else refs.names[int(x)] for x in near], by_word, word_share)
 
 
 def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,7 +210,7 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if lang is not None and total:
                 sums.setdefault(lang, np.zeros(CLASSES + 1))
                 sums[lang] += np.append(row / total, 1)
-                words.setdefault(lang, Counter()).update(text.lower().encode("utf-8", "surrogatepass").split())
+                words.setdefault(lang, Counter()).update(text.lower().encode("utf-8", "surrogatepass").split())  # marks go where words are ranked
         if sum(map(len, words.values())) > 600_000:
             yield from flush(False)
     yield from flush(True)
@@ -203,16 +228,17 @@ def references(docs: DataFrame) -> References:
         sums.setdefault(r["lang"], {})[bytes(r["word"])] = r["n"]
     chars = {k: np.array([own.get(b"\n%d" % c, 0.0) for c in range(CLASSES)]) / own[b"\nn"] for k, own in sums.items()}
     mine = made.filter(~is_mark)
+    lettered = mine.filter(F.decode("word", "UTF-8").rlike(r"\p{L}"))  # a mark by itself tells no language
     every = {r["lang"]: r["n"] for r in mine.groupBy("lang").agg(F.sum("n").alias("n")).join(enough, "lang").collect()}
-    ranked = mine.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= COMMON)
+    ranked = lettered.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))).filter(F.col("rank") <= COMMON)
     words: dict[str, list[tuple[bytes, float]]] = {}
     for r in ranked.join(enough, "lang").orderBy("lang", "rank").collect():
         words.setdefault(r["lang"], []).append((bytes(r["word"]), r["n"] / every[r["lang"]]))
     return References.of(chars, words)
 
 
-NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, char_distance double, near string, word_distance double, word_share double"
 
 
 def _inputs(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
@@ -220,13 +246,39 @@ def _inputs(docs: DataFrame, key: str, text: str, lang: str) -> DataFrame:
     return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), kind.alias("lang"))
 
 
+def _columns(texts: list[str], langs: list[str | None], refs: References) -> list[pa.Array]:
+    m = measure(texts, langs, refs)
+    far = lambda x: pa.array(x, pa.float64(), from_pandas=True)
+    return [*(pa.array(x, pa.int64()) for x in m.base), pa.array(m.base.failed), far(m.by_char), pa.array(m.near, pa.string()), far(m.by_word), far(m.word_share)]
+
+
+def char_limits(measured: DataFrame, prefix: str = "") -> dict[str, float]:
+    """For each language, the distance by characters beyond which a document near to it is far from it.
+
+    The median and the lower quartile are exact ones of distances to four places, of all documents that pass the base
+    rules; one row for each reference is collected.
+    """
+    near, d = F.col(f"`{prefix}near`"), F.round(F.col(f"`{prefix}char_distance`"), 4)
+    found = measured.filter(~F.col(f"`{prefix}base_failed`") & near.isNotNull()).groupBy(near.alias("near")).agg(F.percentile(d, F.array(F.lit(0.25), F.lit(0.5))).alias("q"))
+    return {r["near"]: r["q"][1] + SPREADS * max(LEAST_SPREAD, (r["q"][1] - r["q"][0]) / 0.6745) for r in found.collect()}
+
+
+def verdict(limits: dict[str, float], prefix: str = "") -> Column:
+    """Whether a measured document is kept."""
+    c = lambda name: F.col(f"`{prefix}{name}`")
+    limit = F.create_map(*(F.lit(x) for kv in limits.items() for x in kv))[c("near")] if limits else F.lit(None).cast("double")
+    far = F.coalesce(c("char_distance") > limit, F.lit(False)) | F.coalesce(c("word_share") > WORD_LIMIT, F.lit(False))
+    return ~c("base_failed") & ~far
+
+
 def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:
     """One row per document: doc_id, the five counts, base_failed, kept, char_distance, word_distance.
 
-    kept is false where the base rules fail or the nearest language is too far. Null and empty texts have no words
-    and fail; documents below the guards, and those of a language with fewer than LEAST_DOCS documents, have a null distance
-    and are not rejected by it; rows with a null or missing language are judged, but make no reference; repeated rows
-    are judged each; a null id stays null.
+    kept is false where the base rules fail, where the nearest language is too far by characters, or where all are by
+    words. Null and empty texts have no words and fail; documents below the guards, and those of a language with fewer
+    than LEAST_DOCS documents, have a null distance and are not rejected by it; rows with a null or missing language are
+    judged, but make no reference; repeated rows are judged each and count each; a null id stays null; texts of any
+    length are whole; other columns are ignored; no documents give no rows.
     """
     base = _inputs(docs, key, text, lang)
     sent = base.sparkSession.sparkContext.broadcast(references(base.select("text", "lang")))
@@ -234,23 +286,29 @@ def apply_rules(docs: DataFrame, key: str = "doc_id", text: str = "text", lang:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memo("quality_rules")  # empties those of other operators
         for batch, texts in blocks(batches):
-            b, kept, by_char, by_word = judge(texts, batch.column("lang").to_pylist(), sent.value)
-            counts = [pa.array(x, pa.int64()) for x in b]
-            far = [pa.array(x, pa.float64(), from_pandas=True) for x in (by_char, by_word)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *counts, pa.array(b.failed), pa.array(kept), *far], ["doc_id", *NAMES, "base_failed", "kept", "char_distance", "word_distance"])
+            made = _columns(texts, batch.column("lang").to_pylist(), sent.value)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *made], ["doc_id", *(x.split()[0] for x in MEASURES.split(", "))])
 
-    return base.mapInArrow(run, SCHEMA)
+    measured = materialize(base.mapInArrow(run, f"doc_id long, {MEASURES}"), "quality-measured")
+    return measured.select("doc_id", *COUNTS, "base_failed", verdict(char_limits(measured)).alias("kept"), "char_distance", "word_distance")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows that the rules keep, with all their columns."""
+    """The rows that apply_rules keeps, with all their columns, whatever their names; repeated rows are judged each."""
     sent = docs.sparkSession.sparkContext.broadcast(references(_inputs(docs, "doc_id", "text", "lang").select("text", "lang")))
-    known = "lang" in docs.columns
+    known, prefix = "lang" in docs.columns, "_"
+    while any(c.startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = [prefix + x.split()[0] for x in MEASURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         worker_memo("quality_rules")  # empties those of other operators
         for batch, texts in blocks(batches):
             langs = batch.column("lang").cast(pa.string()).to_pylist() if known else [None] * len(texts)
-            yield batch.filter(pa.array(judge(texts, langs, sent.value)[1]))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_columns(texts, langs, sent.value)], [*batch.schema.names, *names])
 
-    return docs.mapInArrow(run, docs.schema)
+    schema = StructType(list(docs.schema.fields))
+    for name, kind in (x.split() for x in MEASURES.split(", ")):
+        schema = schema.add(prefix + name, kind)
+    measured = materialize(docs.mapInArrow(run, schema), "quality-measured")
+    return measured.filter(verdict(char_limits(measured, prefix), prefix)).select(*(F.col(f"`{c}`") for c in docs.columns))

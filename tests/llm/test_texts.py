@@ -142,10 +142,44 @@ def test_quality_rules_keep_small_languages(spark):
     # Three documents make no reference and are not judged by others'.
     assert all(got[4000 + i]["kept"] and got[4000 + i]["char_distance"] is None and got[4000 + i]["word_distance"] is None for i in range(3))
     # Documents below the guards count in references too.
-    assert {"en", "ja", "xx"} == quality_rules.references(docs.select("text", "lang")).names
+    assert ["en", "ja", "xx"] == quality_rules.references(docs.select("text", "lang")).names
     assert {r["doc_id"] for r in quality_rules.keep_good(docs).select("doc_id").collect()} == {i for i, r in got.items() if r["kept"]}
 
 
+def test_quality_rules_reject_texts_without_common_words_and_equal_brute_force(spark):
+    """Prose with its common words stays, made-up words and another language's prose go, by distances made here in plain Python."""
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("aeioulnrst") for _ in range(n))
+    common = ["of", "the", "and", "to", "in"]
+    prose = lambda: " ".join(rng.choice(common) if rng.random() < 0.4 else word(rng.randint(4, 9)) for _ in range(150))
+    rows = [(i, prose(), "en", "s", 1) for i in range(80)] + [(90, " ".join("z" + word(rng.randint(4, 9)) for _ in range(150)), "en", "s", 1), (91, "| | " + prose() + " | |", "en", "s", 1)]
+    docs = frame(spark, rows)
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(docs).collect()}
+    assert all(got[i]["kept"] for i in range(80)) and not got[90]["kept"] and got[91]["kept"]
+    refs = quality_rules.references(docs.select("text", "lang"))
+    assert not any(b"|" in w for w in refs.places) and len(refs.places) == quality_rules.COMMON
+
+    def jsd(p, q):
+        kl = lambda a, b: sum(x * math.log2(x / y) for x, y in zip(a, b, strict=True) if x)
+        m = [(x + y) / 2 for x, y in zip(p, q, strict=True)]
+        return math.sqrt((kl(p, m) + kl(q, m)) / 2)
+
+    counts = collections.Counter(w for _, t, *_ in rows for w in t.lower().split())
+    top = sorted((w for w in counts if any(c.isalpha() for c in w)), key=lambda w: (-counts[w], w.encode()))[: quality_rules.COMMON]
+    share = [counts[w] / counts.total() for w in top]
+    share.append(1 - sum(share))
+    for i in (0, 5, 90, 91):
+        own = collections.Counter(w if w in top else None for w in rows[min(i, 80 + i - 90) if i >= 90 else i][1].lower().split())
+        mine = [own[w] / own.total() for w in top] + [own[None] / own.total()]
+        assert abs(jsd(mine, share) - got[i]["word_distance"]) < 1e-9
+    # Lines of any length, ties, nulls and no rows at all.
+    odd = [(200, "the of " * 30_000, "en", "s", 1), (201, None, None, None, None), (None, prose(), "en", "s", 1), (0, rows[0][1], "en", "s", 1)]
+    kept = quality_rules.keep_good(frame(spark, rows + odd).withColumn("_near", F.lit("x")).withColumn("near", F.lit("y")).withColumn("kept", F.lit("z")))
+    left = kept.collect()
+    assert kept.columns[-3:] == ["_near", "near", "kept"] and sum(r["doc_id"] == 0 for r in left) == 2 and any(r["doc_id"] is None for r in left) and not {90, 200, 201} & {r["doc_id"] for r in left}
+    assert quality_rules.keep_good(docs.limit(0)).collect() == []
+
+
 def test_jensen_shannon_by_hand():
     a, b = np.array([[1.0, 0.0], [0.5, 0.5], [0.0, 1.0]]), np.array([0.5, 0.5])
     m = [0.75, 0.25]
@@ -212,6 +246,49 @@ def test_near_duplicates_equal_brute_force(spark):
     assert dartminhash.near_duplicates(frame(spark, [])).collect() == []
 
 
+def test_near_duplicates_lose_no_link_in_hot_buckets(spark, monkeypatch):
+    """One large group, outsiders that are near to some of it, and many small groups, with blocks of four."""
+    monkeypatch.setattr(dartminhash, "SIDE", 4)
+    monkeypatch.setattr(dartminhash, "GROUP_BYTES", 5_000)
+    rng = random.Random(17)
+    base = [f"w{i}" for i in range(120)]
+    texts = {}
+    for i in range(90):  # a drifting chain: neighbours are alike, far ones are not
+        ws = list(base)
+        for k in range(i):
+            ws[(k * 7) % 120] = f"n{k}"
+        texts[i] = " ".join(ws)
+    for i in range(100, 130):  # copies with a few own words
+        ws = list(base)
+        for _ in range(rng.randint(1, 6)):
+            ws[rng.randrange(120)] = f"x{rng.randrange(50)}"
+        texts[i] = " ".join(ws)
+    rows = [(i, t, "en", "s", 1) for i, t in texts.items()]
+    got = {r["doc_id"]: r["class_id"] for r in dartminhash.near_duplicates(frame(spark, rows)).collect()}
+    above = {i: i for i in texts}
+
+    def root(i):
+        while above[i] != i:
+            i = above[i]
+        return i
+
+    for a in texts:
+        for b in texts:
+            if a < b and jaccard(texts[a], texts[b]) >= 0.8:
+                x, y = sorted((root(a), root(b)))
+                above[y] = x
+    assert got == {i: root(i) for i in texts}
+
+
+def test_keep_one_is_repeatable_and_takes_any_columns(spark):
+    long_ = "long " * 40_000
+    rows = [(1, "a b c d e f", "en", "s", 1), (1, "quite another text for this id", "en", "s", 2), (2, long_, "en", "s", 3), (3, long_.upper(), None, "s", 4), (4, "", "en", "s", 0)]
+    docs = frame(spark, rows).withColumn("class_id", F.lit(7)).withColumn("bands", F.array(F.lit(1))).withColumn("_row", F.lit("r"))
+    first, again = (sorted(dartminhash.keep_one(d).select("doc_id", "text", "class_id", "_row").collect()) for d in (docs, docs.repartition(5)))
+    assert first == again and [r["doc_id"] for r in first] == [1, 2, 4] and {r["class_id"] for r in first} == {7}
+    assert dartminhash.keep_one(docs.limit(0)).collect() == []
+
+
 def test_signatures_agree_as_often_as_sets_are_alike():
     rng, s = random.Random(3), dartminhash.Shingler()
     words = [b"w%d" % i for i in range(5000)]
