@@ -7,11 +7,18 @@ from pyspark.sql import functions as F
 
 # Identifiers and words that evidence texts use.
 DEVICE_ID = r"[A-Z][A-Za-z0-9]*_[A-Z]-L\d{2}-W\d{2}-D\d{3}"
-HIGH_WORDS = ("above the upper limit", "excess current", "overcurrent", "leakage", "short", "high")
-LOW_WORDS = ("below the lower limit", "undercurrent", "open", "missing load", "low")
-TESTER_LINE = r"210 IDD_Static\s+curr\s+(-?\d+(?:\.\d+)?)\s+ma\s+<\s+(-?\d+(?:\.\d+)?)\s+ma\s+(?:\(F\)\s+)?<\s+(-?\d+(?:\.\d+)?)\s+ma"
-MEASURED = r"(?i)measured\s+(?:value|current)?\s*(?:of|is|:|=)?\s*(-?\d+(?:\.\d+)?)\s*mA"
-LIMITS = r"(?i)limits?\s*(?:are|of|is|:|=)?\s*(-?\d+(?:\.\d+)?)\s*(?:mA)?\s*(?:to|-|and)\s*(-?\d+(?:\.\d+)?)\s*mA"
+OVER, UNDER = ("exceed", "exceeds", "exceeded", "above", "over"), ("below", "under")
+UPPER_NAMES, LOWER_NAMES = ("upper", "high", "maximum"), ("lower", "low", "minimum")
+LIMIT_NAME = "limit"
+ABOVE_STEMS, BELOW_STEMS = ("exceed", "above", "fail"), ("below", "under", "fail")  # words that begin so
+REACH = 35  # characters between the two words of a direction, at most
+HIGH_CAUSES, LOW_CAUSES = ("high", "excessive static current"), ("low",)
+CURRENT_DEVICE = "the current DUT"
+
+_AMOUNT = r"\d+(?:\.\d+)?"
+_MEASURED = rf"(?i)measured (?:static )?current\s*:\s*({_AMOUNT})\s*ma"
+_LIMITS = rf"(?i)(?:allowed range|limits?)\s*:\s*({_AMOUNT})\s*[\u2013-]\s*({_AMOUNT})\s*ma"
+_TESTER_LINE = rf"(?i)\b210\s+IDD_Static\b[^\n]*?({_AMOUNT})\s*ma\s*<\s*({_AMOUNT})\s*ma\s*\(F\)\s*<\s*({_AMOUNT})\s*ma"
 
 
 def tokens(text: Column) -> Column:
@@ -30,10 +37,31 @@ def squeeze(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"\s+", " "))
 
 
+def literal(text: Column) -> Column:
+    """A pattern that matches the text's characters as they are."""
+    return F.concat(F.lit(r"\Q"), F.replace(text, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
+def _replacement(text: Column) -> Column:
+    """A replacement that gives the text's characters as they are."""
+    return F.regexp_replace(text, r"([\\$])", r"\\$1")
+
+
+def bounded(pattern: Column) -> Column:
+    """The pattern where no letter, digit, _ or - touches its match."""
+    return F.concat(F.lit("(?<![A-Za-z0-9_-])(?:"), pattern, F.lit(")(?![A-Za-z0-9_-])"))
+
+
 def replace_identifier(text: Column, old: Column, new: Column) -> Column:
-    """Replace an identifier where no letter, digit or _ touches it; its characters are taken literally."""
-    pattern = F.concat(F.lit(r"(?<![A-Za-z0-9_])"), F.concat(F.lit(r"\Q"), old, F.lit(r"\E")), F.lit(r"(?![A-Za-z0-9_])"))
-    return F.regexp_replace(text, pattern, new)
+    """Replace an identifier where no letter, digit, _ or - touches it; its and the new one's characters are taken literally."""
+    return F.regexp_replace(text, bounded(literal(old)), _replacement(new))
+
+
+def adapt_procedure(text: Column, historical: Column, current: Column) -> Column:
+    """A historical procedure told of the current device: the historical one's id, long or short, gives way; unknown where null."""
+    short = F.substring_index(historical, "-", -1)
+    named = F.when(F.coalesce(current, F.lit("")) == "", CURRENT_DEVICE).otherwise(F.concat(F.lit(f"{CURRENT_DEVICE} ("), current, F.lit(")")))
+    return F.regexp_replace(text, bounded(F.concat_ws("|", literal(historical), literal(short))), _replacement(named))
 
 
 def only_hint(text: Column, pattern: str, group: int = 1) -> Column:
@@ -47,64 +75,77 @@ def is_ambiguous(text: Column, pattern: str, group: int = 1) -> Column:
 
 
 def pin_list(text: Column) -> Column:
-    """array<struct<name, number>> of NAME : NUMBER entries, over any number of lines."""
-    names = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_]*)\s*:\s*(\d+)"), F.lit(1))
-    numbers = F.regexp_extract_all(text, F.lit(r"([A-Za-z][A-Za-z0-9_]*)\s*:\s*(\d+)"), F.lit(2))
-    return F.zip_with(names, numbers, lambda n, k: F.struct(n.alias("name"), k.cast("int").alias("number")))
+    """array<struct<name, number>> of NAME : NUMBER entries, over any number of lines: the parts between entries' ends."""
+    parts = F.filter(F.transform(F.split(F.regexp_replace(text, r"(:\s*\d+)", "$1\u0001"), "\u0001"), lambda x: F.split(F.trim(x), r"\s*:\s*")), lambda x: F.size(x) >= 2)
+    name = lambda x: F.regexp_extract(F.get(x, F.size(x) - 2), r"(\w+)$", 1)
+    entries = F.transform(parts, lambda x: F.struct(name(x).alias("name"), F.get(x, F.size(x) - 1).try_cast("int").alias("number")))
+    return F.filter(entries, lambda p: p["name"].rlike("^[A-Za-z]") & p["number"].isNotNull())
 
 
 def pin_residue(text: Column) -> Column:
     """What is left of a pin line without its entries; a well-formed line leaves nothing."""
-    return F.regexp_replace(text, r"[A-Za-z][A-Za-z0-9_]*\s*:\s*\d+|\s+", "")
+    return F.regexp_replace(text, r"[A-Za-z]\w*\s*:\s*\d+|\s+", "")
 
 
-def _side(value: Column, lower: Column, upper: Column) -> Column:
-    return F.when(value <= lower, "low").when(value >= upper, "high")
+def _any(words: tuple[str, ...]) -> str:
+    return f"(?:{'|'.join(words)})"
 
 
-def _words(text: Column, words: tuple[str, ...]) -> Column:
-    return F.coalesce(F.lower(text).rlike(r"\b(?:" + "|".join(words) + r")\b"), F.lit(False))
+def _says(text: Column, moved: tuple[str, ...], names: tuple[str, ...], stems: tuple[str, ...]) -> Column:
+    """Whether a word of movement stands before the name of a limit, or a limit's name before the stem of one, close together."""
+    near = rf"\b.{{0,{REACH}}}\b"
+    return text.rlike(rf"(?i)\b{_any(moved)}{near}{_any((*names, LIMIT_NAME))}\b") | text.rlike(rf"(?i)\b{_any(names)}{near}{_any(stems)}")
 
 
 def _number(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group).try_cast("double")
 
 
-def direction(observation: Column) -> Column:
-    """high, low or null: a tester line wins over a measured value with limits, that over words; both words give null."""
+def read_direction(observation: Column) -> Column:
+    """struct<direction, error> of an observation of a current.
+
+    A failing tester line wins over a measured value with limits, that over words. direction is high above the upper
+    limit, low below the lower one, and null at or within them, where both or neither of the words speak, or on an
+    error: limits where the lower is not below the upper, conflict where words contradict measured values.
+    """
     text = F.coalesce(observation, F.lit(""))
-    line = _side(_number(text, TESTER_LINE, 2), _number(text, TESTER_LINE, 1), _number(text, TESTER_LINE, 3))
-    named = _side(_number(text, MEASURED, 1), _number(text, LIMITS, 1), _number(text, LIMITS, 2))
-    high, low = _words(text, HIGH_WORDS[:3] + HIGH_WORDS[-1:]), _words(text, LOW_WORDS[:2] + LOW_WORDS[-1:])
-    words = F.when(high & ~low, "high").when(low & ~high, "low")
-    return F.coalesce(line, named, words)
+    above, below = _says(text, OVER, UPPER_NAMES, ABOVE_STEMS), _says(text, UNDER, LOWER_NAMES, BELOW_STEMS)
+    line = [_number(text, _TESTER_LINE, k) for k in (1, 2, 3)]
+    told = [_number(text, _LIMITS, 1), _number(text, _MEASURED, 1), _number(text, _LIMITS, 2)]
+    side = lambda t: F.when(t[1] > t[2], "high").when(t[1] < t[0], "low")
+    has_line, has_told = line[1].isNotNull(), told[0].isNotNull() & told[1].isNotNull()
+    by_words = F.when(above & ~below, "high").when(below & ~above, "low")
+    conflict = side(told).isNotNull() & ((above & (side(told) != "high")) | (below & (side(told) != "low")))
+    error = F.when(has_line, F.when(line[0] >= line[2], "limits")).when(has_told, F.when(told[0] >= told[2], "limits").when(conflict, "conflict"))
+    direction_ = F.when(has_line, side(line)).when(has_told, side(told)).otherwise(by_words)
+    return F.struct(F.when(error.isNull(), direction_).alias("direction"), error.alias("error"))
 
 
-def directions_conflict(observation: Column) -> Column:
-    """Whether two sources of a direction contradict each other."""
-    text = F.coalesce(observation, F.lit(""))
-    line = _side(_number(text, TESTER_LINE, 2), _number(text, TESTER_LINE, 1), _number(text, TESTER_LINE, 3))
-    named = _side(_number(text, MEASURED, 1), _number(text, LIMITS, 1), _number(text, LIMITS, 2))
-    return F.coalesce(line != named, F.lit(False))
+def direction(observation: Column) -> Column:
+    """high, low or null, as read_direction."""
+    return read_direction(observation)["direction"]
 
 
-def cause_direction(cause: Column) -> Column:
-    """Direction that a cause's words speak for; null where both or neither do."""
-    high, low = _words(cause, HIGH_WORDS), _words(cause, LOW_WORDS)
+def cause_direction(causes: Column) -> Column:
+    """Direction that the words of a case's causes speak for; null where both or neither do."""
+    text = F.lower(F.coalesce(causes, F.lit("")))
+    holds = lambda words: F.greatest(*(F.contains(text, F.lit(w)) for w in (*words, words[0])))
+    high, low = holds(HIGH_CAUSES), holds(LOW_CAUSES)
     return F.when(high & ~low, "high").when(low & ~high, "low")
 
 
 def references(text: Column) -> Column:
-    """Distinct fact references E1, E2 ... of all [E1, E2] brackets, in order."""
-    brackets = F.regexp_extract_all(text, F.lit(r"\[(E\d+(?:\s*,\s*E\d+)*)\]"), F.lit(1))
-    return F.array_distinct(F.flatten(F.transform(brackets, lambda b: F.regexp_extract_all(b, F.lit(r"(E\d+)"), F.lit(1)))))
+    """Distinct fact references E1, E2 ... within brackets of one line, in order, whatever else the brackets hold."""
+    inside = F.regexp_extract_all(text, F.lit(r"\[([^\]\n]+)\]"), F.lit(1))
+    return F.array_distinct(F.flatten(F.transform(inside, lambda b: F.regexp_extract_all(b, F.lit(r"\b(E\d+)\b"), F.lit(1)))))
 
 
 def sentences(text: Column) -> Column:
-    """Sentences cut after . ! ? and at line ends, blank ones left out."""
-    return F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+|\n+"), lambda s: F.trim(s)), lambda s: s != "")
+    """Sentences cut after . ! ? before white space and at line ends, blank ones left out."""
+    cuts = F.regexp_replace(F.regexp_replace(text, r"([.!?])\s+", "$1\n"), r"\n+", "\n")
+    return F.filter(F.transform(F.split(cuts, "\n"), lambda s: F.trim(s)), lambda s: s != "")
 
 
 def escape_markers(text: Column) -> Column:
     """Put a zero-width space inside chat control markers, so that a text cannot open a turn of its own."""
-    return F.replace(F.replace(text, F.lit("<|"), F.lit("<​|")), F.lit("|>"), F.lit("|​>"))
+    return F.replace(F.replace(text, F.lit("<|"), F.lit("<\u200b|")), F.lit("|>"), F.lit("|\u200b>"))

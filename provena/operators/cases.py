@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.functions.text import literal
+
 STAGES = ["observation", "investigation", "action", "retest"]
 
 
@@ -50,7 +52,7 @@ def catalog(cases: DataFrame) -> DataFrame:
 
 def without_foreign_pins(items: DataFrame, history_pins: Column, current_pins: Column) -> DataFrame:
     """Drop causes that name a pin of the historical case which the current one lacks; ordinals keep their gaps."""
-    named = lambda p: F.rlike(F.col("text"), F.concat(F.lit(r"\b"), p, F.lit(r"\b")))
+    named = lambda p: F.rlike(F.col("text"), F.concat(F.lit(r"\b"), literal(p), F.lit(r"\b")))
     foreign = F.exists(F.array_except(history_pins, current_pins), named)
     return items.filter((F.col("kind") != "cause") | ~foreign)
 
@@ -86,7 +88,7 @@ def applicable(test_number: Column, direction: Column, cause_direction: Column)
 
 def foreign_pin_mentions(text: Column, pins: Column, current: Column) -> Column:
     """Known pins that a text names, in any letter case, and the current failure lacks."""
-    named = F.filter(pins, lambda p: F.rlike(F.lower(text), F.concat(F.lit(r"(?<![a-z0-9_])"), F.lower(p), F.lit(r"(?![a-z0-9_])"))))
+    named = F.filter(pins, lambda p: F.rlike(F.lower(text), F.concat(F.lit(r"(?<![a-z0-9_])"), literal(F.lower(p)), F.lit(r"(?![a-z0-9_])"))))
     return F.array_except(F.transform(named, lambda p: F.upper(p)), F.transform(current, lambda p: F.upper(p)))
 
 
@@ -121,11 +123,16 @@ def citation_violations(citations: DataFrame, sources: DataFrame) -> DataFrame:
 SELECTION = "struct<status:string,cause_ids:array<string>,check_ids:array<string>>"
 
 
-def check_selection(rows: DataFrame, text: str, max_causes: int = 2, max_checks: int = 2) -> DataFrame:
+def check_selection(rows: DataFrame, text: str, max_causes: int = 2, max_checks: int = 2, options: DataFrame | None = None, key: str = "query_id", forced: bool = False) -> DataFrame:
     """Add accepted and error for a selection document: exact keys, none twice, lists of distinct strings, limits, status.
 
-    The order of the rules is the order in which the first error is named. Texts that are no JSON object are malformed.
+    options (key, alias, kind): what may be picked; an alias that is not there, or is of the other kind, is an error.
+    forced: a refusal is an error. The order of the rules is the order in which the first error is named. Texts that are
+    no JSON object are malformed.
     """
+    if options is not None:  # a catalog is a few rows a query
+        known = options.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("alias", "kind"))).alias("_kinds"))
+        rows = rows.join(known, key, "left")
     keys = F.json_object_keys(text)
     got = F.from_json(text, SELECTION)
     causes, checks, status = got["cause_ids"], got["check_ids"], got["status"]
@@ -141,8 +148,17 @@ def check_selection(rows: DataFrame, text: str, max_causes: int = 2, max_checks:
         ((status == "refuse") & (F.size(causes) + F.size(checks) > 0), "refusal with items"),
         ((status == "unconfirmed") & ((F.size(causes) == 0) | (F.size(checks) == 0)), "answer without items"),
     ]
+    if options is not None:
+        kind = lambda alias: F.try_element_at("_kinds", alias)
+        picked = F.concat(causes, checks)
+        wrong[-2:-2] = [
+            (F.exists(picked, lambda a: kind(a).isNull()), "unknown id"),
+            (F.exists(causes, lambda a: ~kind(a).eqNullSafe("cause")) | F.exists(checks, lambda a: ~kind(a).eqNullSafe("check")), "wrong kind"),
+        ]
+    if forced:
+        wrong.append((status == "refuse", "refusal where an answer is asked for"))
     error = F.coalesce(*(F.when(F.coalesce(bad, F.lit(True)), F.lit(name)) for bad, name in wrong))
-    return rows.withColumn("selection", got).withColumn("error", error).withColumn("accepted", F.col("error").isNull())
+    return rows.withColumn("selection", got).withColumn("error", error).withColumn("accepted", F.col("error").isNull()).drop("_kinds")
 
 
 def select_by_rule(items: DataFrame, by: list[str], max_causes: int = 2, max_checks: int = 2) -> DataFrame:

@@ -45,6 +45,37 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def has_text(column: Column) -> Column:
+    """Whether there is anything but white space."""
+    return F.coalesce(F.trim(F.regexp_replace(column, r"\s+", " ")) != "", F.lit(False))
+
+
+def finite_positive(column: Column) -> Column:
+    x = column.cast("double")
+    return F.coalesce((x > 0) & (x < float("inf")) & ~F.isnan(x), F.lit(False))
+
+
+def within(column: Column, characters: int | None = None, n_bytes: int | None = None) -> Column:
+    """Whether a text keeps to its most code points and most bytes; nothing is cut."""
+    parts = [F.length(column) <= characters] if characters is not None else []
+    parts += [F.octet_length(column) <= n_bytes] if n_bytes is not None else []
+    return reduce(lambda a, b: a & b, parts, column.isNotNull())
+
+
+def same_set(a: Column, b: Column) -> Column:
+    return F.array_sort(F.array_distinct(a)) == F.array_sort(F.array_distinct(b))
+
+
+def query_only(role: Column, indexed: Column) -> Column:
+    """Whether an incident is kept out of the history."""
+    return role.eqNullSafe("query_only") & indexed.eqNullSafe(False)
+
+
+def allowed_fields(df: DataFrame, fields: list[str]) -> DataFrame:
+    """Only these columns, in this order; one that is missing fails."""
+    return df.select(*(F.col(f"`{c}`") for c in fields))
+
+
 def enforce(found: DataFrame, show: int = 5) -> None:
     """Raise ContractError where there are violations; reads a few of them, in order."""
     rows = found.orderBy("rule_id", "entity_key").limit(show).collect()

@@ -26,6 +26,23 @@ def nearest(pairs: DataFrame, k: int, query: str = "q_id", candidate: str = "h_i
     return pairs.withColumn("distance", squared_l2(F.col(a), F.col(b))).withColumn("vector_rank", F.row_number().over(order)).filter(F.col("vector_rank") <= k)
 
 
+def nearest_in_blocks(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], block_rows: int = 4096) -> DataFrame:
+    """nearest for a stated set of queries against all candidates (id, vector, scope) of their scope, in blocks of bounded size.
+
+    Candidates are dealt to blocks by a hash, every query meets each block of its scope once, by an equi-join, and only its
+    k best of a block go on to the merge, so that neither one scope nor one query's candidates must fit a task.
+    """
+    sizes = candidates.groupBy(*scope).agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks")) if scope else candidates.agg(F.ceil(F.count("*") / block_rows).cast("int").alias("_blocks"))
+    with_blocks = (lambda df: df.join(sizes, scope)) if scope else (lambda df: df.crossJoin(sizes))  # one row a scope
+    dealt = with_blocks(candidates).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int")).drop("_blocks")
+    asked = with_blocks(queries).withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    pairs = scoped_pairs(asked, dealt, [*scope, "_block"])
+    measured = pairs.withColumn("distance", squared_l2(F.col("q_vector"), F.col("h_vector"))).drop("q_vector", "h_vector")
+    best = lambda by: F.row_number().over(Window.partitionBy(*by).orderBy("distance", "h_id"))
+    part = measured.withColumn("_r", best(["q_id", "_block"])).filter(F.col("_r") <= k).drop("_r", "_block")
+    return part.withColumn("vector_rank", best(["q_id"])).filter(F.col("vector_rank") <= k)
+
+
 def fusion_score(vector_rank: Column, keyword_rank: Column) -> Column:
     """Weighted reciprocal ranks; the keyword rank weighs twice."""
     return F.lit(1.0) / (F.lit(60.0) + vector_rank) + F.lit(2.0) / (F.lit(60.0) + keyword_rank)

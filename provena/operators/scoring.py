@@ -51,9 +51,9 @@ def summarise(results: DataFrame, gold: DataFrame, by: list[str], proxy: bool =
         rate(F.col("status") == "refuse", gold_no).alias("no_answer_refusal_rate"), rate(answered).alias("coverage"),
         rate(good).alias("accuracy"), rate(~good, answered).alias("false_answers_per_answered"),
         rate(hit_at(F.col("cause_ids"), F.col("acceptable_cause_ids"), 1), answered).alias("top1"),
-        rate(hit_at(F.col("cause_ids"), F.col("acceptable_cause_ids"), 2), answered).alias("top2"),
+        rate(hit_at(F.col("cause_ids"), F.col("acceptable_cause_ids"), 2), answered).alias("top2"), rate(hit_at(F.col("cause_ids"), F.col("acceptable_cause_ids"), 3), answered).alias("top3"),
     )
-    for c in ("accuracy", "false_answers_per_answered", "top1", "top2"):
+    for c in ("accuracy", "false_answers_per_answered", "top1", "top2", "top3"):
         out = out.withColumn(f"proxy_{c}", F.col(c) if proxy else F.lit(None).cast("double"))
         out = out.withColumn(c, F.lit(None).cast("double") if proxy else F.col(c))
     return out

@@ -10,14 +10,12 @@ from provena.functions.text import pin_list, pin_residue
 from provena.operators.constraints import duplicates, union_all, unmatched, violations
 from provena.operators.lines import segment
 
-# The line grammar.
-DEVICE = r"Device:\s+(\d+)\s+Station:\s+(\d+)\s+Site:\s+(\d+)\s+Date:\s+(\S.*\S)"
-LOT = r"Lot:\s+(L\d+)\s+Tester:\s+(\S+)\s+Program:\s+(\S+)"
-BIN = r"Bin:\s+(\d+)\s+Wafer Coordinates:\s*\(\s*(-?\d+)\s*,\s*(-?\d+)\s*\)"
-PIN_TEST = r"{0}\s+(?:Halt Vector:\s+(\d+)\s+Halt Cycle:\s+(\d+)\s+)?Failing Pins:\s+(\d+)(?:[^\S\n]+(\(F\)))?"
-CURRENT = r"210 IDD_Static\s+curr\s+(-?\d+\.\d{2})\s+ma\s+<\s+(-?\d+\.\d{2})\s+ma\s+(?:(\(F\))\s+)?<\s+(-?\d+\.\d{2})\s+ma"
-WAFER_START = r"Wafer:\s+(W\d+)\s+Start Time:\s+(\S.*\S)"
-WAFER_END = r"End of Wafer:\s+(W\d+)\s+Part Count:\s+(\d+)\s+Finish Time:\s+(\S.*\S)"
+# The labels of the line format. A value follows its label and a colon; currents are given in ma.
+WAFER, END, LOT, TESTER, PROGRAM, DEVICE, STATION, SITE, DATE, BIN, PLACE = (
+    "Wafer", "End of Wafer", "Lot", "Tester", "Program", "Device", "Station", "Site", "Date", "Bin", "Wafer Coordinates",
+)
+START, COUNT, FINISH, VECTOR, CYCLE, PINS, LISTED = "Start Time", "Part Count", "Finish Time", "Halt Vector", "Halt Cycle", "Failing Pins", "Failed Pins"
+PIN_TESTS, CURRENT_TEST, FLAG = {100: "Open/Short-", 606: "SCAN Test"}, "IDD_Static", "(F)"
 OUTCOMES = {100: "CONTINUITY_FAIL", 210: "IDD_STATIC_FAIL", 606: "SCAN_FAIL"}
 
 
@@ -26,50 +24,82 @@ def log_time(text: Column) -> Column:
     return F.to_timestamp_ntz(F.regexp_replace(F.regexp_replace(text, r"^\w{3}\s+", ""), r"\s+", " "), F.lit("MMM d HH:mm:ss yyyy"))
 
 
-def _get(text: Column, pattern: str, group: int) -> Column:
-    return F.nullif(F.regexp_extract(text, pattern, group), F.lit(""))
+def after(text: Column, label: str, kind: str = r"\S+") -> Column:
+    """The value of this kind after a label that stands at a line's or a word's start; null without."""
+    return F.nullif(F.regexp_extract(text, rf"(?m)(?:^|\s){label}:[^\S\n]*({kind})", 1), F.lit(""))
+
+
+def whole_number(text: Column, label: str) -> Column:
+    return after(text, label).try_cast("int")
+
+
+def time_text(text: Column, label: str) -> Column:
+    """The time after a label, which goes on to the end of its line."""
+    return F.trim(after(text, label, r"[^\n]+"))
+
+
+def test_part(block: Column, name: str) -> Column:
+    """What a block says of a test: from its name to the next numbered test or the bin; null where it does not run."""
+    numbered = F.regexp_replace(block, r"\n\s*(?=\d{3} [A-Z])|\n\s*(?=Bin:)", "\u0001")
+    return F.get(F.filter(F.split(numbered, "\u0001"), lambda p: p.rlike(rf"^\d{{3}} {name}")), 0)
 
 
 def blocks(lines: DataFrame) -> DataFrame:
     """Device blocks of the logs' lines (lot, wafer, line_no, line): first_line to the bin line, and their text."""
     kept = lines.filter(F.trim("line") != "").select("lot", "wafer", "line_no", "line")
-    inside = kept.filter(~F.trim("line").rlike(r"^(Wafer|End of Wafer):"))
-    return segment(inside, ["lot", "wafer"], F.trim("line").startswith("Lot:"))
+    head = F.trim(F.substring_index("line", ":", 1))
+    return segment(kept.filter(~head.isin(WAFER, END)), ["lot", "wafer"], head == LOT)
+
+
+def _fields(**given: Column) -> Column:
+    """A test's struct; what a kind of test lacks is null or empty."""
+    empty = {"failing_pins": pin_list(F.lit("")), "residue": F.lit(""), "n_pins": F.lit(0)} | {c: F.lit(None).cast("int") for c in ("halt_vector", "halt_cycle")} | {c: F.lit(None).cast("string") for c in ("lower", "current", "upper")}
+    cells = empty | given
+    return F.struct(*(cells[c].alias(c) for c in ("number", "status", "failing_pins", "residue", "halt_vector", "halt_cycle", "n_pins", "lower", "current", "upper")))
+
+
+def _status(part: Column) -> Column:
+    return F.when(F.contains(part, F.lit(FLAG)), "FAIL").otherwise("PASS")
 
 
 def _pin_test(b: Column, name: str, number: int) -> Column:
-    p = PIN_TEST.format(name)
-    listed = F.regexp_extract(b, rf"(?s){name}(?:(?!\n\s*\d{{3}} ).)*?Failed Pins:(.*?)(?:\n\s*(?:\d{{3}} |Bin:)|$)", 1)
-    return F.when(b.rlike(p), F.struct(
-        F.lit(number).alias("number"), F.when(_get(b, p, 4).isNotNull(), "FAIL").otherwise("PASS").alias("status"), pin_list(listed).alias("failing_pins"), pin_residue(listed).alias("residue"),
-        _get(b, p, 1).cast("int").alias("halt_vector"), _get(b, p, 2).cast("int").alias("halt_cycle"), _get(b, p, 3).cast("int").alias("n_pins"),
-        F.lit(None).cast("string").alias("lower"), F.lit(None).cast("string").alias("current"), F.lit(None).cast("string").alias("upper"),
-    ))
+    part = test_part(b, name)
+    listed = F.coalesce(F.get(F.split(part, f"{LISTED}:"), 1), F.lit(""))
+    found = _fields(number=F.lit(number), status=_status(part), failing_pins=pin_list(listed), residue=pin_residue(listed), halt_vector=whole_number(part, VECTOR), halt_cycle=whole_number(part, CYCLE), n_pins=whole_number(part, PINS))
+    return F.when(part.isNotNull() & whole_number(part, PINS).isNotNull(), found)
+
+
+def _current_test(b: Column) -> Column:
+    part = test_part(b, CURRENT_TEST)
+    amounts = F.regexp_extract_all(part, F.lit(r"(\S+) ma\b"), F.lit(1))
+    as_written = lambda k: F.when(F.get(amounts, k).rlike(r"^-?\d+\.\d\d$"), F.get(amounts, k))
+    found = _fields(number=F.lit(210), status=_status(part), lower=as_written(0), current=as_written(1), upper=as_written(2))
+    return F.when(F.size(amounts) == 3, found)
 
 
 def parse(lines: DataFrame, product: str) -> DataFrame:
     """One row per device block with its fields and tests; what the grammar does not find is null."""
     b = F.col("block_text")
-    current = F.when(b.rlike(CURRENT), F.struct(
-        F.lit(210).alias("number"), F.when(_get(b, CURRENT, 3).isNotNull(), "FAIL").otherwise("PASS").alias("status"), pin_list(F.lit("")).alias("failing_pins"), F.lit("").alias("residue"),
-        F.lit(None).cast("int").alias("halt_vector"), F.lit(None).cast("int").alias("halt_cycle"), F.lit(0).alias("n_pins"),
-        _get(b, CURRENT, 1).alias("lower"), _get(b, CURRENT, 2).alias("current"), _get(b, CURRENT, 4).alias("upper"),
-    ))
-    every = F.array(_pin_test(b, "100 Open/Short-", 100), current, _pin_test(b, "606 SCAN Test", 606))
+    every = F.array(_pin_test(b, PIN_TESTS[100], 100), _current_test(b), _pin_test(b, PIN_TESTS[606], 606))
     got = blocks(lines).withColumn("tests", F.filter(every, lambda t: t.isNotNull()))
     failed = F.filter("tests", lambda t: t["status"] == "FAIL")
     outcome = F.coalesce(*(F.when(F.get(failed, 0)["number"] == k, v) for k, v in OUTCOMES.items()), F.lit("PASS"))
-    device = F.concat(F.lit("D"), _get(b, DEVICE, 1))
+    device = F.concat(F.lit("D"), after(b, DEVICE))
+    place = F.transform(F.split(after(b, PLACE, r"\([^)\n]*\)"), ","), lambda x: F.regexp_replace(x, r"[()\s]", "").try_cast("int"))
     return got.select(
-        "lot", "wafer", device.alias("device"), F.concat_ws("-", F.lit(product), "lot", "wafer", device).alias("dut_id"), _get(b, LOT, 1).alias("lot_named"),
-        _get(b, LOT, 2).alias("tester"), _get(b, LOT, 3).alias("program"), log_time(_get(b, DEVICE, 4)).alias("device_time"), _get(b, DEVICE, 4).alias("device_time_text"),
-        _get(b, BIN, 1).cast("int").alias("bin"), _get(b, BIN, 2).cast("int").alias("x"), _get(b, BIN, 3).cast("int").alias("y"), F.size(F.regexp_extract_all(b, F.lit(BIN), F.lit(0))).alias("n_bins"),
+        "lot", "wafer", device.alias("device"), F.concat_ws("-", F.lit(product), "lot", "wafer", device).alias("dut_id"), after(b, LOT).alias("lot_named"),
+        after(b, TESTER).alias("tester"), after(b, PROGRAM).alias("program"), whole_number(b, STATION).alias("station"), whole_number(b, SITE).alias("site"),
+        log_time(time_text(b, DATE)).alias("device_time"), time_text(b, DATE).alias("device_time_text"),
+        whole_number(b, BIN).alias("bin"), F.get(place, 0).alias("x"), F.get(place, 1).alias("y"), F.size(F.regexp_extract_all(b, F.lit(rf"(?m)^\s*{BIN}:"), F.lit(0))).alias("n_bins"),
         "tests", F.size(failed).alias("n_failed"), outcome.alias("outcome"), "first_line", "last_line", "block_text",
     )
 
 
-def device_violations(parsed: DataFrame, bins: dict[str, int], pins: dict[str, int], lower: str, upper: str) -> DataFrame:
-    """Blocks that break the grammar's meaning: flags, counts, limits, order of tests, one failure at the end, the bin."""
+def device_violations(parsed: DataFrame, bins: dict[str, int], pins: dict[str, int], lower: str, upper: str, vectors: tuple[int, int] | None = None, header: dict[str, object] | None = None) -> DataFrame:
+    """Blocks that break the grammar's meaning: flags, counts, limits, order of tests, one failure at the end, the bin.
+
+    vectors: least and most halt vector of a scan failure. header: what tester, program, station and site must be.
+    """
     fails = lambda t: t["status"] == "FAIL"
     known = F.create_map(*(F.lit(x) for kv in pins.items() for x in kv))
     number, dec = F.transform("tests", lambda t: t["number"]), lambda c: c.try_cast("decimal(6,2)")
@@ -93,23 +123,36 @@ def device_violations(parsed: DataFrame, bins: dict[str, int], pins: dict[str, i
         "C06-complete": ((F.col("n_failed") == 1) | (F.size("tests") == 3), "stops without a failure"),
         "C06-outcome": (F.try_element_at(bin_of, F.col("outcome")) == F.col("bin"), "bin differs from the outcome"),
     }
+    if vectors:
+        inside = lambda t: (t["number"] != 606) | t["halt_vector"].isNull() | t["halt_vector"].between(*vectors)
+        rules["C04-vector"] = (F.forall("tests", inside), "halt vector out of range")
+    for field, value in (header or {}).items():
+        rules[f"C03-{field}"] = (F.col(field) == value, f"{field} differs from the plan")
     return violations(parsed, "dut_id", rules)
 
 
-def wafer_violations(parsed: DataFrame, lines: DataFrame, template: DataFrame) -> DataFrame:
-    """Wafers without header or footer, with a wrong part count, times out of order, or devices unlike the template."""
-    t = F.trim("line")
+def wafer_violations(parsed: DataFrame, lines: DataFrame, template: DataFrame, start: str | None = None) -> DataFrame:
+    """Wafers without header or footer, with a wrong part count, times out of order, or devices unlike the template.
+
+    start: when the first wafer must begin. A wafer's time is compared with that of the one before it, which is found by
+    its rank among wafers; wafers are ranked within their lot, lots by their first wafer.
+    """
+    head, line = F.trim(F.substring_index("line", ":", 1)), F.col("line")
+    at = lambda mark: head == mark
     marks = lines.groupBy("lot", "wafer").agg(
-        F.max(F.when(t.rlike("^" + WAFER_START), log_time(_get(t, WAFER_START, 2)))).alias("start"), F.max(F.when(t.rlike("^" + WAFER_END), log_time(_get(t, WAFER_END, 3)))).alias("finish"),
-        F.max(F.when(t.rlike("^" + WAFER_END), _get(t, WAFER_END, 2).cast("int"))).alias("parts"),
-        F.max_by("line", "line_no").alias("_last"), F.max(F.when(t != "", F.col("line_no"))).alias("_at"), F.max(F.when(t.rlike("^" + WAFER_END), F.col("line_no"))).alias("_end"),
+        F.max(F.when(at(WAFER), log_time(time_text(line, START)))).alias("start"), F.max(F.when(at(END), log_time(time_text(line, FINISH)))).alias("finish"),
+        F.max(F.when(at(END), whole_number(line, COUNT))).alias("parts"), F.max(F.when(F.trim("line") != "", F.col("line_no"))).alias("_at"), F.max(F.when(at(END), F.col("line_no"))).alias("_end"),
     )
     n = parsed.groupBy("lot", "wafer").agg(F.count("*").alias("n"), F.min("device_time").alias("first"), F.max("device_time").alias("last"))
     both = marks.join(n, ["lot", "wafer"], "left").withColumn("key", F.concat_ws("/", "lot", "wafer"))
-    both = both.withColumn("before", F.lag("finish").over(Window.partitionBy(F.lit(1)).orderBy("start")))  # a row per wafer, not per line
+    within = Window.partitionBy("lot").orderBy("start")  # a row per wafer, not per line
+    lots = both.groupBy("lot").agg(F.min("start").alias("_from"), F.max("finish").alias("_to"))
+    before = lots.alias("a").join(lots.alias("b"), F.col("b._from") < F.col("a._from"), "left").groupBy("a.lot").agg(F.max_by("b._to", "b._from").alias("_earlier"))  # a row per lot
+    both = both.withColumn("before", F.lag("finish").over(within)).join(before, "lot").withColumn("before", F.coalesce("before", "_earlier"))
     a = violations(both, "key", {
         "C02-header": (F.col("start").isNotNull(), "no header"), "C02-footer": (F.col("_end") == F.col("_at"), "no footer at the end"), "C08-parts": (F.col("parts") == F.col("n"), "part count differs"),
         "C07-times": ((F.col("first") > F.col("start")) & (F.col("finish") >= F.col("last")), "times out of order"), "C07-wafers": (F.col("before").isNull() | (F.col("start") >= F.col("before")), "starts before the last one ends"),
+        "C07-first": (F.col("before").isNotNull() | F.lit(start is None) | (F.col("start") == F.lit(start).cast("timestamp_ntz")), "first wafer starts at another time"),
     })
     w = Window.partitionBy("lot", "wafer").orderBy("first_line")
     late = parsed.withColumn("p", F.lag("device_time").over(w)).filter("device_time < p")
@@ -149,3 +192,51 @@ def chunks(parsed: DataFrame, version: str, prefix: str = "ck-") -> DataFrame:
         F.transform("tests", lambda t: t["number"]).alias("executed_tests"), F.struct(F.col("first_line").alias("start"), F.col("last_line").alias("end")).alias("source_lines"), F.col("block_text").alias("source_text"),
         F.concat(about, F.lit("\n"), "block_text").alias("retrieval_text"),
     )
+
+
+def one_failure(parsed: DataFrame) -> DataFrame:
+    """Devices with exactly one failing test, as excerpts of their logs: test, pins, lines and the excerpt's hash."""
+    failed = F.get(F.filter("tests", lambda t: t["status"] == "FAIL"), 0)
+    text = F.trim(F.regexp_replace("block_text", r"^\s+|\s+$", ""))
+    return parsed.filter("n_failed = 1").select("dut_id", "lot", "wafer", failed["number"].alias("failed_test"), F.transform(failed["failing_pins"], lambda p: p["name"]).alias("pins"), "first_line", "last_line", F.sha2(text, 256).alias("excerpt_sha256"))
+
+
+def total_violations(report_: DataFrame, quotas: dict[str, int]) -> DataFrame:
+    """Totals that differ from the plan: outcomes by quota, and executions by what the tests before let through."""
+    n, fails = sum(quotas.values()), lambda *kinds: sum(quotas[k] for k in kinds)
+    rules = {k: (F.col(k.lower()) == v, f"{k} differs from its quota") for k, v in quotas.items()}
+    rules |= {"devices": (F.col("dut_count") == n, "another number of devices")}
+    through = {100: n, 210: n - fails("CONTINUITY_FAIL"), 606: n - fails("CONTINUITY_FAIL", "IDD_STATIC_FAIL")}
+    rules |= {f"test_{k}": (F.col(f"test_{k}") == v, "another number of executions") for k, v in through.items()}
+    return violations(report_.filter("lot is null and wafer is null").withColumn("scope", F.lit("overall")), "scope", {f"C10-{k}": v for k, v in rules.items()})
+
+
+def manifest_violations(manifest: DataFrame, files: DataFrame) -> DataFrame:
+    """Manifest rows (path, sha256) that repeat, lie outside, or differ from the files (path, sha256) there are, both ways."""
+    now = files.select("path", F.col("sha256").alias("_now"))
+    safe = ~F.col("path").startswith("/") & ~F.concat(F.lit("/"), "path", F.lit("/")).contains("/../")
+    rules = {"C11-path": (safe, "lies outside"), "C11-hash": (F.coalesce(F.col("_now"), F.col("sha256")) == F.col("sha256"), "has another hash")}
+    return union_all([violations(manifest.join(now, "path", "left"), "path", rules), duplicates(manifest, ["path"], "C11-unique"), unmatched(manifest, files, ["path"], "C11-files")])
+
+
+def report_violations(stored: DataFrame, computed: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of a stored report that are not, field by field, those computed again; both ways."""
+    names = [c for c in computed.columns if c not in key]
+    row = lambda df, name: df.select(*(F.coalesce(F.col(c).cast("string"), F.lit("overall")).alias(c) for c in key), F.to_json(F.struct(*sorted(names)), {"ignoreNullFields": "false"}).alias(name))
+    both = row(stored, "_stored").join(row(computed, "_made"), key, "full_outer")
+    return violations(both, F.concat_ws("/", *key), {"C12-report": (F.col("_stored") == F.col("_made"), "differs from the report computed again")})
+
+
+def chunk_violations(chunks_: DataFrame, quotas: dict[str, int], most: int = 2000) -> DataFrame:
+    """Chunks that are too long or repeat, whose last test disagrees with their outcome, and counts unlike the quotas."""
+    last = F.element_at("executed_tests", -1)
+    fits = F.when(F.col("failed_test").isNull(), (F.col("outcome") == "PASS") & (last == 606)).otherwise(last == F.col("failed_test"))
+    a = violations(chunks_, "chunk_id", {"C13-text": ((F.length("source_text") <= most) & (F.length("retrieval_text") <= most), "is too long"), "C13-last": (fits, "last test and outcome disagree")})
+    counts = chunks_.groupBy("outcome").agg(F.count("*").alias("n"))
+    wanted = F.coalesce(*(F.when(F.col("outcome") == k, v) for k, v in quotas.items()))
+    return union_all([a, duplicates(chunks_, ["chunk_id"], "C13-unique"), violations(counts, "outcome", {"C13-quota": (F.col("n") == wanted, "another number of chunks")})])
+
+
+def scenario_sources(scenarios: DataFrame, chunks_: DataFrame) -> DataFrame:
+    """Scenarios (dut_id, ...) with the chunk and source lines that each rests on; one without a chunk stays, with nulls."""
+    return scenarios.join(chunks_.select("dut_id", "chunk_id", "source_lines", "outcome", "failed_test"), "dut_id", "left")

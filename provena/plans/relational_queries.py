@@ -246,12 +246,14 @@ def deep_compare_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM events) WHERE ts < p
+WITH e AS (SELECT event_id, user_id, CASE WHEN event_id % 7 = 0 THEN ts - INTERVAL 30 DAY ELSE ts END AS ts FROM events)
+SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS p FROM e) WHERE ts < p
 """)
 def chronology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events earlier than their user's event of the id before."""
+    """Events earlier than their user's event of the id before, with every seventh set back by thirty days."""
     w = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").withColumn("p", F.lag("ts").over(w)).filter("ts < p").select("event_id", "user_id")
+    e = table(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 30 days")).otherwise(F.col("ts")))
+    return e.withColumn("p", F.lag("ts").over(w)).filter("ts < p").select("event_id", "user_id")
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from provena.functions.vectors import squared_l2
+from provena.operators.retrieval import nearest_in_blocks
 from provena.operators.scoring import accepted, case_energy, cost_per_thousand, covered_mean, hit_at, median, nearest_rank, rate, throughput, trapezoid_energy
 from provena.sources.tables import table
 
@@ -57,11 +57,9 @@ SELECT lang, count(*) AS n, round(avg(good::INTEGER), 6) AS accuracy,
 def topk_hit_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether the nearest one, two or three vectors carry the query's label, by label."""
     e = table(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("q"), F.col("label").alias("q_label"), F.col("embedding").alias("qv"))
-    pairs = e.join(F.broadcast(q) if q.count() <= 5_000 else q, F.col("q") != F.col("vec_id"))
-    w = Window.partitionBy("q").orderBy("d", "vec_id")
-    near = pairs.withColumn("d", squared_l2(F.col("qv"), F.col("embedding"))).withColumn("rank", F.row_number().over(w)).filter("rank <= 3")
-    per = near.groupBy("q", "q_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "label"))), lambda x: x["label"]).alias("ids"))
+    e = e.select(F.col("vec_id").alias("id"), "label", F.col("embedding").alias("vector"))
+    near = nearest_in_blocks(e.filter("id % 20 = 0"), e, 3, [])
+    per = near.groupBy("q_id", "q_label").agg(F.transform(F.array_sort(F.collect_list(F.struct("vector_rank", "h_label"))), lambda x: x["h_label"]).alias("ids"))
     per = per.withColumn("ok", F.array("q_label"))
     return per.groupBy("q_label").agg(F.count("*").alias("n"), *(F.round(rate(hit_at(F.col("ids"), F.col("ok"), k)), 6).alias(f"top{k}") for k in (1, 2, 3)))
 
@@ -144,7 +142,7 @@ def variant_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")
     per = e.groupBy("event_type").agg(F.count("*").cast("double").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max(F.when(F.col("value") > 480, F.col("value"))).alias("above_480"))
     cells = per.unpivot("event_type", ["n", "mean", "above_480"], "metric", "value")
-    kinds = ["view", "click", "purchase", "error"]
+    kinds = ["view", "signup", "click", "purchase", "error"]
     wide = cells.groupBy("metric").pivot("event_type", kinds).agg(F.first("value"))
     return wide.select("metric", *(F.when(F.col(k).isNull(), "unmeasured").otherwise(F.format_string("%.2f", k)).alias(k) for k in kinds))
 
@@ -156,7 +154,7 @@ WITH per AS (
 ), cells AS (
   SELECT event_type, 'n' AS metric, n AS value FROM per UNION ALL SELECT event_type, 'mean', mean FROM per UNION ALL SELECT event_type, 'above_480', above_480 FROM per
 )
-SELECT metric, {', '.join(_CELL.format(k) for k in ('view', 'click', 'purchase', 'error'))} FROM cells GROUP BY metric
+SELECT metric, {', '.join(_CELL.format(k) for k in ('view', 'signup', 'click', 'purchase', 'error'))} FROM cells GROUP BY metric
 """
 
 

@@ -9,14 +9,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.operators import wafer_gen, wafer_parse
+from provena.operators.constraints import enforce, union_all
 from provena.operators.lines import number_lines
 from provena.sources.tables import table
-from provena.streaming.power import windowed, write_once
+from provena.streaming.power import attribute, windowed, write_once
 
 
 def _folder(spark: SparkSession) -> str:
     """A new folder that all executors share; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="provena-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="provena-")
     return f"{root.rstrip('/')}/provena/{uuid.uuid4().hex}"
 
 
@@ -42,14 +47,35 @@ PLAN = wafer_gen.WaferPlan(
 
 def wafer_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generate a dataset, render its logs, read them back, and report counts by wafer and overall; stops on any violation."""
-    from provena.operators.constraints import enforce
-
     devices = wafer_gen.devices(spark, PLAN)
     lines = number_lines(wafer_gen.logs(devices, PLAN), "text")
     parsed = wafer_parse.parse(lines, PLAN.product)
-    enforce(wafer_parse.device_violations(parsed, PLAN.bins, PLAN.pins, PLAN.lower, PLAN.upper).unionByName(wafer_parse.reconcile(parsed, devices)))
-    return wafer_parse.report(parsed, list(PLAN.quotas))
+    header = {"tester": PLAN.tester, "program": PLAN.program, "station": PLAN.station, "site": PLAN.site}
+    report = wafer_parse.report(parsed, list(PLAN.quotas))
+    template = spark.createDataFrame(PLAN.coordinates, "device string, x int, y int")
+    enforce(union_all([
+        wafer_parse.device_violations(parsed, PLAN.bins, PLAN.pins, PLAN.lower, PLAN.upper, (PLAN.vector_min, PLAN.vector_max), header), wafer_parse.reconcile(parsed, devices),
+        wafer_parse.wafer_violations(parsed, lines, template, PLAN.start), wafer_parse.total_violations(report, PLAN.quotas), wafer_parse.chunk_violations(wafer_parse.chunks(parsed, "v1"), PLAN.quotas),
+    ]))
+    return report
+
+
+def stream_power_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Samples of a stream attributed to the cases whose span holds them: eight to twelve o'clock of each day and type."""
+    events, at = table(spark, sf_dir, "events"), _folder(spark)
+    samples = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("watts"))
+    days = events.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d")).distinct()
+    hours = lambda n: F.make_dt_interval(F.lit(0), F.lit(n))
+    spans = days.select(F.date_format("d", "yyyy-MM-dd").alias("case_id"), (F.col("d") + hours(8)).alias("begun"), (F.col("d") + hours(12)).alias("ended"))
+    write_once(attribute(samples, spans).select("case_id", "event_type", "watts"), f"{at}/out", f"{at}/checkpoint")
+    out = spark.read.parquet(f"{at}/out").groupBy("case_id", "event_type")
+    return out.agg(F.count("*").alias("n"), F.round(F.avg("watts"), 6).alias("mean"), F.max("watts").alias("peak"))
+
+
+CASES_SQL = """
+SELECT strftime(ts, '%Y-%m-%d') AS case_id, event_type, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM events WHERE hour(ts) >= 8 AND hour(ts) < 12 GROUP BY ALL
+"""
 
 
-QUERIES = {"stream_power_windows": stream_power_windows, "wafer_log_report": wafer_log_report}
-ORACLE_SQL = {"stream_power_windows": STREAM_SQL}
+QUERIES = {"stream_power_windows": stream_power_windows, "stream_power_cases": stream_power_cases, "wafer_log_report": wafer_log_report}
+ORACLE_SQL = {"stream_power_windows": STREAM_SQL, "stream_power_cases": CASES_SQL}

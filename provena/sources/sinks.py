@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
+import posixpath
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,8 @@ def pretty_json(document: dict) -> str:
 
 
 def outside(target: str, source: str) -> None:
-    """Refuse a target below the source tree."""
-    if (target.rstrip("/") + "/").startswith(source.rstrip("/") + "/"):
+    """Refuse a target below the source tree, by whatever way its path leads there."""
+    if (posixpath.normpath(target) + "/").startswith(posixpath.normpath(source).rstrip("/") + "/"):
         raise ContractError(f"{target} lies below {source}")
 
 
@@ -41,6 +43,21 @@ def content_hash(df: DataFrame) -> DataFrame:
     return sums.select(F.sha2(F.concat_ws("|", F.col("n").cast("string"), F.col("x").cast("string"), F.col("t").cast("string")), 256).alias("sha256"), "n")
 
 
+def file_hashes(df: DataFrame, path: str) -> DataFrame:
+    """(path, sha256, length) of the files that a sink has written: what a manifest lists. df gives the session."""
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").option("recursiveFileLookup", True).load(path)
+    return files.select("path", F.sha2("content", 256).alias("sha256"), "length")
+
+
+def bundle_hash(df: DataFrame, path: str) -> str:
+    """The SHA-256 of a written bundle's lines in its order, each with its line end, read back file by file."""
+    digest = hashlib.sha256()
+    files = df.sparkSession.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    for r in files.select("content").orderBy("path").toLocalIterator():  # one file at a time
+        digest.update(r["content"])
+    return digest.hexdigest()
+
+
 def write_new(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").parquet(path)
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,19 +38,29 @@ def write_once(stream: DataFrame, path: str, checkpoint: str, mode: str = "appen
     stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
 
 
+def answer_incidents(stream: DataFrame, cases: DataFrame, path: str, checkpoint: str) -> None:
+    """Incoming incidents against the static history: every batch is investigated as in batch and replaces itself when run again."""
+    from provena.plans.investigate import investigate
+
+    def put(batch: DataFrame, number: int) -> None:
+        investigate(batch, cases).answers.write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(put).trigger(availableNow=True).start().awaitTermination()
+
+
 def conversation_memory(turns: DataFrame, most: int = 10, remembered: int = 2) -> DataFrame:
     """State per run: admits at most ten turns and names the last two valid ones that each admitted turn remembers."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, last = state.get if state.exists else (0, "")
-        out = []
-        for row in pd.concat(list(batches)).sort_values("turn_no").itertuples():
-            ok = n < most
-            out.append((key[0], int(row.turn_no), ok, last))
-            if ok:
-                n, last = n + 1, ",".join([*filter(None, last.split(",")), str(row.turn_no)][-remembered:])
-        state.update((n, last))
-        yield pd.DataFrame(out, columns=["run_id", "turn_no", "admitted", "remembers"])
+        turns = np.sort(np.concatenate([b["turn_no"].to_numpy() for b in batches]))
+        before = [x for x in last.split(",") if x]
+        room = max(0, most - n)
+        known = [*before, *map(str, turns[:room].tolist())]  # what is remembered, then the turns admitted now
+        ends = len(before) + np.minimum(np.arange(len(turns)), room)
+        remembers = [",".join(known[max(0, e - remembered) : e]) for e in ends.tolist()]
+        state.update((n + min(room, len(turns)), ",".join(known[-remembered:])))
+        yield pd.DataFrame({"run_id": key[0], "turn_no": turns, "admitted": np.arange(len(turns)) < room, "remembers": remembers})
 
     return turns.groupBy("run_id").applyInPandasWithState(
         step, "run_id string, turn_no long, admitted boolean, remembers string", "n int, last string", "append", GroupStateTimeout.NoTimeout

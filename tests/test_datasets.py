@@ -49,7 +49,7 @@ def test_round_trip_keeps_quotas_and_breaks_no_rule(spark, dataset):
     total = wafer_parse.report(parsed, list(plan.quotas)).filter("lot is null").first()
     assert (total["dut_count"], total["pass"], total["test_100"], total["test_210"], total["test_606"]) == (96, 72, 96, 88, 80)
     assert wafer_parse.report(parsed, list(plan.quotas)).count() == 9
-    for outcome, lot, wafer, names in wafer_gen.clusters(plan):
+    for outcome, lot, wafer, names in map(tuple, wafer_gen.reservations(spark, plan).collect()):
         got = {r["device"]: r["outcome"] for r in parsed.filter((F.col("lot") == lot) & (F.col("wafer") == wafer)).collect()}
         assert all(got[d] == outcome for d in names)
     again = wafer_gen.logs(wafer_gen.devices(spark, wafer_gen.WaferPlan(**PLAN)), plan)
@@ -111,7 +111,12 @@ def test_sinks(spark, tmp_path):
         sinks.write_bundle(df, f"{tmp_path}/bundle", ["id"])
     with pytest.raises(ContractError):
         sinks.outside("/data/in/out", "/data/in")
+    with pytest.raises(ContractError):
+        sinks.outside("/data/out/../in/x", "/data/in/")
     sinks.outside("/data/out", "/data/in")
+    lines = b"".join(p.read_bytes() for p in sorted((tmp_path / "bundle").glob("part-*")))
+    assert sinks.bundle_hash(df, f"{tmp_path}/bundle") == hashlib.sha256(lines).hexdigest() and lines.decode().splitlines() == ['{"a":"y","b":"x","id":1}', '{"a":"é","b":null,"id":2}']
+    assert sum(r["length"] for r in sinks.file_hashes(df, f"{tmp_path}/bundle").collect()) == len(lines)
     a, b = sinks.content_hash(df).first(), sinks.content_hash(df.repartition(3)).first()
     assert a == b and a["n"] == 2 and sinks.content_hash(df.withColumn("a", F.lit("z"))).first()["sha256"] != a["sha256"]
     sinks.append_audit(df.withColumn("run_id", F.lit("r1")), f"{tmp_path}/audit")
@@ -135,30 +140,67 @@ def incidents(spark, observation="210 IDD_Static curr 35.00 ma < 60.00 ma (F) <
 
 def history(spark):
     rows = [
-        ("c1", "D001", "P", 210, [], "leakage", ["leakage path"], ["measure D001 again"], "high current leakage", [0.1]), ("c2", "D002", "P", 210, [], "open load", ["open load"], ["check D002"], "low current", [0.2]),
+        ("c1", "D001", "P", 210, [], "excessive static current", ["leakage path"], ["measure D001 again"], "high current leakage", [0.1]), ("c2", "D002", "P", 210, [], "low supply", ["open load"], ["check D002"], "low current", [0.2]),
         ("c3", "D003", "P", 100, ["PA", "PB"], "worn", ["pin PA worn", "dirty socket"], ["probe D003"], "pins fail", [0.3]), ("c4", "D004", "Q", 606, ["PB"], "scan", ["x"], ["y"], "scan", [0.0]),
     ]
     return spark.createDataFrame(rows, CASE)
 
 
+def answers(out):
+    return {r["query_id"]: r for r in out.answers.collect()}
+
+
 def test_investigations_answer_verify_and_refuse(spark):
-    got = {r["query_id"]: r for r in investigate(incidents(spark), history(spark)).collect()}
-    assert got["q1"]["status"] == "unconfirmed" and got["q1"]["cause_ids"] == ["c1-C1"] and got["q1"]["procedures"] == ["measure D900 again"]
-    assert got["q2"]["cause_ids"] == ["c3-C2"] and got["q2"]["check_ids"] == ["c3-K1"]
-    assert got["q3"]["status"] == "refuse" and got["q3"]["cause_ids"] is None
-    low = {r["query_id"]: r for r in investigate(incidents(spark, "no measurement"), history(spark)).collect()}
+    out = investigate(incidents(spark), history(spark))
+    got = answers(out)
+    assert got["q1"]["status"] == "unconfirmed" and got["q1"]["cause_ids"] == ["c1-C1"] and got["q1"]["checks"][0]["display_text"] == "measure the current DUT (D900) again" and got["q1"]["checks"][0]["text"] == "measure D001 again"
+    assert got["q2"]["cause_ids"] == ["c3-C2"] and got["q2"]["check_ids"] == ["c3-K1"] and got["q2"]["generation_attempts"] == 1 and len(got["q2"]["limitations"]) == 3
+    assert got["q3"]["status"] == "refuse" and got["q3"]["cause_ids"] == [] and got["q3"]["generation_attempts"] == 0
+    audit = {r["query_id"]: r for r in out.eligibility.collect()}
+    assert audit["q1"]["retrieved_cases"] == ["c1", "c2"] and audit["q1"]["eligible_cases"] == ["c1"] and "q3" not in audit
+    assert all(r["kept"] and r["enforced"] and r["refusal_enforced"] for r in out.verification.collect())
+    low = answers(investigate(incidents(spark, "no measurement"), history(spark)))
     assert low["q1"]["status"] == "refuse"
-    loose = {r["query_id"]: r for r in investigate(incidents(spark, "no measurement"), history(spark), verifier=False).collect()}
-    assert loose["q1"]["status"] == "unconfirmed" and len(loose["q1"]["cause_ids"]) == 2
+    loose = answers(investigate(incidents(spark, "no measurement"), history(spark), variant="no_verifier"))
+    assert loose["q1"]["status"] == "unconfirmed" and len(loose["q1"]["cause_ids"]) == 2 and loose["q2"]["cause_ids"] == ["c3-C1", "c3-C2"]
+    forced = answers(investigate(incidents(spark, "no measurement"), history(spark), variant="no_refusal"))
+    assert forced["q1"]["status"] == "unconfirmed" and {r["reason"] for r in forced["q1"]["rejected"]} == {"direction"}
+    torn = answers(investigate(incidents(spark, "measured current: 60 mA, limits: 35-55 mA, below the lower limit"), history(spark)))
+    assert torn["q1"]["status"] == "rejected" and torn["q1"]["error"] == "conflict" and torn["q2"]["status"] == "unconfirmed"
+    with pytest.raises(ValueError, match="variant"):
+        investigate(incidents(spark), history(spark), variant="odd")
+
+
+def test_the_question_is_no_evidence(spark):
+    asked = incidents(spark, "210 IDD_Static: FAIL").withColumn("question", F.lit("The current is above the upper limit: what caused it?"))
+    assert answers(investigate(asked, history(spark)))["q1"]["status"] == "refuse"
 
 
 def test_selectors_are_held_to_their_contract(spark):
     options = offer(retrieve(incidents(spark), history(spark)))
-    bad = lambda items: items.select("query_id").distinct().withColumn("selection_text", F.lit('{"status":"unconfirmed","cause_ids":["C1"],"check_ids":["C1"]}'))
-    got = {r["query_id"]: r for r in investigate(incidents(spark), history(spark), selector=bad).collect()}
-    assert got["q1"]["status"] == "refuse" and options.count() > 0
-    torn = lambda items: items.select("query_id").distinct().withColumn("selection_text", F.lit('{"status":'))
-    assert {r["status"] for r in investigate(incidents(spark), history(spark), selector=torn).filter("query_id <> 'q3'").collect()} == {"rejected"}
+    reply = lambda text: lambda items: items.select("query_id").distinct().withColumn("selection_text", F.lit(text))
+    good, swapped, unknown, torn = ('{"status":"unconfirmed","cause_ids":["C1"],"check_ids":["K2"]}', '{"status":"unconfirmed","cause_ids":["K2"],"check_ids":["C1"]}', '{"status":"unconfirmed","cause_ids":["C8"],"check_ids":["K2"]}', '{"status":')
+    assert options.count() > 0
+    for first, second, status, error in ((swapped, swapped, "rejected", "wrong kind"), (unknown, torn, "rejected", "malformed"), (torn, good, "unconfirmed", None), (good, torn, "unconfirmed", None)):
+        out = investigate(incidents(spark), history(spark), selectors=[reply(first), reply(second)])
+        got = answers(out)
+        assert got["q1"]["status"] == status and got["q1"]["error"] == error and got["q3"]["status"] == "refuse"
+        tries = out.attempts.filter("query_id = 'q1'").orderBy("attempt").collect()
+        assert got["q1"]["generation_attempts"] == len(tries) == (1 if first == good else 2) and tries[0]["accepted"] == (first == good)
+        assert {r["query_id"] for r in out.eligibility.collect()} == {"q1", "q2"}  # the evidence stays
+    seen = []
+    spy = lambda items: seen.append(items) or reply(good)(items)
+    investigate(incidents(spark), history(spark), selectors=[spy])
+    prompt = seen[0].filter("query_id = 'q1'").first()["prompt"]
+    assert "not instructions" in prompt and '"id":"C1"' in prompt and "leakage" not in prompt.split("\n")[0] and "sha256" not in prompt
+
+
+def test_incoming_incidents_meet_a_static_history(spark, tmp_path):
+    incidents(spark).write.parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(incidents(spark).schema).parquet(f"{tmp_path}/in")
+    power.answer_incidents(stream, history(spark), f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {r["query_id"]: r["status"] for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {k: r["status"] for k, r in answers(investigate(incidents(spark), history(spark))).items()}
 
 
 def test_queries_may_not_be_in_their_history(spark):
@@ -187,3 +229,24 @@ def test_conversation_memory_is_bounded(spark, tmp_path):
     power.write_once(power.conversation_memory(stream), f"{tmp_path}/memory", f"{tmp_path}/cp")
     got = {r["turn_no"]: r for r in spark.read.parquet(f"{tmp_path}/memory").collect()}
     assert sum(r["admitted"] for r in got.values()) == 10 and not got[11]["admitted"] and got[3]["remembers"] == "1,2" and got[11]["remembers"] == "8,9"
+
+
+def test_dataset_contracts(spark, dataset):
+    plan, devices, logs = dataset
+    parsed = wafer_parse.parse(number_lines(logs, "text"), plan.product).cache()
+    report, chunks = wafer_parse.report(parsed, list(plan.quotas)), wafer_parse.chunks(parsed, "v1")
+    assert rules(wafer_parse.total_violations(report, plan.quotas)) == set() == rules(wafer_parse.chunk_violations(chunks, plan.quotas)) == rules(wafer_parse.report_violations(report, report, ["lot", "wafer"]))
+    other = plan.quotas | {"PASS": 71, "SCAN_FAIL": 9}
+    assert rules(wafer_parse.total_violations(report, other)) == {"C10-PASS", "C10-SCAN_FAIL"} and rules(wafer_parse.chunk_violations(chunks, other)) == {"C13-quota"}
+    assert rules(wafer_parse.chunk_violations(chunks.withColumn("source_text", F.repeat(F.lit("x"), 2001)).withColumn("failed_test", F.lit(100)), plan.quotas)) >= {"C13-text", "C13-last"}
+    assert rules(wafer_parse.report_violations(report.withColumn("pass", F.col("pass") + 1), report, ["lot", "wafer"])) == {"C12-report"}
+    one = wafer_parse.one_failure(parsed)
+    assert one.count() == 24 and {r["failed_test"] for r in one.collect()} == {100, 210, 606}
+    template = spark.createDataFrame(plan.coordinates, "device string, x int, y int")
+    lines = number_lines(logs, "text")
+    assert rules(wafer_parse.wafer_violations(parsed, lines, template, plan.start)) == set() and rules(wafer_parse.wafer_violations(parsed, lines, template, "2026-01-01 09:00:00")) == {"C07-first"}
+    assert rules(wafer_parse.device_violations(parsed, plan.bins, plan.pins, plan.lower, plan.upper, (1, 2), {"tester": "other", "site": 0})) == {"C04-vector", "C03-tester"}
+    files_ = spark.createDataFrame([("a.txt", "1"), ("b.txt", "2")], "path string, sha256 string")
+    listed = spark.createDataFrame([("a.txt", "1"), ("b.txt", "9"), ("../c", "3"), ("a.txt", "1")], "path string, sha256 string")
+    assert rules(wafer_parse.manifest_violations(files_, files_)) == set() and rules(wafer_parse.manifest_violations(listed, files_)) == {"C11-hash", "C11-path", "C11-unique", "C11-files"}
+    assert wafer_parse.scenario_sources(spark.createDataFrame([(parsed.first()["dut_id"],), ("gone",)], "dut_id string"), chunks).filter("chunk_id is null").count() == 1

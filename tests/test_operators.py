@@ -51,23 +51,30 @@ def test_tokens_hints_pins_references_sentences(spark):
     assert one(spark, text.is_ambiguous(F.lit("L01 L02"), r"(L\d+)"))
     pins = one(spark, text.pin_list(F.lit("  PA : 1    PB:22\n PC : 3")))
     assert [tuple(p) for p in pins] == [("PA", 1), ("PB", 22), ("PC", 3)] and one(spark, text.pin_residue(F.lit("PA : 1, PB : 2"))) == ","
-    assert one(spark, text.references(F.lit("as [E1, E2] and [E2] but not E9 [X]"))) == ["E1", "E2"]
+    assert one(spark, text.references(F.lit("as [E1, E2] and [E2] but not E9 [X]"))) == ["E1", "E2"] and one(spark, text.references(F.lit("[see E1; E2] [E3\nE4] [E5x]"))) == ["E1", "E2"]
     assert one(spark, text.sentences(F.lit("One. Two!  Three?\nfour"))) == ["One.", "Two!", "Three?", "four"]
-    assert one(spark, text.replace_identifier(F.lit("D005 D0050 xD005 D005."), F.lit("D005"), F.lit("D009"))) == "D009 D0050 xD005 D009."
+    assert one(spark, text.replace_identifier(F.lit("D005 D0050 xD005 D005. P-D005"), F.lit("D005"), F.lit("D$9\\"))) == "D$9\\ D0050 xD005 D$9\\. P-D005"
+    told = lambda current: one(spark, text.adapt_procedure(F.lit("probe P-L01-D005, then D005 and D0051"), F.lit("P-L01-D005"), F.lit(current).cast("string")))
+    assert told("N1") == "probe the current DUT (N1), then the current DUT (N1) and D0051" and told(None) == told("") == "probe the current DUT, then the current DUT and D0051"
     assert one(spark, text.squeeze(F.lit("  a \n b "))) == "a b" and "<|" not in one(spark, text.escape_markers(F.lit("<|user|>")))
 
 
-@pytest.mark.parametrize(("observation", "want"), [
-    ("210 IDD_Static         curr         35.00 ma <    65.58 ma (F) <  55.00 ma", "high"), ("210 IDD_Static curr 35.00 ma <    30.00 ma (F) <  55.00 ma", "low"),
-    ("Measured value: 60 mA, limits 35.00 to 55.00 mA", "high"), ("measured 20 mA; limits: 35 to 55 mA", "low"), ("Current above the upper limit.", "high"), ("It is low.", "low"), ("high or low?", None), ("nothing", None), (None, None),
+@pytest.mark.parametrize(("observation", "want", "error"), [
+    ("210 IDD_Static         curr         35.00 ma <    65.58 ma (F) <  55.00 ma", "high", None), ("210 IDD_Static curr 35.00 ma <    30.00 ma (F) <  55.00 ma", "low", None),
+    ("210 IDD_Static curr 55.00 ma < 60.00 ma (F) < 35.00 ma", None, "limits"), ("Measured static current: 62.10 mA. Limits: 35.00\u201355.00 mA", "high", None),
+    ("Measured static current: 30.83 mA\nAllowed range: 35.00\u201355.00 mA", "low", None), ("measured current: 55 mA; limits: 35-55 mA", None, None), ("measured current: 35.00 mA; limit: 35-55 mA", None, None),
+    ("measured current: 60 mA, limits: 35 - 55 mA, below the lower limit", None, "conflict"), ("measured current: 50 mA, limits: 35 - 55 mA, below the lower limit", None, None), ("measured current: 60 mA, limits: 55-35 mA", None, "limits"),
+    ("Current exceeds the upper limit.", "high", None), ("The maximum was exceeded", "high", None), ("reading under the minimum", "low", None), ("It is low.", None, None), ("above the limit and below the limit", None, None), ("nothing", None, None), (None, None, None),
 ])
-def test_directions(spark, observation, want):
-    assert one(spark, text.direction(F.lit(observation).cast("string"))) == want
+def test_directions(spark, observation, want, error):
+    got = one(spark, text.read_direction(F.lit(observation).cast("string")))
+    assert (got["direction"], got["error"]) == (want, error)
 
 
 def test_cause_directions_and_applicability(spark):
-    assert one(spark, text.cause_direction(F.lit("Leakage path"))) == "high" and one(spark, text.cause_direction(F.lit("an open or a short"))) is None
-    for number, a, b, want in ((210, "high", "high", True), (210, "high", "low", False), (210, None, "low", False), (100, None, None, True)):
+    sides = {"Excessive static current path": "high", "high load": "high", "a low supply": "low", "high or low": None, "leakage path": None, "open line": None}
+    assert {k: one(spark, text.cause_direction(F.lit(k))) for k in sides} == sides
+    for number, a, b, want in ((210, "high", "high", True), (210, "high", "low", False), (210, None, "low", False), (210, None, None, False), (100, None, None, True)):
         assert one(spark, cases.applicable(F.lit(number), F.lit(a).cast("string"), F.lit(b).cast("string"))) is want
 
 
@@ -143,8 +150,8 @@ def test_catalog_pins_aliases_and_facts(spark):
     assert chosen == {"cause_ids": ["C1", "C3"], "check_ids": ["K2", "K4"], "status": "unconfirmed"}
     case = spark.createDataFrame([("c", ["x"], [("look", "ok")], "as", None, "co", "li")], "case_id string, possible_causes array<string>, check_results array<struct<check:string,result:string>>, assessment string, action_taken string, conclusion string, limitation string")
     assert [(r["alias"], r["text"]) for r in cases.facts(case).orderBy("pos").collect()] == [("E1", "x"), ("E2", "look: ok"), ("E3", "as"), ("E4", "co"), ("E5", "li")]
-    pins = cases.foreign_pin_mentions(F.lit("pa and PB_x worn"), F.array(F.lit("PA"), F.lit("PB")), F.array(F.lit("PC")))
-    assert one(spark, pins) == ["PA"]
+    pins = cases.foreign_pin_mentions(F.lit("pa and PB_x and p+ worn"), F.array(F.lit("PA"), F.lit("PB"), F.lit("P+"), F.lit("(")), F.array(F.lit("PC")))
+    assert one(spark, pins) == ["PA", "P+"]
 
 
 @pytest.mark.parametrize(("text_", "error"), [
@@ -158,6 +165,18 @@ def test_selection_contract(spark, text_, error):
     assert got["error"] == error and got["accepted"] is (error is None)
 
 
+@pytest.mark.parametrize(("causes", "checks", "status", "error"), [
+    ('["C1"]', '["K2"]', "unconfirmed", None), ('["K1"]', '["C9"]', "unconfirmed", "unknown id"), ('["K2"]', '["K2"]', "unconfirmed", "wrong kind"), ('["C1"]', '["C1"]', "unconfirmed", "wrong kind"), ("[]", "[]", "refuse", None),
+])
+def test_selections_are_held_to_their_options(spark, causes, checks, status, error):
+    rows = spark.createDataFrame([("q", f'{{"status":"{status}","cause_ids":{causes},"check_ids":{checks}}}'), ("none", '{"status":"unconfirmed","cause_ids":["C1"],"check_ids":["K2"]}')], "query_id string, t string")
+    options = spark.createDataFrame([("q", "C1", "cause"), ("q", "K2", "check")], "query_id string, alias string, kind string")
+    got = {r["query_id"]: r for r in cases.check_selection(rows, "t", options=options).collect()}
+    assert got["q"]["error"] == error and got["none"]["error"] == "unknown id"
+    forced = {r["query_id"]: r["error"] for r in cases.check_selection(rows, "t", options=options, forced=True).collect()}
+    assert forced["q"] == (error or ("refusal where an answer is asked for" if status == "refuse" else None))
+
+
 def test_verification_decides(spark):
     items = spark.createDataFrame([("q", "cause", True), ("q", "check", True), ("r", "cause", None), ("r", "check", True)], "query_id string, kind string, ok boolean")
     verified = cases.verify_items(items, {"citation": F.col("ok")})
@@ -199,9 +218,20 @@ def test_conversation_rules(spark):
     assert values(chat.turn_cap(turns, "run_id"), "entity_key") == [("r",)]
     sizes = spark.createDataFrame([("p", 1, 3000), ("p", 2, 900), ("p", 3, 10), ("q", 1, 5000)], "id string, pos int, n int")
     assert values(chat.first_fit(sizes, "id", "pos", "n", 2000, 160, 2048, 64), "id", "pos") == [("p", 2)]
-    replies = spark.createDataFrame([(1, "It was found open [E1]."), (2, "Replace D005 now [E1]."), (3, "The cause is confirmed [E2]."), (4, "No source."), (5, "Odd [E9].")], "id long, t string")
-    bad = chat.reply_violations(replies, "id", "t", F.array(F.lit("E1"), F.lit("E2")), F.lit("D005"))
-    assert values(bad, "entity_key", "rule_id") == [("2", "device"), ("3", "claims"), ("4", "references"), ("5", "references")]
+    lost = chat.unfit(sizes, chat.first_fit(sizes, "id", "pos", "n", 2000, 160, 2048, 64), "id")
+    assert values(lost, "entity_key") == [("q",)]
+    replies = [
+        "It was found open [E1].", "Hold D005 for analysis.", "This confirms the leakage.", "No source, and none is needed.", "Odd [E9].", "", '{"a":1}', "The engineer should check P-D005 first.", "P-D0051 should wait; D005 was replaced.",
+        "The historical result indicates a DUT-related fault. This may indicate leakage.", "```\ncode", "We can see. D005 needs to be cleaned.", None,
+    ]
+    table = spark.createDataFrame(list(enumerate(replies, 1)), "id long, t string")
+    bad = chat.reply_violations(table, "id", "t", F.array(F.lit("E1"), F.lit("E2")), F.array(F.lit("P-D005")))
+    got = values(bad.filter("entity_key <> '13'"), "entity_key", "rule_id")
+    assert got == sorted([("2", "device"), ("3", "claims"), ("5", "references"), ("6", "empty"), ("7", "prose"), ("8", "device"), ("11", "prose"), ("12", "device")], key=str)
+    assert values(bad.filter("entity_key = '13'"), "rule_id")[0] == ("claims",)
+    assert one(spark, chat.citation_status(F.lit("x [E1]"))) == "references_checked" and one(spark, chat.citation_status(F.lit("x"))) == "no_explicit_references"
+    asked = spark.createDataFrame([(1, "a" * 32, "why?"), (2, "../x", "why?"), (3, "b" * 32, "x" * 701), (4, "c" * 32, None)], "id long, run string, q string")
+    assert values(chat.question_violations(asked, "id", "run", "q"), "entity_key", "rule_id") == [("2", "run"), ("3", "question"), ("4", "question")]
 
 
 def test_suites_resume_compare_and_report(spark):
@@ -213,3 +243,6 @@ def test_suites_resume_compare_and_report(spark):
     assert values(suite.comparable(a, b, ["sha", "n"]), "entity_key", "message") == [("full", "sha")]
     table = spark.createDataFrame([("energy", 1.5, None), ("n", 50.0, 2.0)], "metric string, a double, b double")
     assert "| energy | 1.5 | unmeasured |" in suite.as_markdown(table, "metric") and "<rect" in suite.bar_chart_svg(table, "metric", "a")
+    many = spark.range(1500).select(F.format_string("m%04d", "id").alias("metric"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
+    assert suite.as_markdown(many, "metric").count("\n") == 1502 and suite.bar_chart_svg(many, "metric", "a").count("<rect") == 1500
+    assert suite.scatter_svg(table, "metric", "a", "b").count("<circle") == 1
