@@ -431,10 +431,10 @@ def fitted_coder(words: list[bytes], head: mixing.Head) -> mixing.Coder:
     parts, _ = mixing.cut(words)
     tables, kinds, n = np.zeros(mixing.SLOTS * 2), np.ones(len(parts), np.int64), np.ones(len(parts))
     mixing.add_counts(tables, parts, kinds, n, head.code)
-    fit = mixing.Fit()
+    fit, tables = mixing.Fit(), tables.reshape(-1, 2).astype(np.float32)
     for i in range(0, len(parts), 64):
-        fit.update(parts[i : i + 64], kinds[i : i + 64], n[i : i + 64], tables.reshape(-1, 2), head.code)
-    return mixing.Coder(tables.reshape(-1, 2).astype(np.float32), fit.weights, fit.refined, head.code)
+        fit.update(parts[i : i + 64], kinds[i : i + 64], n[i : i + 64], tables, head.code)
+    return mixing.Coder(tables, fit.weights, fit.refined, head.code)
 
 
 def test_mixing_is_a_distribution():
