@@ -30,7 +30,7 @@ from provena.llm.common import materialize, worker_memo
 
 LEXICON_WORDS = 65_536  # most words of the automaton
 LEXICON_BYTES = 32  # longest word of the automaton
-MEMO = 500_000  # texts between white space that a worker remembers
+MEMO = 300_000  # texts between white space that a worker remembers
 SLICE = 1_000_000  # code points of a text handled at once
 BLOCK = 2_000_000  # code points of a block of texts
 

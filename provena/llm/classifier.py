@@ -160,8 +160,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     """One row per document: doc_id, held_out, score, predicted.
 
     held_out marks the rows that are never learnt from. Null and empty texts score by the bias alone; a null id
-    is not held out, as no label can name it; repeated rows are scored each; other columns are ignored. Without
-    labels every score is 0.5.
+    is not held out, as no label can name it; repeated rows are scored each; texts of any length are whole; other
+    columns are ignored. Without labels every score is 0.5; no documents give no rows.
     """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels, key, text, sample))
 
@@ -174,7 +174,11 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows that are predicted to be good, with all their columns."""
+    """The rows that are predicted to be good, with all their columns, whatever their names.
+
+    Rows are judged each, also repeated ones and those with a null id or text; null and empty texts by the bias alone.
+    Texts of any length are whole. Without labels every row stays; no rows give none.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

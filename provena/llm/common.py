@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -49,19 +50,28 @@ def discard(*stored: DataFrame) -> None:
 
 
 _MEMOS: dict[str, dict] = {}
+_OWNER = [""]
+
+
+def _give_back() -> None:
+    """Return to the system what Arrow and the allocator keep of freed memory, where the system's library can."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
 
 
 def worker_memo(owner: str) -> dict:
     """What one operator remembers in this Python worker from task to task.
 
     Spark reuses workers, so that each of them comes to run every stage of a job; asking for a memo empties those
-    of the other operators and gives back what Arrow has kept, so that a worker holds one at a time.
+    of the other operators and gives their memory back, so that a worker holds one at a time.
     """
-    left = [memo for other, memo in _MEMOS.items() if other != owner and memo]
-    for memo in left:
-        memo.clear()
-    if left:
-        pa.default_memory_pool().release_unused()
+    if _OWNER[0] != owner:
+        for other, memo in _MEMOS.items():
+            if other != owner:
+                memo.clear()
+        _OWNER[0] = owner
+        _give_back()
     return _MEMOS.setdefault(owner, {})
 
 

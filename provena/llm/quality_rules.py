@@ -5,7 +5,7 @@ weighing the same, and the shares of its most common words, marks by themselves
 are compared with each reference by Jensen-Shannon distance (the root of the divergence to base 2, from 0 to 1).
 
 Limits come from the references and the corpus, not from labels. By words, a document is rejected where it is nearly as
-far from every reference as a text without any of its common words is. By characters, it is rejected where even the
+far from every reference as a text without any of its common words is, and holds next to none of them. By characters, it is rejected where even the
 nearest language is far outside the distances of the documents near to that language: beyond their median by many times
 their spread. Short documents are not judged by histograms that say little about them, nor is a document of a language
 with too few documents for a mean to say much: such a language has no reference.
@@ -31,7 +31,8 @@ from provena.llm.common import materialize, numbered_words, worker_memo
 LEAST_DOCS = 20  # documents with text from which a language has a reference, whatever its share
 COMMON = 200  # words of a reference
 CHAR_GUARD, WORD_GUARD = 100, 50  # least code points and words for the two comparisons
-WORD_LIMIT = 0.99  # of the distance of a text without common words: about one such word in fifty is left
+WORD_LIMIT = 0.99  # of the distance of a text without common words
+FEW = 0.1  # of the share of common words that a language has: a document with more of them has some
 SPREADS, LEAST_SPREAD = 10.0, 0.01  # spreads beyond the median from which a document is far by characters
 WINDOW = 8  # words in a repeated passage
 SPACE, SYMBOL = 0, 1
@@ -184,7 +185,10 @@ def measure(texts: list[str], langs: list[str | None], refs: References) -> Meas
         own = np.bincount(owner * (COMMON + 1) + place[flat], minlength=len(texts) * (COMMON + 1)).reshape(-1, COMMON + 1)
         here = distance(own / np.maximum(1, sizes)[:, None], refs.shares[i])
         by_word = np.where(wordy, np.fmin(by_word, here), by_word)
-        word_share = np.where(wordy, np.fmin(word_share, here / farthest[i]), word_share)
+        # A short text holds few of the common words, each too often; as long as it holds some, it is not without them.
+        some = own.sum(1) - own[:, COMMON] >= FEW * (1 - refs.shares[i, COMMON]) * sizes
+        share = np.where(some, np.minimum(here / farthest[i], WORD_LIMIT), here / farthest[i])
+        word_share = np.where(wordy, np.fmin(word_share, share), word_share)
     return Measured(base, by_char, [None if np.isnan(x) else refs.names[int(x)] for x in near], by_word, word_share)
 
 

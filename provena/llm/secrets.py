@@ -183,7 +183,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     end = max(end, b)
                 text = " ".join([*pieces, text[end:]])
             users.update(set(NAME.findall(text)))
-        if len(users) > 300_000:
+        if len(users) > 150_000:
             yield flush()
     yield flush()
 

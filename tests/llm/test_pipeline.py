@@ -6,6 +6,7 @@ import random
 
 import corpus_pipeline
 from provena.llm import secrets
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import DOCS
 
@@ -35,3 +36,32 @@ def test_stages_and_run(spark, tmp_path):
     packed = out.collect()
     assert {r["doc_id"] for r in packed} == sizes[3]
     assert sorted(map(tuple, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "start", "length", "ids_crc32").collect())) == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in packed)
+
+
+def test_stages_take_odd_rows_and_none(spark, tmp_path):
+    """Nulls in every column, repeated rows, clashing columns, one very long text; and empty tables, stage by stage."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("aeioulnrst") for _ in range(rng.randint(2, 7)))
+    long_ = " ".join(word() for _ in range(60_000))
+    rows = [(i, " ".join(word() for _ in range(60)), "en", "s", 1) for i in range(40)]
+    rows += [rows[0], (None, " ".join(word() for _ in range(60)), None, None, None), (100, None, None, None, None), (101, "", "en", "s", 0), (102, long_, "en", "s", len(long_))]
+    docs = spark.createDataFrame(rows, DOCS).withColumn("score", F.lit(1)).withColumn("class_id", F.lit(2)).withColumn("near", F.lit("n")).withColumn("spans", F.lit("s"))
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)] + [(None, 0, 0), (7, None, None)], "doc_id long, quality int, toxic int")
+    folders = {}
+    for name, d, l in (("odd", docs, labels), ("none", docs.limit(0), labels.limit(0))):
+        folders[name] = f"{tmp_path}/{name}"
+        d.write.parquet(f"{folders[name]}/documents.parquet")
+        l.write.parquet(f"{folders[name]}/labels.parquet")
+    for name, folder in folders.items():
+        kept = spark.read.parquet(f"{folder}/documents.parquet")
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, kept, folder)
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(f"{folder}/stage{k}")
+            kept = spark.read.parquet(f"{folder}/stage{k}")
+        ids = {r["doc_id"] for r in kept.select("doc_id").collect()}
+        assert ids == ({None, *range(40), 102} if name == "odd" else set())
+        if name == "odd":
+            assert spark.read.parquet(f"{folder}/stage2").filter("doc_id = 0").count() == 1
+            assert sum(r["length"] for r in kept.filter("doc_id = 102").collect()) == kept.filter("doc_id = 102").first()["doc_tokens"] > 60_000
+    assert corpus_pipeline.run(spark, folders["none"]).collect() == []
