@@ -185,8 +185,8 @@ def measure(texts: list[str], langs: list[str | None], refs: References) -> Meas
         own = np.bincount(owner * (COMMON + 1) + place[flat], minlength=len(texts) * (COMMON + 1)).reshape(-1, COMMON + 1)
         here = distance(own / np.maximum(1, sizes)[:, None], refs.shares[i])
         by_word = np.where(wordy, np.fmin(by_word, here), by_word)
-        # A short text holds few of the common words, each too often; as long as it holds some, it is not without them.
-        some = own.sum(1) - own[:, COMMON] >= FEW * (1 - refs.shares[i, COMMON]) * sizes
+        # A text of fewer words than the reference holds few of them, each too often; as long as it holds some, it is not without them.
+        some = (sizes < COMMON) & (own.sum(1) - own[:, COMMON] >= FEW * (1 - refs.shares[i, COMMON]) * sizes)
         share = np.where(some, np.minimum(here / farthest[i], WORD_LIMIT), here / farthest[i])
         word_share = np.where(wordy, np.fmin(word_share, share), word_share)
     return Measured(base, by_char, [None if np.isnan(x) else refs.names[int(x)] for x in near], by_word, word_share)
