@@ -106,7 +106,7 @@ def direction_case_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Side of a value outside its type's limits, the side a cause speaks for, and whether they agree."""
     e = table(spark, sf_dir, "events")
     lim = e.groupBy("event_type").agg(F.expr("percentile_disc(0.25) within group (order by value)").alias("lo"), F.expr("percentile_disc(0.75) within group (order by value)").alias("hi"))
-    cause = F.when(F.col("event_type") == "error", "leakage current").when(F.col("event_type") == "signup", "an open line")
+    cause = F.when(F.col("event_type") == "error", "excessive static current").when(F.col("event_type") == "signup", "a low supply")
     out = e.join(lim, "event_type").select("event_id", F.when(F.col("value") <= F.col("lo"), "low").when(F.col("value") >= F.col("hi"), "high").alias("direction"), cause_direction(cause).alias("cause_direction"))
     return out.withColumn("applicable", F.coalesce(F.col("direction") == F.col("cause_direction"), F.lit(False)))
 
