@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import bpe, classifier, mixing, packing, quality_rules, sql
+from provena.llm import bpe, classifier, merkle, mixing, packing, quality_rules, sql
 from provena.llm.common import table
 from provena.llm.dartminhash import near_duplicates
 from provena.llm.quotations import link_quotations
@@ -110,6 +110,10 @@ def op10_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", mixing.held_out(F.col("doc_id")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality_rules": op2_quality_rules,
@@ -121,6 +125,7 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_packing": op9_packing,
     "op10_context_mixing": op10_context_mixing,
+    "op11_merkle_manifest": op11_merkle_manifest,
     "linked_pages_filter": linked_pages_filter,
     "quoted_turns_links": quoted_turns_links,
 }
@@ -129,6 +134,7 @@ ORACLE_SQL = {
     "op1_topk": sql.TOPK,
     "op4_quotation_links": sql.QUOTATIONS,
     "op7_url_filter": sql.URL_FILTER,
+    "op11_merkle_manifest": sql.MANIFEST,
     "linked_pages_filter": sql.LINKED_URL_FILTER,
     "quoted_turns_links": sql.QUOTED_LINKS,
 }

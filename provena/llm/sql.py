@@ -147,3 +147,49 @@ quoted AS (
   LEFT JOIN conversations o ON c.conv_id % 5 = 0 AND c.turn = 0 AND o.turn = 0 AND o.conv_id = c.conv_id + 1
 )"""
 QUOTED_LINKS = QUOTATIONS.replace("FROM conversations\n", "FROM quoted\n").replace("WITH RECURSIVE m AS", "WITH RECURSIVE" + QUOTED_TURNS + ", m AS")
+
+
+def _field(c: str) -> str:
+    return f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')"
+
+
+def _levels(name: str, first: str, heights: int) -> str:
+    """Tables name_0 to name_{heights} of nodes (g, i, h, m: nodes of the group) over a first one, and name_run_k of runs of 16."""
+    out = [f"{name}_0 AS ({first})"]
+    for k in range(heights):
+        out.append(f"{name}_run_{k} AS (SELECT g, i // 16 AS i, string_agg(h, '' ORDER BY i) AS run, any_value(m) AS m FROM {name}_{k} GROUP BY g, i // 16)")
+        out.append(f"{name}_{k + 1} AS (SELECT g, i, CASE WHEN m = 1 THEN run ELSE sha256(run) END AS h, (m + 15) // 16 AS m FROM {name}_run_{k})")
+    return ",\n".join(out)
+
+
+def _climb(name: str, first: str, heights: int) -> str:
+    """Tables up_name_0 to up_name_{heights}: the rows of a first one with what is folded and the siblings so far."""
+    out = [f"up_{name}_0 AS ({first})"]
+    for k in range(heights):
+        a, b = "left(run, 64 * (u.i % 16))", "substr(run, 64 * (u.i % 16) + 65)"
+        out.append(
+            f"up_{name}_{k + 1} AS (SELECT u.* REPLACE (u.i // 16 AS i, CASE WHEN m = 1 THEN f ELSE sha256({a} || f || {b}) END AS f, CASE WHEN m = 1 THEN p ELSE p || {a} || {b} END AS p)"
+            f" FROM up_{name}_{k} u JOIN {name}_run_{k} r ON r.g = u.g AND r.i = u.i // 16)"
+        )
+    return ",\n".join(out)
+
+
+_CRC = """list_reduce(flatten([[4294967295::UBIGINT]] || list_transform(range(1, length(doc_id::VARCHAR) + 1), lambda j: [ord(substr(doc_id::VARCHAR, j, 1))::UBIGINT] || list_transform(range(8), lambda z: 4294967296::UBIGINT))),
+    lambda acc, x: CASE WHEN x = 4294967296 THEN xor(acc >> 1, CASE WHEN acc % 2 = 1 THEN 3988292384::UBIGINT ELSE 0::UBIGINT END) ELSE xor(acc, x) END)"""
+_HASHED = " || ".join(map(_field, ("doc_id", "source", "lang", "n_chars")))
+
+MANIFEST = f"""
+WITH d AS (
+  SELECT doc_id, coalesce('=' || source, '-') AS g, sha256({_HASHED} || {_field('text')}) AS h,
+         CASE WHEN xor({_CRC}, 4294967295::UBIGINT) % 5 = 0
+              THEN sha256({_HASHED} || {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS t
+  FROM documents
+), l AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM d
+), {_levels('n', 'SELECT g, i, h, m FROM l', 6)},
+s AS (SELECT g AS member, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS m FROM n_6),
+{_levels('r', "SELECT 'forest' AS g, i, h, m FROM s", 4)},
+{_climb('n', "SELECT doc_id, g, i, h AS leaf, coalesce(t, h) AS f, '' AS p FROM l", 6)},
+{_climb('r', "SELECT u.* REPLACE ('forest' AS g, s.i AS i), s.h AS subroot FROM up_n_6 u JOIN s ON s.member = u.g", 4)}
+SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM up_r_4, r_4 r
+"""
