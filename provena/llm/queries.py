@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from provena.llm import bpe, classifier, merkle, mixing, packing, quality_rules, sql
+from provena.llm import bpe, classifier, merkle, mixing, packing, quality_rules, sql, templates, whitening
 from provena.llm.common import table
 from provena.llm.dartminhash import near_duplicates
 from provena.llm.quotations import link_quotations
@@ -114,6 +114,14 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_quality_rules": op2_quality_rules,
@@ -126,6 +134,8 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op10_context_mixing": op10_context_mixing,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_html_extraction": op13_html_extraction,
     "linked_pages_filter": linked_pages_filter,
     "quoted_turns_links": quoted_turns_links,
 }
@@ -135,6 +145,7 @@ ORACLE_SQL = {
     "op4_quotation_links": sql.QUOTATIONS,
     "op7_url_filter": sql.URL_FILTER,
     "op11_merkle_manifest": sql.MANIFEST,
+    "op13_html_extraction": sql.ARTICLES,
     "linked_pages_filter": sql.LINKED_URL_FILTER,
     "quoted_turns_links": sql.QUOTED_LINKS,
 }

@@ -193,3 +193,12 @@ s AS (SELECT g AS member, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) O
 {_climb('r', "SELECT u.* REPLACE ('forest' AS g, s.i AS i), s.h AS subroot FROM up_n_6 u JOIN s ON s.member = u.g", 4)}
 SELECT doc_id, leaf, subroot, r.h AS root, sha256(p) AS proof_sha256, f AS folded_root, f = r.h AS verified FROM up_r_4, r_4 r
 """
+
+#: Of pages whose one article is an element of that name: its text without tags. What recurs on a host lies outside it there.
+ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS x FROM pages),
+t AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS x FROM a),
+d AS (SELECT page_id, url, regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g') AS x FROM t),
+e AS (SELECT page_id, url, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text FROM d)
+SELECT page_id, url, text, length(text) AS n_chars, 0::INTEGER AS n_template FROM e
+"""
