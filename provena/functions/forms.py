@@ -5,30 +5,56 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from provena.functions.phrases import holds, parts_after, token_line
+
 # The product, its tests, their names in logs, the marks of a failure, and limits of what is entered.
 PRODUCT = "Product_A"
 TESTS = {100: "Continuity / Open\u2013Short", 210: "IDD_Static", 606: "Scan"}
-TEST_NAMES = ("Open/Short-?", "Continuity", "IDD_Static", "Scan")
-FAILURE_MARKS = (r"\bFAIL(?:ED)?\b", r"\(F\)", r"Failing Pins:\s*[1-9]\d*")
+TEST_NAMES = ("open/short-", "open/short", "continuity", "idd_static", "scan")
+FAILURE_WORDS, FAILURE_SIGN, PINS_LABEL = ("fail", "failed"), "(f)", "failing pins:"
 MOST_TEXT, MOST_NAME, MOST_QUESTION = 12_000, 100, 1_000
 NAME_CHARS = "[A-Za-z0-9_.-]"
 NOTICE = "No log or observation was supplied: measurements and results of checks are unknown."
 
-_NAMED = f"(?:{'|'.join(TEST_NAMES)})"
-_MENTION = rf"\b(?:(\d{{2,4}})\s+{_NAMED}|{_NAMED}\s*\((\d{{2,4}})\))"
+NAME_MARK, NUMBER_MARK = "\u0001", "\u0002"  # stand for a name and a number while a line is read
 
 
 def _all(text: Column, pattern: str, group: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)))
 
 
+def _mentions(part: Column) -> Column:
+    """array<struct<number, said>> of the tests that a part of a line names with their number, and what is said up to the next one.
+
+    The number stands before the name, after white space, or behind it in brackets; a name alone is a word like others.
+    """
+    marked = F.translate(F.lower(part), NAME_MARK + NUMBER_MARK, "  ")
+    for name in TEST_NAMES:
+        marked = F.replace(marked, F.lit(name), F.lit(NAME_MARK))
+    chunks = F.split(marked, NAME_MARK)
+    ahead = lambda c: F.regexp_extract(c, r"(?<![\p{L}\p{N}_])([0-9]{2,4})\s+$", 1)
+    behind = lambda c: F.regexp_extract(c, r"^\s*\(([0-9]{2,4})\)", 1)
+
+    def told(i: Column) -> Column:
+        here, last = F.get(chunks, i), i == F.size(chunks) - 1
+        own = F.when(last, here).otherwise(F.regexp_replace(here, r"(?<![\p{L}\p{N}_])[0-9]{2,4}\s+$", ""))  # the next one's number
+        before, after = ahead(F.get(chunks, i - 1)), behind(here)
+        return F.when(before != "", F.concat(F.lit(NUMBER_MARK), before, F.lit(NAME_MARK), own)).when(after != "", F.concat(F.lit(NUMBER_MARK), after, F.lit(NAME_MARK), F.substring_index(own, ")", -1))).otherwise(own)
+
+    joined = F.array_join(F.transform(F.slice(F.sequence(F.lit(0), F.size(chunks)), 2, F.size(chunks) - 1), told), " ")
+    found = F.slice(F.split(joined, NUMBER_MARK), 2, 1 << 30)
+    return F.transform(found, lambda m: F.struct(F.substring_index(m, NAME_MARK, 1).cast("int").alias("number"), F.substring_index(m, NAME_MARK, -1).alias("said")))
+
+
+def _says_failed(said: Column) -> Column:
+    pins = F.exists(parts_after(said, F.lit(PINS_LABEL)), lambda r: F.regexp_replace(r, r"^\s+", "").rlike("^[1-9]"))
+    return holds(token_line(said), FAILURE_WORDS) | F.contains(said, F.lit(FAILURE_SIGN)) | pins
+
+
 def failed_tests(text: Column) -> Column:
-    """Distinct numbers of the tests that a log calls failed: each mention is judged by the rest of its line, up to the next one."""
-    pieces = F.split(F.regexp_replace(F.translate(text, "\u0001", ""), f"(?i){_MENTION}", "\u0001$0"), "\u0001")
-    mentions = F.slice(pieces, 2, 1 << 30)
-    rest = lambda p: F.regexp_extract(F.regexp_replace(p, f"(?i)^{_MENTION}", ""), r"^([^\n;]*)", 1)
-    number = lambda p: F.coalesce(*(F.nullif(F.regexp_extract(p, f"(?i)^{_MENTION}", k), F.lit("")) for k in (1, 2))).cast("int")
-    return F.array_distinct(F.transform(F.filter(mentions, lambda p: rest(p).rlike(f"(?i){'|'.join(FAILURE_MARKS)}")), number))
+    """Distinct numbers of the tests that a log calls failed: each mention is judged by what follows on its line, up to a semicolon or the next one."""
+    told = F.flatten(F.transform(F.split(text, "[\n;]"), _mentions))
+    return F.array_distinct(F.transform(F.filter(told, lambda m: _says_failed(m["said"])), lambda m: m["number"]))
 
 
 def log_hints(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from provena.functions.phrases import before_unit, first_of, labelled, let, near, pieces, plain_number
+
 # Identifiers and words that evidence texts use.
 DEVICE_ID = r"[A-Z][A-Za-z0-9]*_[A-Z]-L\d{2}-W\d{2}-D\d{3}"
 OVER, UNDER = ("exceed", "exceeds", "exceeded", "above", "over"), ("below", "under")
@@ -15,10 +17,8 @@ REACH = 35  # characters between the two words of a direction, at most
 HIGH_CAUSES, LOW_CAUSES = ("high", "excessive static current"), ("low",)
 CURRENT_DEVICE = "the current DUT"
 
-_AMOUNT = r"\d+(?:\.\d+)?"
-_MEASURED = rf"(?i)measured (?:static )?current\s*:\s*({_AMOUNT})\s*ma"
-_LIMITS = rf"(?i)(?:allowed range|limits?)\s*:\s*({_AMOUNT})\s*[\u2013-]\s*({_AMOUNT})\s*ma"
-_TESTER_LINE = rf"(?i)\b210\s+IDD_Static\b[^\n]*?({_AMOUNT})\s*ma\s*<\s*({_AMOUNT})\s*ma\s*\(F\)\s*<\s*({_AMOUNT})\s*ma"
+MEASURED_LABELS, LIMIT_LABELS, UNIT = ("measured static current", "measured current"), ("allowed range", "limits", "limit"), "ma"
+TESTER_LINE, FAIL_MARK = ("210", "idd_static"), "(f)"
 
 
 def tokens(text: Column) -> Column:
@@ -87,18 +87,43 @@ def pin_residue(text: Column) -> Column:
     return F.regexp_replace(text, r"[A-Za-z]\w*\s*:\s*\d+|\s+", "")
 
 
-def _any(words: tuple[str, ...]) -> str:
-    return f"(?:{'|'.join(words)})"
-
-
 def _says(text: Column, moved: tuple[str, ...], names: tuple[str, ...], stems: tuple[str, ...]) -> Column:
     """Whether a word of movement stands before the name of a limit, or a limit's name before the stem of one, close together."""
-    near = rf"\b.{{0,{REACH}}}\b"
-    return text.rlike(rf"(?i)\b{_any(moved)}{near}{_any((*names, LIMIT_NAME))}\b") | text.rlike(rf"(?i)\b{_any(names)}{near}{_any(stems)}")
+    return near(text, moved, (*names, LIMIT_NAME), REACH) | near(text, names, (), REACH, stems)
+
+
+def _measured(text: Column) -> Column:
+    """The first current that a text calls measured."""
+    return first_of(F.transform(labelled(text, MEASURED_LABELS), lambda r: plain_number(before_unit(r, UNIT))))
+
+
+def _limits(text: Column) -> Column:
+    """The first pair of limits that a text names, as array of two."""
 
+    def pair(rest: Column) -> Column:
+        ends = F.transform(F.split(F.translate(before_unit(rest, UNIT), "–", "-"), "-"), plain_number)
+        return F.when((F.size(ends) == 2) & ~F.exists(ends, F.isnull), ends)
 
-def _number(text: Column, pattern: str, group: int) -> Column:
-    return F.regexp_extract(text, pattern, group).try_cast("double")
+    return first_of(F.transform(labelled(text, LIMIT_LABELS), pair))
+
+
+def _tester_line(text: Column) -> Column:
+    """Lower limit, value and upper limit of the first line of the static current test that marks its value as failing."""
+    number, name = TESTER_LINE
+
+    def told(line: Column) -> Column:
+        at = F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: (F.get(line, i) == number) & (F.trim(F.get(line, i + 1)) == "") & (F.get(line, i + 2) == name))
+        return F.when(F.size(at) > 0, F.array_join(F.slice(line, F.get(at, 0) + 4, 1 << 30), ""))
+
+    def ordered(rest: Column) -> Column:
+        cut = F.transform(F.split(rest, "<"), lambda p: F.trim(p))
+        lower = lambda p: F.when(F.endswith(p, F.lit(UNIT)), F.regexp_extract(p, rf"([0-9]+(?:\.[0-9]+)?)\s*{UNIT}$", 1).try_cast("double"))
+        value = lambda p: F.when(F.endswith(p, F.lit(FAIL_MARK)), plain_number(before_unit(p, UNIT)))
+        three = lambda i: F.array(lower(F.get(cut, i)), value(F.get(cut, i + 1)), plain_number(before_unit(F.get(cut, i + 2), UNIT)))
+        return first_of(F.filter(F.transform(F.sequence(F.lit(0), F.size(cut)), three), lambda t: ~F.exists(t, F.isnull)))
+
+    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: told(pieces(x)))
+    return first_of(F.transform(F.filter(lines, lambda x: x.isNotNull()), ordered))
 
 
 def read_direction(observation: Column) -> Column:
@@ -109,14 +134,19 @@ def read_direction(observation: Column) -> Column:
     error: limits where the lower is not below the upper, conflict where words contradict measured values.
     """
     text = F.coalesce(observation, F.lit(""))
-    above, below = _says(text, OVER, UPPER_NAMES, ABOVE_STEMS), _says(text, UNDER, LOWER_NAMES, BELOW_STEMS)
-    line = [_number(text, _TESTER_LINE, k) for k in (1, 2, 3)]
-    told = [_number(text, _LIMITS, 1), _number(text, _MEASURED, 1), _number(text, _LIMITS, 2)]
-    side = lambda t: F.when(t[1] > t[2], "high").when(t[1] < t[0], "low")
-    has_line, has_told = line[1].isNotNull(), told[0].isNotNull() & told[1].isNotNull()
+    said = F.struct(_says(text, OVER, UPPER_NAMES, ABOVE_STEMS).alias("above"), _says(text, UNDER, LOWER_NAMES, BELOW_STEMS).alias("below"))
+    return let(F.struct(said.alias("said"), _tester_line(text).alias("line"), _limits(text).alias("limits"), _measured(text).alias("value")), _judged)
+
+
+def _judged(x: Column) -> Column:
+    above, below, line = x["said"]["above"], x["said"]["below"], x["line"]
+    told = F.array(F.get(x["limits"], 0), x["value"], F.get(x["limits"], 1))
+    side = lambda t: F.when(F.get(t, 1) > F.get(t, 2), "high").when(F.get(t, 1) < F.get(t, 0), "low")
+    crossed = lambda t: F.get(t, 0) >= F.get(t, 2)
+    has_line, has_told = line.isNotNull(), x["limits"].isNotNull() & x["value"].isNotNull()
     by_words = F.when(above & ~below, "high").when(below & ~above, "low")
     conflict = side(told).isNotNull() & ((above & (side(told) != "high")) | (below & (side(told) != "low")))
-    error = F.when(has_line, F.when(line[0] >= line[2], "limits")).when(has_told, F.when(told[0] >= told[2], "limits").when(conflict, "conflict"))
+    error = F.when(has_line, F.when(crossed(line), "limits")).when(has_told, F.when(crossed(told), "limits").when(conflict, "conflict"))
     direction_ = F.when(has_line, side(line)).when(has_told, side(told)).otherwise(by_words)
     return F.struct(F.when(error.isNull(), direction_).alias("direction"), error.alias("error"))
 

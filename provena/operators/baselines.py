@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import tokens
+from provena.operators.inverted import best_documents, bm25_part, build_index
 
 Embedder = Callable[[pd.Series], pd.Series]  # texts -> lists of floats, batch by batch
 
@@ -44,18 +45,8 @@ def tf_idf(docs: DataFrame, key: str, text: str, buckets: int = 256) -> DataFram
 def bm25(queries: DataFrame, docs: DataFrame, query: str, doc: str, text: str = "text", k: int = 5, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query, doc, score, rank): the k best documents of each query by BM25 over its distinct words, ties to the smaller document.
 
-    The index holds words that some query has, with each document's length beside them, so that no word of other
-    documents moves.
+    Documents are tokenised once, into a stored index whose blocks are skipped where they cannot hold a better document.
     """
     asked = queries.select(query, F.explode(tokens(F.col(text))).alias("word"))
-    held = docs.select(doc, words_of(F.col(text)).alias("ws")).withColumn("length", F.size("ws"))
-    about = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    index = held.select(doc, "length", F.explode("ws").alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
-    index = index.groupBy("word", doc, "length").agg(F.count("*").alias("tf"))
-    df = index.groupBy("word").agg(F.count("*").alias("df"))
-    idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = df.crossJoin(about).select("word", idf.alias("idf"), "mean")
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("length") / F.col("mean")))
-    scored = asked.join(index.join(weight, "word").select("word", doc, part.alias("part")), "word").groupBy(query, doc).agg(F.sum("part").alias("score"))
-    best = Window.partitionBy(query).orderBy(F.desc(F.round("score", 9)), doc)
-    return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+    index = build_index(docs, doc, words_of(F.col(text)))
+    return best_documents(index, asked, query, bm25_part(k1, b), k).best.withColumnRenamed("doc", doc)

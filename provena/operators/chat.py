@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from provena.functions.phrases import holds, leads_to, token_line
 from provena.functions.text import bounded, literal, references, sentences
 from provena.operators.constraints import violations
 
@@ -15,20 +16,13 @@ STEPS = ("hold", "retest", "measure", "test", "check", "inspect", "verify", "rep
 TARGET_DUTIES = ("should", "must", "needs to")
 SUBJECTS = ("this", "the failure", "the result", "the reading", "the measured current")
 ASSERTIONS = ("indicates", "confirms", "proves", "establishes")
-FINDINGS = ("DUT[- ]related", "DUT[- ]associated", "device[- ]related", "internal short", "leakage")
+FINDINGS = ("dut related", "dut associated", "device related", "internal short", "leakage")
 HISTORY = ("historical", "previous case", "simulated")
+DEVICE_MARK = "\u00a4"  # stands for a device while a sentence is read
 STRUCTURED = ("{", "```", '["')  # how a reply begins that is no prose
 MOST_QUESTION, MOST_TURNS = 700, 10
 
 
-def _any(words: tuple[str, ...]) -> str:
-    return f"(?:{'|'.join(words)})"
-
-
-INSTRUCTION = rf"(?i)\b{_any(ACTORS)}\s+{_any(DUTIES)}\b|\b{_any(ADVICE)}\b|^\s*(?:[-*]\s*)?(?:\d+[.)]\s*)?{_any(STEPS)}\b"
-OVERCLAIM = rf"(?i)\b{_any(SUBJECTS)}\s+(?:clearly\s+)?{_any(ASSERTIONS)}\s+(?:(?:a|an|the)\s+)?{_any(FINDINGS)}"
-
-
 def last_turns(turns: DataFrame, by: str, turn: str, n: int) -> DataFrame:
     w = Window.partitionBy(by).orderBy(F.desc(turn))
     return turns.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
@@ -47,16 +41,29 @@ def unfit(variants: DataFrame, fitted: DataFrame, by: str) -> DataFrame:
     return lost.select(F.lit("budget").alias("rule_id"), F.col(by).cast("string").alias("entity_key"), F.lit("no variant fits the budget").alias("message"))
 
 
+def _told_to_act(sentence: Column) -> Column:
+    """Whether a sentence tells an actor of a duty, gives advice, or begins with a step, be it an item of a list."""
+    line = token_line(sentence)
+    words = F.split(F.trim(line), " ")
+    item = F.when(F.get(words, 0).isin("-", "*"), F.slice(words, 2, 1 << 30)).otherwise(words)
+    numbered = F.regexp_replace(F.get(item, 0), "[0-9]", "") == ""
+    first = F.when(numbered & F.get(item, 1).isin(".", ")"), F.get(item, 2)).otherwise(F.get(item, 0))
+    return holds(line, [f"{a} {d}" for a in ACTORS for d in DUTIES]) | holds(line, ADVICE) | F.coalesce(first.isin(*STEPS), F.lit(False))
+
+
 def instructs(sentence: Column, device: Column) -> Column:
     """Whether a sentence that names the device by its long or short id tells someone to act, or what the device should do."""
     name = bounded(F.concat_ws("|", literal(device), literal(F.substring_index(device, "-", -1))))
-    duty = F.concat(F.lit("(?i)"), name, F.lit(rf"\s+{_any(TARGET_DUTIES)}\b"))
-    return F.rlike(sentence, name) & (sentence.rlike(INSTRUCTION) | F.rlike(sentence, duty))
+    marked = token_line(F.regexp_replace(F.translate(sentence, DEVICE_MARK, " "), F.concat(F.lit("(?i)"), name), F.lit(f" {DEVICE_MARK} ")))
+    return F.rlike(sentence, name) & (_told_to_act(sentence) | holds(marked, [f"{DEVICE_MARK} {d}" for d in TARGET_DUTIES]))
 
 
 def overclaims(sentence: Column) -> Column:
     """Whether a sentence that is not told as history takes a failed measurement for an established cause."""
-    return ~sentence.rlike(rf"(?i)\b{_any(HISTORY)}\b") & sentence.rlike(OVERCLAIM)
+    line = token_line(sentence)
+    leads = [f"{s}{how} {a}" for s in SUBJECTS for how in ("", " clearly") for a in ASSERTIONS]
+    tails = [f"{article}{x}" for article in ("", "a ", "an ", "the ") for f in FINDINGS for x in (f, f.replace(" related", " - related").replace(" associated", " - associated"))]
+    return ~holds(line, HISTORY) & leads_to(line, leads, dict.fromkeys(tails))
 
 
 def reply_violations(replies: DataFrame, key: str, text: str, known: Column, devices: Column) -> DataFrame:

@@ -1,16 +1,24 @@
 """Retrieval of comparable cases: scope, distance, keyword overlap, rank fusion, refusal.
 
 The scope is an equi-join, so candidates are shuffled to the queries of their scope and no other; filters stand before
-the distance is computed. Ranks are windows over a query's candidates.
+the distance is computed. Scopes of any size are searched by blocks about a centre: what the triangle inequality rules out
+is not measured, and neither a scope nor a query's candidates must fit a task.
 """
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from provena.functions.text import overlap
 from provena.functions.vectors import squared_l2
+from provena.sources.stored import stored
+
+BLOCK_ROWS = 4096  # candidates of a block on average, and of a scope that is searched whole, at most
+CENTRES = 64  # cells of a scope; a large cell is many blocks about one centre
+SLACK = 1e-9  # share of a distance by which rounding might move a bound
 
 
 def scoped_pairs(queries: DataFrame, history: DataFrame, scope: list[str], key: str = "id") -> DataFrame:
@@ -43,6 +51,87 @@ def nearest_in_blocks(queries: DataFrame, candidates: DataFrame, k: int, scope:
     return part.withColumn("vector_rank", best(["q_id"])).filter(F.col("vector_rank") <= k)
 
 
+class Blocks(NamedTuple):
+    """rows: scope, h_id, h_vector, cell and part of each candidate. blocks: scope, cell, part with centre and radius."""
+
+    rows: DataFrame
+    blocks: DataFrame
+
+
+def block_candidates(candidates: DataFrame, scope: list[str], block_rows: int = BLOCK_ROWS, centres: int = CENTRES) -> Blocks:
+    """Deal candidates (id, vector, scope) to the nearest of a few centres of their scope, and each cell to blocks of bounded size.
+
+    Centres are candidates picked by hash, some n / block_rows of a scope and at most 64; they shape the blocks, never the
+    result. Counts and centres are aggregates, so that no scope is gathered. Candidates without a vector take no part.
+    """
+    c = candidates.select(*scope, F.col("id").alias("h_id"), F.col("vector").alias("h_vector")).filter("h_vector is not null")
+    order = F.pmod(F.xxhash64(F.lit(17), "h_id"), F.lit(1 << 30))
+    sizes = stored(c.groupBy(*scope).agg(F.count("*").alias("n")), "scope-sizes")
+    by_size = lambda df: df.join(sizes, scope) if scope else df.crossJoin(sizes)  # noqa: E731  one row without a scope
+    chance = F.least(F.lit(centres), F.ceil(F.col("n") / block_rows)) / F.col("n") * (1 << 30)
+    picked = F.slice(F.array_sort(F.collect_list(F.when(order <= chance, F.struct(order.alias("o"), F.col("h_vector").alias("v"))))), 1, centres)
+    some = by_size(c).groupBy(*scope).agg(F.array(F.min_by("h_vector", order)).alias("first"), picked.alias("picked"))
+    some = some.select(*scope, F.array_distinct(F.concat("first", F.transform("picked", lambda x: x["v"]))).alias("centres"))
+    some = stored(some, "scope-centres")
+    met = c.join(some, scope) if scope else c.crossJoin(some)  # one row without a scope
+    near = F.array_min(F.transform("centres", lambda v, i: F.struct(squared_l2(v, F.col("h_vector")).alias("d"), i.alias("i"))))
+    rows = met.select(*c.columns, near.alias("near")).select(*c.columns, F.col("near.i").alias("cell"), F.sqrt("near.d").alias("apart"))
+    rows = stored(rows, "scope-cells")
+    parts = rows.groupBy(*scope, "cell").agg(F.ceil(F.count("*") / block_rows).cast("int").alias("parts"))
+    rows = rows.join(parts, [*scope, "cell"]).withColumn("part", F.pmod(F.xxhash64("h_id"), F.col("parts")).cast("int")).drop("parts")
+    rows = stored(rows, "scope-blocks")
+    blocks = rows.groupBy(*scope, "cell", "part").agg(F.max("apart").alias("radius"))
+    blocks = blocks.join(some, scope) if scope else blocks.crossJoin(some)
+    return Blocks(rows.drop("apart"), stored(blocks.withColumn("centre", F.get("centres", F.col("cell"))).drop("centres"), "scope-bounds"))
+
+
+class Search(NamedTuple):
+    """best: (q_id, h_id, distance, vector_rank). probes: each query's blocks with the least distance that they allow, and whether they were visited."""
+
+    best: DataFrame
+    probes: DataFrame
+
+
+def search_blocks(queries: DataFrame, held: Blocks, k: int, scope: list[str]) -> Search:
+    """The k nearest candidates of each query (id, vector, scope): first its nearest block, then all that may hold a nearer one than the k-th there.
+
+    Only a block's k best go on to the merge.
+    """
+    block = [*scope, "cell", "part"]
+    q = queries.select(*scope, F.col("id").alias("q_id"), F.col("vector").alias("q_vector")).filter("q_vector is not null")
+    probes = q.join(held.blocks, scope) if scope else q.join(held.blocks, F.lit(True))  # a stated set of queries against blocks
+    apart = F.sqrt(squared_l2(F.col("q_vector"), F.col("centre")))
+    probes = probes.withColumn("apart", apart).withColumn("least", F.greatest(F.lit(0.0), (F.col("apart") - F.col("radius")) - SLACK * (F.col("apart") + F.col("radius"))))
+    probes = stored(probes.select(*block, "q_id", "q_vector", "least", "apart", F.row_number().over(Window.partitionBy("q_id").orderBy("least", "apart", "cell", "part")).alias("turn")), "scope-probes")
+
+    def best_of(some: DataFrame) -> DataFrame:
+        pairs = some.select(*block, "q_id", "q_vector").join(held.rows, block).filter("q_id <> h_id")
+        order = F.row_number().over(Window.partitionBy("q_id", *block).orderBy("distance", "h_id"))
+        return pairs.select("q_id", "h_id", *block, squared_l2(F.col("q_vector"), F.col("h_vector")).alias("distance")).withColumn("r", order).filter(F.col("r") <= k).select("q_id", "h_id", "distance")
+
+    first = stored(best_of(probes.filter("turn = 1")), "scope-first")
+    bars = first.groupBy("q_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bar"))
+    judged = probes.join(bars, "q_id", "left").withColumn("visited", (F.col("turn") == 1) | F.col("bar").isNull() | (F.col("least") <= F.sqrt("bar") * (1 + SLACK)))
+    found = first.unionByName(best_of(judged.filter("turn > 1 and visited")))
+    ranked = found.withColumn("vector_rank", F.row_number().over(Window.partitionBy("q_id").orderBy("distance", "h_id"))).filter(F.col("vector_rank") <= k)
+    return Search(ranked, judged.select(*block, "q_id", "least", "visited"))
+
+
+def nearest_scoped(queries: DataFrame, candidates: DataFrame, k: int, scope: list[str], block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """nearest over scoped_pairs for scopes of any size; ids must be unique.
+
+    While every scope has at most block_rows candidates, a scope is a block and its queries meet all of it; beyond that,
+    blocks and their bounds are used. The rows are the same.
+    """
+    largest = candidates.groupBy(*scope).agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    if largest <= block_rows:
+        return nearest(scoped_pairs(queries, candidates, scope), k)
+    best = search_blocks(queries, block_candidates(candidates, scope, block_rows), k, scope).best
+    q = queries.select(*scope, *(F.col(c).alias(f"q_{c}") for c in queries.columns if c not in scope))
+    h = candidates.select(*(F.col(c).alias(f"h_{c}") for c in candidates.columns if c not in scope))
+    return best.join(q, "q_id").join(h, "h_id").select(*q.columns, *h.columns, "distance", "vector_rank")
+
+
 def fusion_score(vector_rank: Column, keyword_rank: Column) -> Column:
     """Weighted reciprocal ranks; the keyword rank weighs twice."""
     return F.lit(1.0) / (F.lit(60.0) + vector_rank) + F.lit(2.0) / (F.lit(60.0) + keyword_rank)

@@ -19,7 +19,8 @@ from provena.functions.text import adapt_procedure, cause_direction, read_direct
 from provena.operators.audit import attempts_of
 from provena.operators.cases import alias_catalog, applicable, catalog, check_selection, decide, foreign_pin_mentions, resolve_aliases, select_by_rule, verify_items, without_foreign_pins
 from provena.operators.constraints import enforce
-from provena.operators.retrieval import fuse, nearest, scoped_pairs
+from provena.operators.retrieval import fuse, nearest_scoped
+from provena.sources.stored import stored
 
 Selector = Callable[[DataFrame], DataFrame]  # catalog rows by query_id, with the prompt -> (query_id, selection_text)
 
@@ -49,7 +50,7 @@ def retrieve(incidents: DataFrame, cases: DataFrame, k: int = 2, keyword: bool =
     enforce(incidents.join(cases, "dut_id", "left_semi").select(F.lit("J03").alias("rule_id"), F.col("query_id").alias("entity_key"), F.lit("query device is in the history").alias("message")))
     q = incidents.select(F.col("query_id").alias("id"), "product", F.col("test_number").alias("failed_test"), "vector", "pins", "observation", tokens(F.concat_ws(" ", "observation", "question")).alias("tokens"))
     h = cases.select(F.col("case_id").alias("id"), "product", "failed_test", "dut_id", "vector", "pins", "cause_text", "possible_causes", "checks", tokens(F.col("text")).alias("tokens"))
-    found = fuse(nearest(scoped_pairs(q, h, ["product", "failed_test"]), k=k), mode="hybrid" if keyword else "vector")
+    found = fuse(nearest_scoped(q, h, k, ["product", "failed_test"]), mode="hybrid" if keyword else "vector")
     read = read_direction(F.col("q_observation"))
     side = applicable(F.col("failed_test"), read["direction"], cause_direction(F.col("h_cause_text")))
     return found.select(
@@ -136,7 +137,7 @@ def investigate(incidents: DataFrame, cases: DataFrame, selectors: list[Selector
     if variant not in ("full", "no_keyword", "no_verifier", "no_refusal") or max_causes not in (2, 3):
         raise ValueError("unknown variant or number of causes")
     verifier, forced = variant != "no_verifier", variant == "no_refusal"
-    matches = retrieve(incidents, cases, keyword=variant != "no_keyword")
+    matches = stored(retrieve(incidents, cases, keyword=variant != "no_keyword"), "matches")
     options = offer(matches.filter("current_error is null"), verifier, only_applicable=verifier and not forced)
     checked: list[DataFrame] = []
     for i, selector in enumerate((selectors or [lambda o: select_by_rule(o, ["query_id"], max_causes)])[:2]):

@@ -5,7 +5,7 @@ from __future__ import annotations
 import json
 
 import pytest
-from provena.functions import text, vectors
+from provena.functions import forms, phrases, text, vectors
 from provena.functions.hashing import content_id, hash_number, unit_interval
 from provena.operators import cases, chat, scoring, suite
 from provena.operators.constraints import ContractError, duplicates, enforce, unmatched, violations
@@ -59,16 +59,23 @@ def test_tokens_hints_pins_references_sentences(spark):
     assert one(spark, text.squeeze(F.lit("  a \n b "))) == "a b" and "<|" not in one(spark, text.escape_markers(F.lit("<|user|>")))
 
 
-@pytest.mark.parametrize(("observation", "want", "error"), [
-    ("210 IDD_Static         curr         35.00 ma <    65.58 ma (F) <  55.00 ma", "high", None), ("210 IDD_Static curr 35.00 ma <    30.00 ma (F) <  55.00 ma", "low", None),
-    ("210 IDD_Static curr 55.00 ma < 60.00 ma (F) < 35.00 ma", None, "limits"), ("Measured static current: 62.10 mA. Limits: 35.00\u201355.00 mA", "high", None),
-    ("Measured static current: 30.83 mA\nAllowed range: 35.00\u201355.00 mA", "low", None), ("measured current: 55 mA; limits: 35-55 mA", None, None), ("measured current: 35.00 mA; limit: 35-55 mA", None, None),
-    ("measured current: 60 mA, limits: 35 - 55 mA, below the lower limit", None, "conflict"), ("measured current: 50 mA, limits: 35 - 55 mA, below the lower limit", None, None), ("measured current: 60 mA, limits: 55-35 mA", None, "limits"),
+DIRECTIONS = [
+    ("210 IDD_Static         curr         12.50 ma <    41.07 ma (F) <  20.00 ma", "high", None), ("x (210 IDD_Static curr 12.50 mA < 3.25 mA (F) < 20.00 mA) y", "low", None),
+    ("210 IDD_Static curr 20.00 ma < 25.00 ma (F) < 12.50 ma", None, "limits"), ("210 IDD_Static curr 12.50 ma < 14.00 ma < 20.00 ma", None, None), ("1210 IDD_Static 1 ma < 9 ma (F) < 2 ma", None, None),
+    ("606 Scan\n210 IDD_Static a 1.5 ma < 2 ma\n210 IDD_Static b 1.5 ma < 9 ma (F) < 2.5 ma", "high", None),
+    ("Measured static current: 27.30 mA. Limits: 12.00–20.00 mA", "high", None), ("Measured static current: 4.81 mA\nAllowed range: 12.00–20.00 mA", "low", None),
+    ("measured current: 20 mA; limits: 12-20 mA", None, None), ("measured current: 12.00 mA; limit: 12-20 mA", None, None), ("measured current about 27 mA; limits: 12-20 mA", None, None),
+    ("measured current: none; measured current: 27 mA; limits: wide, limits : 12 - 20 mA", "high", None), ("measured current: 1e3 mA; limits: 12-20 mA", None, None),
+    ("measured current: 24 mA, limits: 12 - 20 mA, below the lower limit", None, "conflict"), ("measured current: 15 mA, limits: 12 - 20 mA, below the lower limit", None, None), ("measured current: 24 mA, limits: 20-12 mA", None, "limits"),
     ("Current exceeds the upper limit.", "high", None), ("The maximum was exceeded", "high", None), ("reading under the minimum", "low", None), ("It is low.", None, None), ("above the limit and below the limit", None, None), ("nothing", None, None), (None, None, None),
-])
-def test_directions(spark, observation, want, error):
-    got = one(spark, text.read_direction(F.lit(observation).cast("string")))
-    assert (got["direction"], got["error"]) == (want, error)
+    ("above" + "." * 35 + "limit", "high", None), ("above" + "." * 36 + "limit", None, None), ("above\nlimit", None, None), ("aboveboard limit, overlimit", None, None), ("over, over, far beyond what was its limit", "high", None), ("high, failing; low, failures", None, None), ("low, failures", "low", None),
+]
+
+
+def test_directions(spark):
+    rows = spark.createDataFrame([(i, o) for i, (o, _, _) in enumerate(DIRECTIONS)], "i int, o string")
+    got = {r["i"]: (r["d"]["direction"], r["d"]["error"]) for r in rows.select("i", text.read_direction(F.col("o")).alias("d")).collect()}
+    assert {DIRECTIONS[i][0]: v for i, v in got.items()} == {o: (d, e) for o, d, e in DIRECTIONS}
 
 
 def test_cause_directions_and_applicability(spark):
@@ -246,3 +253,30 @@ def test_suites_resume_compare_and_report(spark):
     many = spark.range(1500).select(F.format_string("m%04d", "id").alias("metric"), F.col("id").cast("double").alias("a"), F.lit(1.0).alias("b"))
     assert suite.as_markdown(many, "metric").count("\n") == 1502 and suite.bar_chart_svg(many, "metric", "a").count("<rect") == 1500
     assert suite.scatter_svg(table, "metric", "a", "b").count("<circle") == 1
+
+
+def test_tokens_and_phrases(spark):
+    line = phrases.token_line(F.lit("Then: you\n SHOULD hold-off (now)!"))
+    assert one(spark, line) == " then : you should hold - off ( now ) ! "
+    assert one(spark, phrases.holds(line, ["we must", "you should"])) and not one(spark, phrases.holds(line, ["then you", "hold off"]))
+    assert one(spark, phrases.leads_to(line, ["should hold"], ["- of"])) and not one(spark, phrases.leads_to(line, ["should hold"], ["off"]))
+    assert [one(spark, phrases.plain_number(F.lit(x))) for x in (" 12.50 ", "7", "1e3", ".5", "5.", "-1", "", "1.2.3", "NaN")] == [12.5, 7.0] + [None] * 7
+    assert one(spark, phrases.labelled(F.lit("Limit: 1; limits :2, limits 3"), ("limits", "limit"))) == [" 1; ", "2, "]
+
+
+def test_sentences_that_tell_to_act_or_claim(spark):
+    d = F.lit("P-L01-D005")
+    acts = ["You should retest D005.", "- 2) Hold P-L01-D005 now", "3. inspect d005 and D005", "The next step is D005", "D005 needs to rest", "the engineer need to see P-L01-D005"]
+    idle = ["You should retest it.", "D0051: you should hold", "D005 was held; they checked", "Holding D005 helped", "D005 may be one", "Recommended for D005"]
+    assert [one(spark, chat.instructs(F.lit(s), d)) for s in acts + idle] == [True] * len(acts) + [False] * len(idle)
+    claims = ["This clearly confirms a DUT-related fault", "the measured current  indicates leakages", "So the result proves the internal short.", "This establishes device related harm"]
+    fair = ["This may indicate leakage", "In a historical run this confirms leakage", "this does not prove leakage", "This confirms the plan", "A simulated case: the failure proves leakage", "this, confirms leakage"]
+    assert [one(spark, chat.overclaims(F.lit(s))) for s in claims + fair] == [True] * len(claims) + [False] * len(fair)
+
+
+def test_failed_tests_of_a_log(spark):
+    logs = {
+        "100 Continuity pass; 210 IDD_Static FAIL": [210], "Scan (606) FAILED\n100 Open/Short- ok": [606], "210 IDD_Static ok 606 Scan failed": [606], "210 IDD_Static; FAIL": [], "210 IDD_Static\nFAIL": [],
+        "606 Scan chain Scan (F)": [606], "606 Scan Failing Pins: 3\n606 Scan Failing Pins: 0": [606], "1606x Scan FAIL": [], "606 scan failure": [], "99 Scan fail, 100 Continuity fail": [99, 100], "606 Scan (210) fail": [606], "Scan FAIL": [], "": [],
+    }
+    assert {t: one(spark, forms.failed_tests(F.lit(t))) for t in logs} == logs
