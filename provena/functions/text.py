@@ -112,18 +112,19 @@ def _tester_line(text: Column) -> Column:
     number, name = TESTER_LINE
 
     def told(line: Column) -> Column:
-        at = F.filter(F.sequence(F.lit(0), F.size(line) - 1), lambda i: (F.get(line, i) == number) & (F.trim(F.get(line, i + 1)) == "") & (F.get(line, i + 2) == name))
-        return F.when(F.size(at) > 0, F.array_join(F.slice(line, F.get(at, 0) + 4, 1 << 30), ""))
+        names = lambda i: (F.get(line, i) == number) & (F.get(line, i + 2) == name) & (F.trim(F.get(line, i + 1)) == "")
+        return F.array_join(F.slice(line, F.get(F.filter(F.sequence(F.lit(0), F.size(line) - 1), names), 0) + 4, 1 << 30), "")
 
-    def ordered(rest: Column) -> Column:
-        cut = F.transform(F.split(rest, "<"), lambda p: F.trim(p))
+    def ordered(cut: Column) -> Column:
         lower = lambda p: F.when(F.endswith(p, F.lit(UNIT)), F.regexp_extract(p, rf"([0-9]+(?:\.[0-9]+)?)\s*{UNIT}$", 1).try_cast("double"))
         value = lambda p: F.when(F.endswith(p, F.lit(FAIL_MARK)), plain_number(before_unit(p, UNIT)))
         three = lambda i: F.array(lower(F.get(cut, i)), value(F.get(cut, i + 1)), plain_number(before_unit(F.get(cut, i + 2), UNIT)))
         return first_of(F.filter(F.transform(F.sequence(F.lit(0), F.size(cut)), three), lambda t: ~F.exists(t, F.isnull)))
 
-    lines = F.transform(F.split(F.lower(text), "\n"), lambda x: told(pieces(x)))
-    return first_of(F.transform(F.filter(lines, lambda x: x.isNotNull()), ordered))
+    lines = F.filter(F.split(F.lower(text), "\n"), lambda x: F.contains(x, F.lit(name)) & F.contains(x, F.lit(FAIL_MARK)))
+    rests = F.transform(F.transform(lines, pieces), told)
+    cuts = F.transform(F.filter(rests, lambda x: x.isNotNull()), lambda x: F.transform(F.split(x, "<"), lambda p: F.trim(p)))
+    return first_of(F.transform(cuts, ordered))
 
 
 def read_direction(observation: Column) -> Column:

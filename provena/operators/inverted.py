@@ -34,16 +34,17 @@ class Index(NamedTuple):
 def build_index(docs: DataFrame, doc: str, words: Column, block_docs: int = BLOCK_DOCS) -> Index:
     """Write the index of documents by their words, an array that may repeat; ids must be unique.
 
-    Lengths are quarters of a doubling apart between kinds of blocks, and a kind has as many blocks as its documents need.
+    Documents are split into words once. Lengths are quarters of a doubling apart between kinds of blocks, and a kind has as
+    many blocks as its documents need; a block's documents are dealt to one task, so that no single word is moved.
     """
     held = docs.select(F.col(doc).alias("doc"), words.alias("words")).withColumn("length", F.size("words"))
-    kind = F.floor(F.log2(F.col("length") + 1.0) * 4).cast("int")
-    kinds = held.groupBy(kind.alias("kind")).agg(F.ceil(F.count("*") / block_docs).cast("int").alias("parts"))  # a few dozen rows
-    lengths = held.groupBy().agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
-    placed = held.withColumn("kind", kind).join(F.broadcast(kinds), "kind")
-    block = F.struct("kind", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int").alias("part")).alias("block")
-    counts = placed.select("doc", "length", block, F.explode("words").alias("word")).groupBy("word", "block", "doc", "length").agg(F.count("*").cast("int").alias("tf"))
-    rows = counts.groupBy("word", "block").agg(F.collect_list(F.struct("doc", "tf", "length")).alias("docs"), F.max("tf").alias("most"), F.min("length").alias("least"))
+    held = stored(held.withColumn("kind", F.floor(F.log2(F.col("length") + 1.0) * 4)), "indexed-documents")
+    kinds = held.groupBy("kind").agg(F.ceil(F.count("*") / block_docs).alias("parts"))  # a few dozen rows
+    lengths = held.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    block = F.shiftleft("kind", 40) + F.pmod(F.xxhash64("doc"), F.col("parts"))
+    placed = held.join(F.broadcast(kinds), "kind").select(block.alias("block"), "doc", "length", "words").repartition("block")
+    counts = placed.select("block", "doc", "length", F.explode("words").alias("word")).groupBy("block", "word", "doc", "length").agg(F.count("*").cast("int").alias("tf"))
+    rows = counts.groupBy("block", "word").agg(F.collect_list(F.struct("doc", "tf", "length")).alias("docs"), F.max("tf").alias("most"), F.min("length").alias("least"))
     postings = stored(rows, "postings")
     return Index(postings, stored(postings.groupBy("word").agg(F.sum(F.size("docs")).alias("df")), "posting-words"), stored(lengths, "posting-lengths"))
 
