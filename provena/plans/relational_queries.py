@@ -11,6 +11,7 @@ from provena.operators.cases import alias_catalog, anti_leak, resolve_aliases, s
 from provena.operators.chat import first_fit, last_turns
 from provena.operators.constraints import duplicates, union_all, unmatched, violations
 from provena.operators.lines import excerpt_hash, number_lines, segment
+from provena.operators.ordered import place, previous, row_numbers, running_sum, value_counts
 from provena.operators.sampling import adjacent_triples, first_k_by_hash, hash_quota, running_clock, slots
 from provena.operators.suite import remaining
 from provena.sources.tables import table
@@ -105,7 +106,8 @@ SELECT event_id, d AS direction, h AS cause_direction, d IS NOT NULL AND h IS NO
 def direction_case_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Side of a value outside its type's limits, the side a cause speaks for, and whether they agree."""
     e = table(spark, sf_dir, "events")
-    lim = e.groupBy("event_type").agg(F.expr("percentile_disc(0.25) within group (order by value)").alias("lo"), F.expr("percentile_disc(0.75) within group (order by value)").alias("hi"))
+    c = value_counts(e, ["event_type"], "value")
+    lim = c.rows.groupBy("event_type").agg(c.nearest_rank(0.25).alias("lo"), c.nearest_rank(0.75).alias("hi"))
     cause = F.when(F.col("event_type") == "error", "excessive static current").when(F.col("event_type") == "signup", "a low supply")
     out = e.join(lim, "event_type").select("event_id", F.when(F.col("value") <= F.col("lo"), "low").when(F.col("value") >= F.col("hi"), "high").alias("direction"), cause_direction(cause).alias("cause_direction"))
     return out.withColumn("applicable", F.coalesce(F.col("direction") == F.col("cause_direction"), F.lit(False)))
@@ -127,9 +129,9 @@ SELECT user_id, count(*) AS executed, max((event_type = 'error')::INTEGER)::INTE
 """)
 def stop_at_first_failure(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of a user up to and with its first error."""
-    e, w = table(spark, sf_dir, "events"), Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, -1)
-    seen = F.coalesce(F.sum((F.col("event_type") == "error").cast("int")).over(w), F.lit(0))
-    return e.withColumn("seen", seen).filter("seen = 0").groupBy("user_id").agg(F.count("*").alias("executed"), F.max((F.col("event_type") == "error").cast("int")).alias("failed"))
+    e = place(table(spark, sf_dir, "events").select("user_id", "ts", "event_id", (F.col("event_type") == "error").cast("int").alias("failed")), ["user_id"], ["ts", "event_id"])
+    seen = running_sum(e, F.col("failed"), "seen", own=False).filter("seen = 0")
+    return seen.groupBy("user_id").agg(F.count("*").alias("executed"), F.max("failed").alias("failed"))
 
 
 @query("""
@@ -251,9 +253,8 @@ SELECT event_id, user_id FROM (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDE
 """)
 def chronology_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events earlier than their user's event of the id before, with every seventh set back by thirty days."""
-    w = Window.partitionBy("user_id").orderBy("event_id")
-    e = table(spark, sf_dir, "events").withColumn("ts", F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 30 days")).otherwise(F.col("ts")))
-    return e.withColumn("p", F.lag("ts").over(w)).filter("ts < p").select("event_id", "user_id")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_id") % 7 == 0, F.col("ts") - F.expr("interval 30 days")).otherwise(F.col("ts")).alias("ts"))
+    return previous(place(e, ["user_id"], ["event_id"]), before="ts").filter("ts < before").select("event_id", "user_id")
 
 
 @query("""
@@ -262,7 +263,7 @@ SELECT o_orderkey, i::INTEGER AS idx, TIMESTAMP '2026-01-01 08:00:00' + to_secon
 """)
 def running_clock_of_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Start of each unit in a sequence without gaps, in closed form."""
-    o = table(spark, sf_dir, "orders").withColumn("idx", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderkey")) - 1)
+    o = row_numbers(place(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey"), ["o_custkey"], ["o_orderkey"]), "n").withColumn("idx", (F.col("n") - 1).cast("int"))
     return o.select("o_orderkey", "idx", running_clock(F.lit("2026-01-01 08:00:00").cast("timestamp_ntz"), F.col("idx"), 10, 112, 3, 60).alias("started"))
 
 

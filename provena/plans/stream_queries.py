@@ -1,33 +1,22 @@
-"""Queries over the events table read as a stream, and over a generated dataset."""
+"""Queries over tables read as streams, over files of lines, and over a generated dataset."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from provena.operators import wafer_gen, wafer_parse
 from provena.operators.constraints import enforce, union_all
 from provena.operators.lines import number_lines
+from provena.sources.files import json_line_violations, split_lines
+from provena.sources.stored import new_path
 from provena.sources.tables import table
 from provena.streaming.power import attribute, windowed, write_once
 
 
-def _folder(spark: SparkSession) -> str:
-    """A new folder that all executors share; a temporary one only where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="provena-")
-    return f"{root.rstrip('/')}/provena/{uuid.uuid4().hex}"
-
-
 def stream_power_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly mean and peak of each event type, by a streaming aggregation over all available files."""
-    schema, at = table(spark, sf_dir, "events").schema, _folder(spark)
+    schema, at = table(spark, sf_dir, "events").schema, new_path(spark, "stream")
     samples = spark.readStream.schema(schema).parquet(f"{sf_dir}/event[s].parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     write_once(windowed(samples, "event_type", "value"), f"{at}/out", f"{at}/checkpoint", mode="complete")
     out = spark.read.parquet(f"{at}/out")
@@ -62,7 +51,7 @@ def wafer_log_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_power_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Samples of a stream attributed to the cases whose span holds them: eight to twelve o'clock of each day and type."""
-    events, at = table(spark, sf_dir, "events"), _folder(spark)
+    events, at = table(spark, sf_dir, "events"), new_path(spark, "stream")
     samples = spark.readStream.schema(events.schema).parquet(f"{sf_dir}/event[s].parquet").select(F.col("ts").cast("timestamp").alias("ts"), "event_type", F.col("value").alias("watts"))
     days = events.select(F.date_trunc("day", F.col("ts").cast("timestamp")).alias("d")).distinct()
     hours = lambda n: F.make_dt_interval(F.lit(0), F.lit(n))
@@ -77,5 +66,34 @@ SELECT strftime(ts, '%Y-%m-%d') AS case_id, event_type, count(*) AS n, round(avg
 """
 
 
-QUERIES = {"stream_power_windows": stream_power_windows, "stream_power_cases": stream_power_cases, "wafer_log_report": wafer_log_report}
-ORACLE_SQL = {"stream_power_windows": STREAM_SQL, "stream_power_cases": CASES_SQL}
+JSONL_SQL = """
+WITH l AS (
+  SELECT doc_id, 0 AS k, NULL AS rule_id FROM documents
+  UNION ALL SELECT doc_id, 1, 'S03-blank' FROM documents WHERE doc_id % 7 = 0
+  UNION ALL SELECT doc_id, 2, 'S03-keys' FROM documents WHERE doc_id % 11 = 0
+  UNION ALL SELECT doc_id, 3, 'S03-json' FROM documents WHERE doc_id % 13 = 0
+), n AS (SELECT *, row_number() OVER (ORDER BY doc_id, k) AS line_no FROM l)
+SELECT line_no, doc_id, n_chars, lang, CASE WHEN rule_id IS NULL THEN md5(text) END AS text_md5, rule_id
+FROM (SELECT line_no, rule_id, CASE WHEN k = 0 THEN doc_id END AS doc_id FROM n) LEFT JOIN documents USING (doc_id)
+"""
+
+
+def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents written as JSON lines among blank ones, repeated keys and broken ones, read back with their numbers over all files and what is wrong with them."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    key = F.col("doc_id").cast("string")
+    whole = F.to_json(F.struct("doc_id", "n_chars", "lang", "text"))
+    twice, broken = F.concat(F.lit('{"a":{"doc_id":'), key, F.lit(',"doc_id":'), key, F.lit("}}")), F.concat(F.lit('{"doc_id":'), key)
+    more = [F.when(F.col("doc_id") % n == 0, F.struct(F.lit(k).alias("k"), t.alias("value"))) for k, n, t in ((1, 7, F.lit(" ")), (2, 11, twice), (3, 13, broken))]
+    lines = d.select("doc_id", F.explode(F.array_compact(F.array(F.struct(F.lit(0).alias("k"), whole.alias("value")), *more))).alias("l")).select("doc_id", "l.k", "l.value")
+    path = new_path(spark, "jsonl")
+    lines.repartitionByRange("doc_id", "k").sortWithinPartitions("doc_id", "k").select("value").write.text(path)
+    found = split_lines(spark, path, folder=True)
+    bad = json_line_violations(spark, path, folder=True).select("line_no", "rule_id")
+    read = F.from_json("line", "doc_id long, n_chars long, lang string, text string")
+    rows = found.join(bad, "line_no", "left").select("line_no", "rule_id", F.when(F.col("rule_id").isNull(), read).alias("r"))
+    return rows.select("line_no", "r.doc_id", "r.n_chars", "r.lang", F.md5("r.text").alias("text_md5"), "rule_id")
+
+
+QUERIES = {"stream_power_windows": stream_power_windows, "stream_power_cases": stream_power_cases, "wafer_log_report": wafer_log_report, "jsonl_line_numbers": jsonl_line_numbers}
+ORACLE_SQL = {"stream_power_windows": STREAM_SQL, "stream_power_cases": CASES_SQL, "jsonl_line_numbers": JSONL_SQL}

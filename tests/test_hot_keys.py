@@ -7,7 +7,9 @@ import math
 import random
 
 import numpy as np
-from provena.operators import inverted, retrieval
+import pytest
+from provena.operators import inverted, ordered, retrieval
+from provena.sources import files
 from pyspark.sql import functions as F
 
 
@@ -78,3 +80,66 @@ def test_best_documents_of_a_word_that_all_hold(spark):
     assert index.postings.filter("word = 'all'").agg(F.max(F.size("docs"))).first()[0] <= 48  # no row holds the word's documents
     share = inverted.opened_share(found).first()
     assert share["opened"] < 0.8 * share["postings"]
+
+
+@pytest.fixture
+def uncoalesced(spark):
+    """Small tables stay in as many partitions as large ones would have."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_scans_of_one_key(spark, uncoalesced):
+    n, rng = 3000, random.Random(4)
+    rows = [("one" if i % 10 else None, i, rng.choice([0, 0, 0, 1, 5, None]), rng.choice(["a", "b", None])) for i in range(n)]
+    rng.shuffle(rows)
+    p = ordered.place(spark.createDataFrame(rows, "k string, at int, x int, s string").repartition(7), ["k"], ["at"])
+    parts = p.rows.groupBy(ordered.PART).count().collect()
+    assert len(parts) >= 3 and max(r["count"] for r in parts) < 0.6 * n  # the key is spread over tasks
+    want, sums, last, numbers = {}, collections.Counter(), {}, collections.Counter()
+    for k, at, x, s in sorted(rows, key=lambda r: (r[0] or "", r[1])):
+        numbers[k] += 1
+        want[k, at] = (sums[k], sums[k] + (x or 0), numbers[k], *last.get(k, (None, None)))
+        sums[k] += x or 0
+        last[k] = (x, s)
+    without = {(r["k"], r["at"]): r["t"] for r in ordered.running_sum(p, F.col("x"), "t", own=False).collect()}
+    with_own = {(r["k"], r["at"]): r["t"] for r in ordered.running_sum(p, F.col("x"), "t").collect()}
+    number = {(r["k"], r["at"]): r["t"] for r in ordered.row_numbers(p, "t").collect()}
+    before = {(r["k"], r["at"]): (r["px"], r["ps"]) for r in ordered.previous(p, px="x", ps="s").collect()}
+    assert {k: (without[k], with_own[k], number[k], *before[k]) for k in want} == want
+
+
+def test_exact_percentiles_of_one_group(spark, uncoalesced):
+    rng = random.Random(5)
+    values = {"hot": [rng.choice([1.0, 2.5, 2.5, 7.0, rng.random() * 9]) for _ in range(2001)], "one": [4.0], "two": [1.0, 2.0], "twenty": [float(i) for i in range(20)]}
+    rows = [(k, v) for k, vs in values.items() for v in vs] + [("hot", None), ("none", None)]
+    c = ordered.value_counts(spark.createDataFrame(rows, "k string, v double").repartition(5), ["k"], "v")
+    shares = (0.0, 0.25, 0.5, 0.95, 1.0)
+    got = c.rows.groupBy("k").agg(*(c.nearest_rank(s).alias(f"d{i}") for i, s in enumerate(shares)), *(c.interpolated(s).alias(f"c{i}") for i, s in enumerate(shares))).collect()
+    assert {r["k"] for r in got} == set(values)
+    for r in got:
+        vs = sorted(values[r["k"]])
+        assert [r[f"d{i}"] for i in range(5)] == [vs[max(0, math.ceil(round(s * len(vs), 9)) - 1)] for s in shares]
+        assert np.allclose([r[f"c{i}"] for i in range(5)], np.quantile(vs, shares))
+
+
+def test_line_numbers_over_splits_of_one_file(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {"a.txt": ["x" * rng.choice([0, 1, 7, 300]) + f"é{i}" for i in range(900)], "b.txt": ["", "", "end\r"], "c.txt": []}
+    for name, lines in texts.items():
+        (tmp_path / name).write_bytes("\n".join(lines).encode() + (b"\n" if name == "a.txt" else b""))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        read = files.split_lines(spark, str(tmp_path))
+        got = [(r["path"].rsplit("/", 1)[1], r["line_no"], r["line"]) for r in read.collect()]
+        whole = [(r["line_no"], r["line"]) for r in files.split_lines(spark, str(tmp_path), folder=True).collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    want = [(name, i + 1, line) for name, lines in texts.items() for i, line in enumerate(lines)]
+    assert sorted(got) == sorted(want)
+    assert sorted(whole) == [(i + 1, line) for i, (_, _, line) in enumerate(want)]
+    (tmp_path / "bad.txt").write_bytes(b"ok\n\xff\n")
+    with pytest.raises(Exception, match="(?i)utf"):
+        files.split_lines(spark, f"{tmp_path}/bad.txt").collect()
