@@ -66,20 +66,30 @@ def overclaims(sentence: Column) -> Column:
     return ~holds(line, HISTORY) & leads_to(line, leads, dict.fromkeys(tails))
 
 
-def reply_violations(replies: DataFrame, key: str, text: str, known: Column, devices: Column) -> DataFrame:
-    """Replies that are empty or structured, refer to unknown facts, aim an action at a historical device, or claim a cause.
-
-    known: the facts' aliases; devices: ids of the historical devices. A reply without references breaks no rule.
-    """
-    told, reply = sentences(F.col(text)), F.trim(F.col(text))
+def _reply_rules(text: Column, known: Column, devices: Column) -> dict[str, tuple[Column, str]]:
+    told, reply = sentences(text), F.trim(text)
     begins = [reply.startswith(x) for x in STRUCTURED]
-    return violations(replies, key, {
+    return {
         "empty": (reply != "", "is empty"),
         "prose": (~(begins[0] | begins[1] | begins[2]), "is structured"),
-        "references": (F.size(F.array_except(references(F.col(text)), known)) == 0, "refers to unknown facts"),
+        "references": (F.size(F.array_except(references(text), known)) == 0, "refers to unknown facts"),
         "device": (~F.exists(told, lambda s: F.exists(devices, lambda d: instructs(s, d))), "tells to act on a historical device"),
         "claims": (~F.exists(told, overclaims), "takes a failed measurement for a cause"),
-    })
+    }
+
+
+def reply_violations(replies: DataFrame, key: str, text: str, known: Column, devices: Column) -> DataFrame:
+    """Replies that are empty or structured, refer to unknown facts, aim an action at a historical device, or claim a cause.
+
+    known: the facts' aliases; devices: ids of the historical devices. A reply without references breaks no rule.
+    """
+    return violations(replies, key, _reply_rules(F.col(text), known, devices))
+
+
+def reply_error(text: Column, known: Column, devices: Column) -> Column:
+    """The first rule of reply_violations that a reply breaks, or null; a null reply is empty."""
+    rules = _reply_rules(F.coalesce(text, F.lit("")), known, devices)
+    return F.coalesce(*(F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, (ok, _) in rules.items()))
 
 
 def citation_status(text: Column) -> Column:

@@ -12,6 +12,8 @@ from provena.sources.files import json_line_violations, split_lines
 from provena.sources.stored import new_path
 from provena.sources.tables import table
 from provena.streaming.power import attribute, windowed, write_once
+from provena.streaming.turns import OUT as TURNS_OUT
+from provena.streaming.turns import judged, keeping_state, lifecycle
 
 
 def stream_power_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,5 +97,44 @@ def jsonl_line_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("line_no", "r.doc_id", "r.n_chars", "r.lang", F.md5("r.text").alias("text_md5"), "rule_id")
 
 
-QUERIES = {"stream_power_windows": stream_power_windows, "stream_power_cases": stream_power_cases, "wafer_log_report": wafer_log_report, "jsonl_line_numbers": jsonl_line_numbers}
-ORACLE_SQL = {"stream_power_windows": STREAM_SQL, "stream_power_cases": CASES_SQL, "jsonl_line_numbers": JSONL_SQL}
+
+TURNS_SQL = """
+WITH t AS (
+  SELECT md5((conv_id // 8)::VARCHAR) AS run_id, conv_id * 100 + turn AS turn_no, conv_id * 7 + turn AS n, trim(text) AS q FROM conversations WHERE role <> 'system'
+), r AS (
+  SELECT *, length(q) BETWEEN 1 AND 700 AS valid, CASE n % 5 WHEN 0 THEN 'prose' WHEN 1 THEN 'references' END AS e1, CASE WHEN n % 3 = 0 THEN 'empty' END AS e2 FROM t
+), o AS (
+  SELECT *, CASE WHEN valid THEN count(*) FILTER (valid) OVER (PARTITION BY run_id ORDER BY turn_no) END AS ordinal FROM r
+), a AS (
+  SELECT *, valid AND ordinal <= 10 AS admitted, valid AND ordinal <= 10 AND (e1 IS NULL OR e2 IS NULL) AS answered FROM o
+), h AS (
+  SELECT *, coalesce(list(turn_no) FILTER (answered) OVER (PARTITION BY run_id ORDER BY turn_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), []) AS before FROM a
+)
+SELECT run_id, turn_no, CASE WHEN admitted THEN ordinal::INTEGER END AS ordinal,
+       CASE WHEN NOT valid THEN 'invalid' WHEN NOT admitted THEN 'ended' WHEN answered THEN 'conversation' ELSE 'rejected' END AS scope,
+       CASE WHEN answered THEN md5(CASE WHEN e1 IS NULL THEN q || ' [E1]' ELSE 'See [E2] on it: ' || q END) END AS text_md5,
+       CASE WHEN NOT answered THEN '' WHEN e1 IS NULL THEN 'E1' ELSE 'E2' END AS items,
+       CASE WHEN NOT valid THEN 'question' WHEN NOT admitted THEN 'the conversation has its ten turns' WHEN NOT answered THEN 'empty' END AS error,
+       CASE WHEN NOT admitted THEN 0 WHEN e1 IS NULL THEN 1 ELSE 2 END AS generation_attempts,
+       CASE WHEN admitted THEN array_to_string(before[-2:], ',') ELSE '' END AS history
+FROM h
+"""
+
+
+def stream_turn_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of eight conversations at a time as questions to one run, with two replies each of which some break a rule."""
+    schema, at = table(spark, sf_dir, "conversations").schema, new_path(spark, "stream")
+    turns = spark.readStream.schema(schema).parquet(f"{sf_dir}/conversation[s].parquet").filter("role <> 'system'")
+    n, q = F.col("conv_id") * 7 + F.col("turn"), F.trim("text")
+    first = F.when(n % 5 == 0, F.concat(F.lit("{"), q)).when(n % 5 == 1, F.concat(q, F.lit(" [E1, E9]"))).otherwise(F.concat(q, F.lit(" [E1]")))
+    second = F.when(n % 3 == 0, " ").otherwise(F.concat(F.lit("See [E2] on it: "), q))
+    asked = turns.select(F.md5(F.floor(F.col("conv_id") / 8).cast("string").cast("binary")).alias("run_id"), (F.col("conv_id") * 100 + F.col("turn")).alias("turn_no"), F.col("text").alias("question"), F.array(first, second).alias("replies"))
+    with keeping_state(spark):
+        write_once(lifecycle(judged(asked, F.array(F.lit("E1"), F.lit("E2")), F.array(F.lit("Product_A-L01-W01-D100")))), f"{at}/out", f"{at}/checkpoint")
+    out = spark.read.schema(TURNS_OUT).parquet(f"{at}/out")
+    answer = F.when(F.col("scope") == "conversation", F.md5("text"))
+    return out.select("run_id", "turn_no", "ordinal", "scope", answer.alias("text_md5"), F.array_join("items", ",").alias("items"), "error", "generation_attempts", F.array_join(F.transform("history", lambda t: t.cast("string")), ",").alias("history"))
+
+
+QUERIES = {"stream_power_windows": stream_power_windows, "stream_power_cases": stream_power_cases, "wafer_log_report": wafer_log_report, "jsonl_line_numbers": jsonl_line_numbers, "stream_turn_lifecycle": stream_turn_lifecycle}
+ORACLE_SQL = {"stream_power_windows": STREAM_SQL, "stream_power_cases": CASES_SQL, "jsonl_line_numbers": JSONL_SQL, "stream_turn_lifecycle": TURNS_SQL}
