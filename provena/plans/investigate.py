@@ -9,17 +9,21 @@ eligible and what was verified stay as rows.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 from typing import NamedTuple
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from provena.functions.text import adapt_procedure, cause_direction, read_direction, tokens
 from provena.operators.audit import attempts_of
 from provena.operators.cases import alias_catalog, applicable, catalog, check_selection, decide, foreign_pin_mentions, resolve_aliases, select_by_rule, verify_items, without_foreign_pins
-from provena.operators.constraints import enforce
+from provena.operators.constraints import ContractError, enforce
 from provena.operators.retrieval import fuse, nearest_scoped
+from provena.sources.sinks import append_audit
 from provena.sources.stored import stored
 
 Selector = Callable[[DataFrame], DataFrame]  # catalog rows by query_id, with the prompt -> (query_id, selection_text)
@@ -37,12 +41,13 @@ LIMITATIONS = [
 
 
 class Outcome(NamedTuple):
-    """answers: one row an incident. attempts, eligibility, verification: the audit of how they came about."""
+    """answers: one row an incident. attempts, eligibility, verification, changed sources: the audit of how they came about."""
 
     answers: DataFrame
     attempts: DataFrame
     eligibility: DataFrame
     verification: DataFrame
+    changed: DataFrame
 
 
 def retrieve(incidents: DataFrame, cases: DataFrame, k: int = 2, keyword: bool = True) -> DataFrame:
@@ -128,27 +133,79 @@ def answer(incidents: DataFrame, matches: DataFrame, attempts: DataFrame, verifi
     )
 
 
-def investigate(incidents: DataFrame, cases: DataFrame, selectors: list[Selector] | None = None, variant: str = "full", max_causes: int = 2) -> Outcome:
+class Sources(NamedTuple):
+    """The files that cases cite, as (case_id, path, sha256), and how to hash them again: (path, sha256) as they are now."""
+
+    cited: DataFrame
+    read: Callable[[], DataFrame]
+
+
+def changed_sources(matches: DataFrame, sources: Sources, stage: str) -> DataFrame:
+    """(query_id, stage, path) of the retrieved cases' files that are gone or have another hash at this moment."""
+    used = matches.select("query_id", "case_id").join(sources.cited, "case_id")
+    now = sources.read().select("path", F.col("sha256").alias("now"))
+    gone = used.join(now, "path", "left").filter(~F.col("now").eqNullSafe(F.col("sha256")))
+    return stored(gone.select("query_id", F.lit(stage).alias("stage"), "path").distinct(), "changed-sources")
+
+
+def append_run(outcome: Outcome, path: str, run_id: str) -> None:
+    """Append the answers and the audit of how they came about under their run; a run is appended once."""
+    for name, rows in outcome._asdict().items():
+        held = f"{path}/{name}"
+        try:
+            there = not incidents_of_run(rows.sparkSession.read.parquet(held), run_id).isEmpty()
+        except AnalysisException:  # nothing has been written there yet
+            there = False
+        if there:
+            raise ContractError(f"run {run_id} is in {held} already")
+    for name, rows in outcome._asdict().items():
+        append_audit(rows.withColumn("run_id", F.lit(run_id)), f"{path}/{name}")
+
+
+def incidents_of_run(audit: DataFrame, run_id: str) -> DataFrame:
+    return audit.filter(F.col("run_id") == run_id)
+
+
+def investigate(
+    incidents: DataFrame, cases: DataFrame, selectors: list[Selector] | None = None, variant: str = "full", max_causes: int = 2,
+    sources: Sources | None = None, audit_path: str | None = None, run_id: str | None = None,
+) -> Outcome:
     """Answers or refusals for all incidents, under one of the variants full, no_keyword, no_verifier and no_refusal.
 
     selectors: one for each attempt, at most two; by default the rule that takes the first options, which needs one.
-    Evidence is retrieved once and kept, whatever becomes of an incident.
+    Evidence is retrieved once and kept, whatever becomes of an incident. sources: the cited files are hashed before the
+    first selection and after each; an incident whose evidence has changed by then is rejected and not tried again.
+    audit_path: answers, attempts, eligibility, verification and changed sources are appended there under run_id.
     """
     if variant not in ("full", "no_keyword", "no_verifier", "no_refusal") or max_causes not in (2, 3):
         raise ValueError("unknown variant or number of causes")
     verifier, forced = variant != "no_verifier", variant == "no_refusal"
     matches = stored(retrieve(incidents, cases, keyword=variant != "no_keyword"), "matches")
     options = offer(matches.filter("current_error is null"), verifier, only_applicable=verifier and not forced)
+    changes = [changed_sources(matches, sources, "retrieved")] if sources else []
     checked: list[DataFrame] = []
     for i, selector in enumerate((selectors or [lambda o: select_by_rule(o, ["query_id"], max_causes)])[:2]):
         left = options if not checked else options.join(checked[-1].filter("not accepted"), "query_id", "left_semi")
+        for gone in changes:  # what is wrong with evidence is not mended by another selection
+            left = left.join(gone, "query_id", "left_anti")
         asked = left.join(prompts(incidents, left, max_causes, forced, again=i > 0), "query_id") if selectors else left
         chosen = selector(asked).select("query_id", "selection_text")
-        checked.append(check_selection(chosen, "selection_text", max_causes, options=left, forced=forced))
+        checked.append(stored(check_selection(chosen, "selection_text", max_causes, options=left, forced=forced), "attempt"))
+        if sources:
+            changes.append(changed_sources(matches, sources, f"attempt {i + 1}"))
     attempts = attempts_of(checked)
+    changed = functools.reduce(DataFrame.unionByName, changes) if changes else matches.select("query_id", F.lit("").alias("stage"), F.lit("").alias("path")).limit(0)
+    if changes:
+        said = F.lit("a source has changed")
+        gone = changed.select("query_id").distinct().withColumn("_gone", said)
+        matches = matches.join(gone, "query_id", "left").withColumn("current_error", F.coalesce("current_error", "_gone")).drop("_gone")
     verified = verified_items(attempts, options, verifier)
     ids = lambda ok: F.array_sort(F.collect_list(F.when(ok, F.col("case_id"))))
     eligible = F.lit(True) if not verifier or forced else F.col("applicable")
     eligibility = matches.groupBy("query_id").agg(ids(F.lit(True)).alias("retrieved_cases"), ids(eligible).alias("eligible_cases"))
     verification = verified.select("query_id", "pos", "alias", "item_id", "kind", "kept", "reason", F.lit(verifier).alias("enforced"), F.lit(not forced).alias("refusal_enforced"))
-    return Outcome(answer(incidents, matches, attempts, verified, forced), attempts.select("query_id", "attempt", "selection_text", "accepted", "error"), eligibility, verification)
+    outcome = Outcome(answer(incidents, matches, attempts, verified, forced), attempts.select("query_id", "attempt", "selection_text", "accepted", "error"), eligibility, verification, changed)
+    if audit_path:
+        outcome = Outcome(*(stored(rows, "outcome") for rows in outcome))
+        append_run(outcome, audit_path, run_id or uuid.uuid4().hex)
+    return outcome
