@@ -17,6 +17,24 @@ def stage_pivot(records: DataFrame, keys: list[str], value: str) -> DataFrame:
     return records.groupBy(*keys).agg(*cells, (seen == len(STAGES)).alias("complete"))
 
 
+def stage_items(matches: DataFrame, records: DataFrame) -> DataFrame:
+    """Ranked matches (query_id, rank, case_id) with the four stage records of each (case_id, stage, record_id, and more), in the order of stages.
+
+    Adds position, from one over a query's items, and citation_id; records of other stages are no items.
+    """
+    order = F.array_position(F.array(*(F.lit(x) for x in STAGES)), F.col("stage"))
+    items = matches.join(records.filter(F.col("stage").isin(STAGES)), "case_id").withColumn("stage_no", order.cast("int"))
+    return items.withColumn("position", ((F.col("rank") - 1) * len(STAGES) + F.col("stage_no")).cast("int")).withColumnRenamed("record_id", "citation_id")
+
+
+def stage_item_violations(matches: DataFrame, items: DataFrame) -> DataFrame:
+    """Matches that lack one of the stages or have one twice."""
+    from provena.operators.constraints import violations
+
+    per = matches.select("query_id", "case_id").join(items.groupBy("query_id", "case_id").agg(F.count("*").alias("n"), F.count_distinct("stage").alias("kinds")), ["query_id", "case_id"], "left")
+    return violations(per, F.concat_ws("/", "query_id", "case_id"), {"J16-stages": ((F.col("n") == 4) & (F.col("kinds") == 4), "needs each of four stages once")})
+
+
 def link_violations(records: DataFrame) -> DataFrame:
     """Cases whose records disagree on device or observation, lack or repeat a stage, or are not synthetic and untested."""
     per = records.groupBy("case_id").agg(

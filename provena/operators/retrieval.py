@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from provena.functions.text import overlap
 from provena.functions.vectors import squared_l2
+from provena.operators.constraints import violations
 from provena.sources.stored import stored
 
 BLOCK_ROWS = 4096  # candidates of a block on average, and of a scope that is searched whole, at most
@@ -153,6 +154,26 @@ def answer_or_refuse(queries: DataFrame, matches: DataFrame, query: str = "q_id"
     return out.withColumn("status", F.when(F.col("rank").isNull(), "refuse").otherwise("unconfirmed"))
 
 
+def result_violations(results: DataFrame, eligible: DataFrame, k: int, query: str = "q_id", candidate: str = "h_id", rank: str = "rank", distance: str = "distance") -> DataFrame:
+    """Search results that cannot be: more than k, a candidate twice or not eligible (query, candidate), a distance that is not finite, negative or smaller than the one before, ranks with gaps.
+
+    One row for each query and rule. A query's results are few where the first rule holds; counts and orders are windows over it.
+    """
+    known = eligible.select(query, candidate).distinct().withColumn("_known", F.lit(True))
+    at = Window.partitionBy(query).orderBy(rank, distance, candidate)
+    x = F.col(distance)
+    rows = results.join(known, [query, candidate], "left").withColumn("_before", F.lag(distance).over(at)).withColumn("_at", F.row_number().over(at))
+    per = rows.groupBy(query).agg(
+        F.count("*").alias("n"), F.count_distinct(candidate).alias("different"), F.bool_and(F.coalesce("_known", F.lit(False))).alias("known"), F.bool_and(F.col(rank) == F.col("_at")).alias("ranks"),
+        F.bool_and(F.coalesce((x >= 0) & (x < float("inf")), F.lit(False))).alias("finite"), F.bool_and(F.coalesce(x >= F.col("_before"), F.lit(True))).alias("rising"),
+    )
+    rules = {
+        "C17-most": (F.col("n") <= k, f"more than {k} results"), "C17-distinct": (F.col("different") == F.col("n"), "a candidate stands twice"), "C17-eligible": (F.col("known"), "a candidate is not eligible"),
+        "C17-finite": (F.col("finite"), "a distance is not finite"), "C17-rising": (F.col("rising"), "distances fall"), "C17-ranks": (F.col("ranks"), "ranks have gaps"),
+    }
+    return violations(per, query, rules)
+
+
 def fresh(index: DataFrame, source: DataFrame, key: str, text: str) -> DataFrame:
     """Violations of an index that lacks a source row or holds another text for it."""
     i = index.select(key, F.col(text).alias("_held"), F.lit(True).alias("_there"))

@@ -237,6 +237,16 @@ def chunk_violations(chunks_: DataFrame, quotas: dict[str, int], most: int = 200
     return union_all([a, duplicates(chunks_, ["chunk_id"], "C13-unique"), violations(counts, "outcome", {"C13-quota": (F.col("n") == wanted, "another number of chunks")})])
 
 
+def chunk_summary(chunks_: DataFrame) -> DataFrame:
+    """One row for each outcome and failed test, and one for all (null outcome): chunks, devices, files, and the longest texts."""
+    cells = [
+        F.count("*").alias("n"), F.count_distinct("dut_id").alias("devices"), F.count_distinct("lot", "wafer").alias("files"),
+        F.max(F.length("source_text")).alias("longest_source"), F.max(F.length("retrieval_text")).alias("longest_text"),
+    ]
+    per = chunks_.groupBy("outcome", "failed_test").agg(*cells)
+    return per.unionByName(chunks_.agg(*cells).select(F.lit(None).cast("string").alias("outcome"), F.lit(None).cast("int").alias("failed_test"), "n", "devices", "files", "longest_source", "longest_text"))
+
+
 def scenario_sources(scenarios: DataFrame, chunks_: DataFrame) -> DataFrame:
     """Scenarios (dut_id, ...) with the chunk and source lines that each rests on; one without a chunk stays, with nulls."""
     return scenarios.join(chunks_.select("dut_id", "chunk_id", "source_lines", "outcome", "failed_test"), "dut_id", "left")

@@ -14,8 +14,11 @@ from provena.functions.text import cause_direction, read_direction
 from provena.operators import audit, baselines, cases, evaluation
 from provena.operators.cases import check_selection
 from provena.operators.chat import reply_violations
+from provena.operators.retrieval import result_violations
 from provena.operators.scoring import summarise
 from provena.plans.investigate import investigate
+from provena.sources.collection import Collection
+from provena.sources.stored import new_path
 from provena.sources.tables import table
 
 Q: dict[str, tuple] = {}
@@ -391,16 +394,16 @@ def citation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-WITH c AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_linenumber) AS stages, count(DISTINCT l_suppkey % 2) AS duts, bool_and(l_quantity < 48) AS synthetic FROM lineitem WHERE l_linenumber <= 4 GROUP BY 1)
+WITH c AS (SELECT l_orderkey AS k, count(*) AS n, count(DISTINCT l_linenumber) AS stages, count(DISTINCT l_suppkey % 2) AS duts, bool_and(l_quantity < 48) AS synthetic FROM lineitem GROUP BY 1)
 SELECT k::VARCHAR AS entity_key, rule_id FROM (
   SELECT k, 'stages' AS rule_id FROM c WHERE NOT (n = 4 AND stages = 4) UNION ALL SELECT k, 'device' FROM c WHERE duts <> 1 UNION ALL SELECT k, 'synthetic' FROM c WHERE NOT synthetic
   UNION ALL SELECT k, 'record' FROM c WHERE n <> stages
 )
 """)
 def case_link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stage records of cases that disagree on their device, lack a stage, or are not told as synthetic."""
-    stage = by_number(F.col("l_linenumber"), [F.lit(None).cast("string"), *cases.STAGES])
-    li = table(spark, sf_dir, "lineitem").filter("l_linenumber <= 4")
+    """Stage records of cases that disagree on their device, lack a stage or have others, or are not told as synthetic."""
+    stage = F.when(F.col("l_linenumber") <= 4, by_number(F.col("l_linenumber"), [F.lit(None).cast("string"), *cases.STAGES])).otherwise(F.concat(F.lit("line "), F.col("l_linenumber").cast("string")))
+    li = table(spark, sf_dir, "lineitem")
     records = li.select(
         F.col("l_orderkey").alias("case_id"), F.concat_ws("-", "l_orderkey", "l_linenumber").alias("record_id"), (F.col("l_suppkey") % 2).cast("string").alias("dut_id"), F.lit("o").alias("observation_id"),
         stage.alias("stage"), F.lit("historical").alias("role"), (F.col("l_quantity") < 48).alias("synthetic"), F.lit(False).alias("physical_test_performed"),
@@ -408,6 +411,58 @@ def case_link_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cases.link_violations(records).select("entity_key", "rule_id")
 
 
+@query("""
+WITH m AS (SELECT o_custkey AS query_id, o_orderkey AS case_id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders QUALIFY rank <= 2),
+i AS (SELECT m.*, l_linenumber AS stage_no, l_orderkey || '-' || l_linenumber || '-' || l_suppkey AS citation_id FROM m JOIN lineitem ON l_orderkey = case_id WHERE l_linenumber <= 4),
+v AS (SELECT query_id, case_id, count(stage_no) AS n, count(DISTINCT stage_no) AS kinds FROM m LEFT JOIN i USING (query_id, case_id) GROUP BY ALL)
+SELECT i.query_id, i.rank::INTEGER AS rank, i.case_id, ((i.rank - 1) * 4 + stage_no)::INTEGER AS position, ['observation', 'investigation', 'action', 'retest'][stage_no] AS stage, citation_id, NOT (n = 4 AND kinds = 4) AS broken
+FROM i JOIN v USING (query_id, case_id)
+""")
+def ranked_stage_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two largest orders of each customer as matches, expanded to their stage items in order, with matches that lack a stage told."""
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    best = F.row_number().over(Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey"))
+    matches = o.select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("case_id"), best.alias("rank")).filter("rank <= 2")
+    stage = F.when(F.col("l_linenumber") <= 4, by_number(F.col("l_linenumber"), [F.lit(None).cast("string"), *cases.STAGES])).otherwise("other")
+    records = li.select(F.col("l_orderkey").alias("case_id"), stage.alias("stage"), F.concat_ws("-", "l_orderkey", "l_linenumber", "l_suppkey").alias("record_id"))
+    items = cases.stage_items(matches, records)
+    broken = cases.stage_item_violations(matches, items).select(F.col("entity_key").alias("key"), F.lit(True).alias("_broken")).distinct()
+    out = items.withColumn("key", F.concat_ws("/", "query_id", "case_id")).join(broken, "key", "left")
+    return out.select("query_id", "rank", "case_id", "position", "stage", "citation_id", F.coalesce("_broken", F.lit(False)).alias("broken"))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey AS q, l_partkey % 400 AS h, l_linenumber AS rank, CASE WHEN l_discount > 0.09 THEN NULL WHEN l_tax > 0.07 THEN -l_extendedprice ELSE round(l_extendedprice / 40000) * l_linenumber END AS d, l_quantity FROM lineitem WHERE l_returnflag <> 'R' OR l_linenumber % 2 = 1),
+w AS (SELECT *, lag(d) OVER (PARTITION BY q ORDER BY rank, d NULLS FIRST, h) AS p, row_number() OVER (PARTITION BY q ORDER BY rank, d NULLS FIRST, h) AS i, max((l_quantity > 2)::INTEGER) OVER (PARTITION BY q, h) AS known FROM r),
+g AS (SELECT q, count(*) AS n, count(DISTINCT h) AS hs, bool_and(known = 1) AS known, bool_and(coalesce(d >= 0, false)) AS finite, bool_and(coalesce(d >= p, true)) AS rising, bool_and(rank = i) AS ranks FROM w GROUP BY q)
+SELECT q::VARCHAR AS entity_key, unnest(list_filter([CASE WHEN n > 4 THEN 'C17-most' END, CASE WHEN hs <> n THEN 'C17-distinct' END, CASE WHEN NOT known THEN 'C17-eligible' END, CASE WHEN NOT finite THEN 'C17-finite' END,
+       CASE WHEN NOT rising THEN 'C17-rising' END, CASE WHEN NOT ranks THEN 'C17-ranks' END], lambda x: x IS NOT NULL)) AS rule_id FROM g
+""")
+def search_result_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of orders as results of searches, held to what results of four nearest must be."""
+    li = table(spark, sf_dir, "lineitem").filter("l_returnflag <> 'R' or l_linenumber % 2 = 1")
+    distance = F.when(F.col("l_discount") > 0.09, F.lit(None)).when(F.col("l_tax") > 0.07, -F.col("l_extendedprice")).otherwise(F.round(F.col("l_extendedprice") / 40000) * F.col("l_linenumber"))
+    results = li.select(F.col("l_orderkey").alias("q_id"), (F.col("l_partkey") % 400).alias("h_id"), F.col("l_linenumber").alias("rank"), distance.alias("distance"), "l_quantity")
+    return result_violations(results.drop("l_quantity"), results.filter("l_quantity > 2"), k=4).select("entity_key", "rule_id")
+
+
+@query("""
+WITH c AS (SELECT p_partkey AS id, p_name, CASE WHEN p_size > 30 THEN p_size + 100 ELSE p_size END::INTEGER AS size FROM part WHERE p_partkey % 10 <> 0),
+a AS (SELECT DISTINCT l_partkey AS id FROM lineitem WHERE l_quantity > 45)
+SELECT a.id, p_name, size, c.id IS NOT NULL AS held, (SELECT count(*) FROM c) AS n FROM a LEFT JOIN c USING (id)
+""")
+def collection_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection of parts, upserted twice, looked up by the parts of large orders; ids that it lacks are told, and its size."""
+    p = table(spark, sf_dir, "part").filter("p_partkey % 10 <> 0").select(F.col("p_partkey").alias("id"), "p_name", F.col("p_size").alias("size"))
+    held = Collection(spark, new_path(spark, "collection"), "parts")
+    held.upsert(p.filter("size <= 40"))
+    held.upsert(p.filter("size > 30").withColumn("size", F.col("size") + 100))
+    asked = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.col("l_partkey").alias("id"))
+    found = held.get(asked).withColumn("held", F.lit(True))
+    gone = held.missing(asked).select("id", F.lit(None).cast("string").alias("p_name"), F.lit(None).cast("int").alias("size"), F.lit(False).alias("held"))
+    return found.unionByName(gone).withColumn("n", F.lit(held.count()).cast("long"))
+
+
 @query("""
 WITH d AS (SELECT doc_id, string_split(text, ' ')[1:2] AS w, lang, n_chars FROM documents),
 f AS (SELECT doc_id, 0 AS g, i, 'cause' AS kind, w[i] AS text FROM d, range(1, 3) r(i) WHERE i <= len(w)

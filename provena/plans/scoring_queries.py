@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from provena.operators.retrieval import nearest_in_blocks
+from provena.operators.constraints import ContractError
 from provena.operators.ordered import value_counts
 from provena.operators.scoring import accepted, case_energy, cost_per_thousand, covered_mean, hit_at, median, nearest_rank, rate, throughput, trapezoid_energy
 from provena.sources.tables import table
@@ -139,12 +140,17 @@ def citation_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
 CITATION_SQL = "SELECT lang, round(sum(n_chars % 97)::DOUBLE / nullif(sum(n_chars), 0), 6) AS validity FROM documents GROUP BY lang"
 
 
+MOST_VARIANTS = 64
+
+
 def variant_pivot_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metrics as rows, variants as columns, unmeasured cells named so."""
+    """Metrics as rows, the event types that there are as columns, unmeasured cells named so."""
     e = table(spark, sf_dir, "events")
     per = e.groupBy("event_type").agg(F.count("*").cast("double").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.max(F.when(F.col("value") > 480, F.col("value"))).alias("above_480"))
     cells = per.unpivot("event_type", ["n", "mean", "above_480"], "metric", "value")
-    kinds = ["view", "signup", "click", "purchase", "error"]
+    kinds = [r[0] for r in e.select("event_type").filter("event_type is not null").distinct().orderBy("event_type").limit(MOST_VARIANTS + 1).collect()]
+    if len(kinds) > MOST_VARIANTS:  # a report of that many columns is none
+        raise ContractError(f"more than {MOST_VARIANTS} variants")
     wide = cells.groupBy("metric").pivot("event_type", kinds).agg(F.first("value"))
     return wide.select("metric", *(F.when(F.col(k).isNull(), "unmeasured").otherwise(F.format_string("%.2f", k)).alias(k) for k in kinds))
 

@@ -2,19 +2,24 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
+import os
+
 import pytest
 from provena.operators import wafer_gen, wafer_parse
 from provena.operators.constraints import ContractError
 from provena.operators.lines import number_lines
 from provena.plans.investigate import Sources, investigate
 from provena.sources import files
+from provena.sources.collection import Collection
 from provena.sources.commits import Store
 from provena.sources.log_parser import parse_by_line
 from provena.streaming import turns
 from provena.streaming.power import write_once
 from pyspark.sql import functions as F
 
-from tests.test_datasets import PLAN, history, incidents
+from tests.test_datasets import GRID, PLAN, history, incidents
 
 RUN = "a" * 32
 
@@ -117,3 +122,73 @@ def test_two_readings_of_logs_agree(spark):
     for pattern, new in ((r"Bin: +1\b", "Bin:  7"), (r"\(F\)", ""), (r"\d\d\.\d\d ma \(F\)", "44.44 ma (F)"), (r"Device: 003", "Device: 103"), (r"Wafer Coordinates: \( (\d)", "Wafer Coordinates: ( 1$1"), (r"Halt Vector: +[1-9]", "Halt Vector:  77")):
         a, changed = both(F.regexp_replace("text", pattern, new))
         assert a == changed and a != b, pattern
+
+
+def test_a_collection_shows_published_versions(spark, tmp_path):
+    rows = lambda *r: spark.createDataFrame(list(r), "id long, t string")
+    held = Collection(spark, f"{tmp_path}/c", "notes")
+    assert held.records() is None and held.count() == 0
+    held.upsert(rows((1, "a"), (2, "b")))
+    held.upsert(rows((2, "new"), (3, None)))
+    held.store.stage(rows((9, "unpublished")), "version-000002")
+    again = Collection(spark, f"{tmp_path}/c", "notes")
+    assert sorted(map(tuple, again.records().collect())) == [(1, "a"), (2, "new"), (3, None)] and again.count() == 3
+    asked = rows((3, ""), (2, ""), (2, ""), (7, ""), (None, ""))
+    assert sorted(r["id"] for r in again.get(asked).collect()) == [2, 3] and {r["id"] for r in again.missing(asked).collect()} == {7, None}
+    for bad in (rows((5, "x"), (5, "y")), rows((None, "x"))):
+        with pytest.raises(ContractError, match="S10"):
+            again.upsert(bad)
+    with pytest.raises(ContractError, match="another configuration"):
+        Collection(spark, f"{tmp_path}/c", "others")
+
+
+def test_chunks_are_summarised(spark):
+    plan = wafer_gen.WaferPlan(**PLAN)
+    logs = wafer_gen.logs(wafer_gen.devices(spark, plan), plan)
+    chunks = wafer_parse.chunks(wafer_parse.parse(number_lines(logs, "text"), plan.product), "v1").cache()
+    got = {(r["outcome"], r["failed_test"]): r for r in wafer_parse.chunk_summary(chunks).collect()}
+    assert {k: r["n"] for k, r in got.items()} == {("PASS", None): 72, ("CONTINUITY_FAIL", 100): 8, ("IDD_STATIC_FAIL", 210): 8, ("SCAN_FAIL", 606): 8, (None, None): 96}
+    assert got[None, None]["devices"] == 96 and got[None, None]["files"] == 8 and got[None, None]["longest_text"] == max(len(r["retrieval_text"]) for r in chunks.collect())
+
+
+def write_published(folder, **changed):
+    config = {
+        "seed": 3, "product": "Chip_T", "lots": ["L01", "L02"], "wafers_per_lot": 4, "devices_per_wafer": 12, "start_time": "2026-01-01T08:00:00+08:00", "timezone": "Asia/Kuala_Lumpur", "outcome_quotas": PLAN["quotas"],
+        "outcome_bins": PLAN["bins"], "pin_map": PLAN["pins"], "tester": "t", "program": "p", "sequencer": "s", "station": 1, "site": 0, "first_device_delay_seconds": 10, "device_interval_seconds": 3, "wafer_gap_seconds": 60,
+        "idd_static": {"lower_mA": "35.00", "upper_mA": "55.00"}, "scan_vector_min": 1, "scan_vector_max": 8191,
+    } | changed
+    texts = {"config": json.dumps(config), "coordinate_template": json.dumps({"coordinates": [{"device": d, "x": x, "y": y} for d, x, y in GRID]})}
+    for name, text in texts.items():
+        (folder / f"{name}.json").write_text(text)
+    hashes = {f"{name}_sha256": hashlib.sha256(text.encode()).hexdigest() for name, text in texts.items()}
+    (folder / "manifest.json").write_text(json.dumps(hashes | {"files": []}))
+
+
+def test_a_published_plan_is_held_to_its_manifest(spark, tmp_path):
+    write_published(tmp_path)
+    plan, manifest = wafer_gen.published_plan(spark, str(tmp_path), "t-1")
+    assert plan.start == "2026-01-01 08:00:00" and plan.coordinates == GRID and manifest.isEmpty()
+    for changed, message in (({"start_time": "2026-01-01T08:00:00+07:00"}, "offset"), ({"start_time": "2026-01-01T08:00:00"}, "offset"), ({"devices_per_wafer": 13}, "number of devices")):
+        write_published(tmp_path, **changed)
+        with pytest.raises(ContractError, match=message):
+            wafer_gen.published_plan(spark, str(tmp_path), "t-1")
+    write_published(tmp_path)
+    (tmp_path / "config.json").write_text((tmp_path / "config.json").read_text() + "\n")
+    with pytest.raises(ContractError, match="another hash"):
+        wafer_gen.published_plan(spark, str(tmp_path), "t-1")
+
+
+@pytest.mark.skipif("PROVENA_PUBLISHED" not in os.environ, reason="PROVENA_PUBLISHED names no folder of a published dataset")
+def test_a_published_dataset_is_made_again_byte_by_byte(spark):
+    """Every rendered log has the hash that the manifest names; PROVENA_PUBLISHED is the folder, PROVENA_PUBLISHED_VERSION the generator's version."""
+    plan, manifest = wafer_gen.published_plan(spark, os.environ["PROVENA_PUBLISHED"], os.environ["PROVENA_PUBLISHED_VERSION"])
+    devices = wafer_gen.devices(spark, plan).cache()
+    logs = wafer_gen.logs(devices, plan).cache()
+    made = logs.select(F.concat(F.lit("logs/"), "lot", F.lit("/"), "wafer", F.lit(".txt")).alias("path"), F.sha2("text", 256).alias("sha256"))
+    published = manifest.filter("path like 'logs/%'")
+    assert made.count() == published.count() == 35 and wafer_parse.manifest_violations(published, made).isEmpty()
+    report = wafer_parse.report(wafer_parse.parse(number_lines(logs, "text"), plan.product), list(plan.quotas))
+    assert wafer_parse.total_violations(report, plan.quotas).isEmpty()
+    total = report.filter("lot is null").first()
+    assert (total["dut_count"], total["pass"], total["scan_fail"], total["idd_static_fail"], total["continuity_fail"]) == (3920, 3528, 196, 98, 98)
+    assert (total["test_100"], total["test_210"], total["test_606"]) == (3920, 3822, 3724)
