@@ -49,9 +49,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces of what the stages keep of documents; no documents give no rows.
+    """The pieces of what the stages keep of documents; no documents give no rows, texts of any length go through whole.
 
-    Rows with a null or empty text fall to the rules; of rows that share an id one stays; rows with a null id are
+    Rows with a null or empty text fall to the rules; of rows that share an id, and of copies that tie, one stays; rows with a null id are
     classes of their own. Further columns pass through the first four stages as they are.
     """
     docs = table(spark, sf_dir, "documents")

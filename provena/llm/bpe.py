@@ -437,7 +437,8 @@ def build_lexicon(docs: DataFrame, vocabulary: str, text: str = "text", most: in
 def encode(docs: DataFrame, vocabulary: str, lexicon: bytes | None = None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: doc_id, ids (binary, little-endian unsigned 32-bit), decoded (their text).
 
-    Null and empty texts have no ids; repeated rows are encoded each; other columns are ignored. The vocabulary
+    Null and empty texts have no ids; repeated rows are encoded each; a null id stays null; other columns are ignored.
+    Texts of any length are encoded whole; no documents give no rows. The vocabulary
     and the lexicon go to the workers by broadcast: both are of fixed size. One pass, no shuffle.
     """
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary_bytes(vocabulary), lexicon))

@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
     Links join texts of equal words, ASCII and other letters lower-cased, and texts whose weighted Jaccard similarity
     over five-word shingles is 0.8 or more. A text of fewer words is one shingle; null and empty texts have no
-    links. Rows that share an id share a class; a null id has a null class. Other columns are ignored.
+    links. Rows that share an id share a class; a null id has a null class. Other columns are ignored. Texts of any
+    length are signed whole; no documents give no rows.
     """
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     signed = materialize(base.mapInArrow(_sign, "doc_id long, digest binary, bands array<long>"), "dart-signed")

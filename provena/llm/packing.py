@@ -100,7 +100,7 @@ def pack(docs: DataFrame, vocabulary: str, end_id: int = 2, window: int = WINDOW
 
     Every document's ids with end_id after them are cut only where they exceed a window, so each id lies in one
     piece. Null and empty texts are the end id alone; repeated rows are packed each; a null id stays null; other
-    columns are ignored. The pieces, a few numbers each, are written once; only leftovers are shuffled, a fixed
+    columns are ignored. Texts of any length are cut over as many windows as they need; no documents give no rows. The pieces, a few numbers each, are written once; only leftovers are shuffled, a fixed
     number of windows per task.
     """
     sent = docs.sparkSession.sparkContext.broadcast(vocabulary_bytes(vocabulary))
