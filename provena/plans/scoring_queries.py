@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from provena.operators.constraints import ContractError
 from provena.operators.ordered import value_counts
 from provena.operators.retrieval import nearest_in_blocks
-from provena.operators.scoring import accepted, case_energy, cost_per_thousand, covered_mean, hit_at, median, rate, throughput, trapezoid_energy
+from provena.operators.scoring import accepted, case_energy, cost_per_thousand, covered_mean, hit_at, rate, throughput, trapezoid_energy
 from provena.sources.tables import table
 
 
