@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -57,7 +58,10 @@ def near(text: Column, first: Iterable[str], second: Iterable[str], reach: int,
     def says(line: Column) -> Column:
         return F.exists(F.sequence(F.lit(0), F.size(line) - 1), lambda i: F.array_contains(begins, F.get(line, i)) & follows(F.slice(line, i + 2, reach + 1)))
 
-    return F.exists(F.transform(F.split(F.lower(text), "\n"), pieces), says)
+    lower = F.lower(text)
+    any_of = lambda words: functools.reduce(Column.__or__, (F.contains(lower, F.lit(w)) for w in words))
+    both = any_of(first) & any_of((*second, *stems))  # cheap, and few texts pass it
+    return F.when(both, F.exists(F.transform(F.split(lower, "\n"), pieces), says)).otherwise(F.lit(False))
 
 
 def plain_number(text: Column) -> Column:
