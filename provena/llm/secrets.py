@@ -1,7 +1,7 @@
 """Secret scanning: fixed patterns, then the compression novelty of strings in sensitive contexts.
 
-A candidate is a run of secret-like characters that follows a sensitive word and an assignment within one line, or the
-lines of a private key's block. Its novelty is its marginal cost: bytes of the surrounding text with the candidate in its
+A candidate is a run of at least twelve secret-like characters that follows a name with a sensitive word in it, of any length, and an
+assignment, an opening bracket, ` is ` or a blank within one line, or the lines of a private key's block of at least 32 characters. Its novelty is its marginal cost: bytes of the surrounding text with the candidate in its
 place, less bytes without it, both compressed by zstandard primed with a dictionary of identifiers: a fixed list of
 those around secrets, and the names that most documents of the corpus use, candidates' values left out. What the
 dictionary and the surroundings explain costs little; a random string costs nearly its entropy. Candidates that stay
@@ -35,13 +35,17 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "novel")
 
-#: Words whose neighbourhood is sensitive, beyond those of the assign pattern; then an assignment and a value.
+#: A name before an assignment or an opening bracket, and the first characters of a value; names have any length.
+NAMED = re.compile(
+    r"""(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=(["']?[\x20\t]*(?:=>|[:=(]|\x20is\x20|\x20)[\x20\t]*["']?)[A-Za-z0-9+/_.=~!@\#$%^&*-]{12})""",
+    re.ASCII,
+)
+VALUE = re.compile(r"[A-Za-z0-9+/_.=~!@#$%^&*-]+", re.ASCII)
+#: Words that make a name sensitive, beyond those of the assign pattern.
 SENSITIVE = re.compile(
-    r"""(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|auth|bearer|signature|session[_-]?id|cookie)"""
-    r"""[A-Za-z0-9_-]{0,24}["']?[\x20\t]*(?:[:=]|=>|\x20is\x20|\x20)[\x20\t]*["']?([A-Za-z0-9+/_.=~!@\#$%^&*-]{12,})""",
+    r"password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|auth|bearer|signature|session[_-]?id|cookie",
     re.IGNORECASE | re.ASCII,
 )
-HINT = re.compile(r"passw|passphrase|pwd|secret|token|api_?-?key|access[_-]?key|private[_-]?key|client[_-]?key|credential|auth|bearer|signature|session|cookie", re.IGNORECASE | re.ASCII)
 
 #: Identifiers that code around secrets is made of; they prime the dictionary.
 IDENTIFIERS = """
@@ -128,7 +132,12 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the values in sensitive contexts, in order, none within another."""
-    found = [m.span(1) for m in SENSITIVE.finditer(text)] if HINT.search(text) else []
+    found: list[tuple[int, int]] = []
+    end = 0
+    for m in NAMED.finditer(text) if SENSITIVE.search(text) else ():
+        if m.start() >= end and SENSITIVE.search(m[1]):
+            end = VALUE.match(text, m.end(2)).end()
+            found.append((m.end(2), end))
     if "PRIVATE KEY-----" in text:
         blocks_ = [(m.start(1), m.start(1) + len(m[1].rstrip())) for m in KEY_BLOCK.finditer(text)]
         blocks_ = [(a, b) for a, b in blocks_ if b - a >= 32]

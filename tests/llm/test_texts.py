@@ -7,6 +7,7 @@ import hashlib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -381,6 +382,17 @@ def planted(rng: random.Random) -> tuple[list[tuple[str, str]], list[str]]:
     return keys, harmless
 
 
+def test_sensitive_names_have_any_length_and_search_is_linear():
+    value = "Zk39xQp2LmV8tRw1"
+    for size in (0, 23, 24, 25, 400):
+        for text in (f"x {'n' * size}_secret_{'m' * size} = {value}", f"set_password{'m' * size}('{value}')"):
+            assert secrets.candidates(text) == [(text.index(value), text.index(value) + len(value))]
+    for text in ("token" * 200_000, "a=a=" * 250_000 + "secret", "secret=" * 150_000, "secret a " * 100_000):
+        began = time.perf_counter()
+        secrets.candidates(text)
+        assert time.perf_counter() - began < 20
+
+
 def test_novelty_finds_planted_keys_and_leaves_names():
     rng = random.Random(21)
     keys, harmless = planted(rng)
