@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from provena.operators import inverted, ordered, retrieval
 from provena.sources import files
@@ -143,3 +144,38 @@ def test_line_numbers_over_splits_of_one_file(spark, tmp_path):
     (tmp_path / "bad.txt").write_bytes(b"ok\n\xff\n")
     with pytest.raises(Exception, match="(?i)utf"):
         files.split_lines(spark, f"{tmp_path}/bad.txt").collect()
+
+
+def test_nearest_rows_equals_plain_distances_for_odd_vectors():
+    rng = np.random.default_rng(4)
+    made = [[float(x) for x in v] for v in rng.standard_normal((300, 5)).astype(np.float32)]
+    made[9] = made[8]
+    odd = [None, [], [1.0, None, 0.0, 0.0, 0.0], [float("nan")] * 5, [float("inf"), 0.0, 0.0, 0.0, 0.0], [1.0, 2.0], [3.0, 2.0], [1e200] * 5]
+    rows = [(f"c{i}", v) for i, v in enumerate(made + odd)]
+
+    def distance(a, b):
+        if a is None or b is None or None in a or None in b or len(a) != len(b):
+            return 2, 0.0
+        d = 0.0
+        for x, y in zip(a, b, strict=True):
+            d += float(np.float64(x - y) * np.float64(x - y))
+        return (1, 0.0) if math.isnan(d) else (0, d)
+
+    for held, asked in ((rows, rows), (rows[:3], rows[-9:]), (rows[-8:], rows[:40])):
+        side = lambda some: pa.table({"id": pa.array([i for i, _ in some]), "vector": pa.array([v for _, v in some], pa.list_(pa.float64()))})
+        with np.errstate(all="ignore"):
+            q, h, d = retrieval.nearest_rows(side(asked), side(held), 4)
+            want = {(a, i, k, x) for a, v in asked for k, x, i in sorted((*distance(v, w), i) for i, w in held if i != a)[:4]}
+        told = lambda x: (2, 0.0) if x is None else (1, 0.0) if math.isnan(x) else (0, x)
+        assert {(asked[a][0], held[b][0], *told(x)) for a, b, x in zip(q.tolist(), h.tolist(), d, strict=True)} == want
+
+
+def test_a_search_measures_by_matrices_and_leaves_texts_out(spark):
+    cases = spark.createDataFrame([(i, i % 3, [float(i), 1.0], "text " * i) for i in range(200)], "id long, scope int, vector array<float>, text string")
+    near = retrieval.nearest_in_blocks(cases.filter("id % 20 = 0").drop("text"), cases.drop("text"), 3, ["scope"], block_rows=16)
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert "CoGroup" in plan and "zip_with" not in plan  # pairs are not rows
+    few = retrieval.nearest_scoped(cases.filter("id % 20 = 0"), cases, 3, ["scope"], block_rows=16)
+    assert few.filter("length(h_text) <> 5 * h_id or length(q_text) <> 5 * q_id").count() == 0
+    want = {(q, h) for q in range(0, 200, 20) for _, h in sorted((abs(q - h), h) for h in range(200) if h != q and h % 3 == q % 3)[:3]}
+    assert {(r["q_id"], r["h_id"]) for r in near.collect()} == want == {(r["q_id"], r["h_id"]) for r in few.collect()}
