@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from provena.operators import inverted, ordered, retrieval
+from provena.operators import audit, cases, inverted, ordered, retrieval
 from provena.sources import files
 from pyspark.sql import functions as F
 
@@ -179,3 +179,51 @@ def test_a_search_measures_by_matrices_and_leaves_texts_out(spark):
     assert few.filter("length(h_text) <> 5 * h_id or length(q_text) <> 5 * q_id").count() == 0
     want = {(q, h) for q in range(0, 200, 20) for _, h in sorted((abs(q - h), h) for h in range(200) if h != q and h % 3 == q % 3)[:3]}
     assert {(r["q_id"], r["h_id"]) for r in near.collect()} == want == {(r["q_id"], r["h_id"]) for r in few.collect()}
+
+
+def _plan(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_link_rules_count_without_copies_of_rows(spark):
+    rng = random.Random(8)
+    rows = []
+    for case in range(80):
+        for i in range(rng.choice([1, 3, 4, 4, 4, 5, 9])):
+            rows.append((None if case == 0 else case, rng.choice([f"r{i}", f"r{i}", "r0", None]), rng.choice([*cases.STAGES, None]), rng.choice(["d", "d", "d", "e", None]), "o", True, False, "historical"))
+    frame = spark.createDataFrame(rows, "case_id long, record_id string, stage string, dut_id string, observation_id string, synthetic boolean, physical_test_performed boolean, role string").repartition(3)
+    want = set()
+    for case in {r[0] for r in rows}:
+        mine = [r for r in rows if r[0] == case]
+        distinct = lambda i: len({r[i] for r in mine} - {None})  # noqa: B023, E731
+        name = None if case is None else str(case)
+        want |= {(name, rule) for rule, ok in (("stages", len(mine) == 4 and distinct(2) == 4), ("device", distinct(3) == 1), ("record", distinct(1) == len(mine))) if not ok}
+    got = cases.link_violations(frame)
+    assert {(r["entity_key"], r["rule_id"]) for r in got.collect()} == want and "Expand" not in _plan(got)
+    pivot = cases.stage_pivot(frame, ["case_id"], "record_id")
+    assert "distinct" not in _plan(pivot).lower() and "Expand" not in _plan(pivot)
+    assert {r["case_id"] for r in pivot.filter("complete").collect()} == {c for c in {r[0] for r in rows} if {r[2] for r in rows if r[0] == c} >= set(cases.STAGES)}
+
+
+def test_result_rules_move_both_sides_once(spark):
+    rng = random.Random(9)
+    results = [(q, rng.choice([1, 2, 3, None]) if q % 3 == 0 else h, h + 1, float(h)) for q in range(40) for h in range(rng.choice([1, 2, 5]))] + [(None, 1, 1, 0.0)]
+    eligible = [(q, h) for q in range(40) for h in (0, 1, 2, 3, None) if rng.random() < 0.8] * 2 + [(None, 1)]
+    frame, known = spark.createDataFrame(results, "q_id long, h_id long, rank int, distance double"), spark.createDataFrame(eligible, "q_id long, h_id long")
+    got = retrieval.result_violations(frame, known, k=4)
+    want = set()
+    for q in {r[0] for r in results}:
+        mine = [h for x, h, _, _ in results if x == q]
+        name = None if q is None else str(q)
+        want |= {(name, rule) for rule, ok in (("C17-most", len(mine) <= 4), ("C17-distinct", len(set(mine) - {None}) == len(mine)), ("C17-eligible", all(q is not None and h is not None and (q, h) in eligible for h in mine))) if not ok}
+    assert {(r["entity_key"], r["rule_id"]) for r in got.collect() if r["rule_id"] in ("C17-most", "C17-distinct", "C17-eligible")} == want
+    assert "Join" not in _plan(got) and "Expand" not in _plan(got)
+
+
+def test_run_rules_move_no_lists(spark):
+    ids, run = "array<string>", "0" * 32
+    rows = spark.createDataFrame([(1, run, "unconfirmed", ["a,b"], ["k", None]), (2, run[:-1] + "1", "refuse", ["a"], []), (3, "x", None, None, [])], f"id long, run_id string, status string, cause_ids {ids}, check_ids {ids}")
+    saved = spark.createDataFrame([(run, "unconfirmed", ["a", "b"], ["k", None]), (run[:-1] + "1", "refuse", ["a"], []), ("x", None, None, [])], f"run_id string, status string, cause_ids {ids}, check_ids {ids}")
+    got = audit.run_violations(rows, saved)
+    assert {(r["entity_key"], r["rule_id"]) for r in got.collect()} == {("1", "ids"), ("2", "empty"), ("3", "run"), ("3", "answer"), ("3", "ids"), ("3", "empty")}
+    assert "structstojson" in _plan(got)[_plan(got).index("Join") :] and "_causes" not in _plan(got)  # below the join, ids are one text
