@@ -22,14 +22,20 @@ def run_violations(rows: DataFrame, answers: DataFrame) -> DataFrame:
 
     answers: run_id, status, cause_ids, check_ids. Ids must be equal in order; what is no answer may hold none.
     """
-    saved = answers.select("run_id", F.col("status").alias("_status"), F.col("cause_ids").alias("_causes"), F.col("check_ids").alias("_checks"))
-    both = rows.join(saved, "run_id", "left")
+    # What one side alone tells is judged before the join; lists of ids go through it as one text that is equal where they are.
+    listed = F.when(F.col("cause_ids").isNotNull() & F.col("check_ids").isNotNull(), F.to_json(F.array("cause_ids", "check_ids")))
+    saved = answers.select("run_id", F.col("status").alias("_status"), listed.alias("_ids"))
+    told = rows.select(
+        "run_id", "id", "status", listed.alias("ids"), F.col("run_id").rlike(RUN_ID).alias("named"),
+        ((F.col("status") == "unconfirmed") | (F.size("cause_ids") + F.size("check_ids") == 0)).alias("fits"),
+    )
+    both = told.join(saved, "run_id", "left")
     rules = {
-        "run": (F.col("run_id").rlike(RUN_ID), "no run id"),
+        "run": (F.col("named"), "no run id"),
         "answer": (F.col("_status").isNotNull(), "no saved answer"),
         "status": (F.col("_status").eqNullSafe(F.col("status")), "status differs from the saved answer"),
-        "ids": ((F.col("_causes") == F.col("cause_ids")) & (F.col("_checks") == F.col("check_ids")), "ids differ from the saved answer"),
-        "empty": ((F.col("status") == "unconfirmed") | (F.size("cause_ids") + F.size("check_ids") == 0), "no answer, but suggestions"),
+        "ids": (F.col("_ids") == F.col("ids"), "ids differ from the saved answer"),
+        "empty": (F.col("fits"), "no answer, but suggestions"),
     }
     return union_all([violations(both, "id", rules), duplicates(rows, ["id"], "repeated")])
 
