@@ -9,7 +9,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
-from provena.operators import audit, cases, inverted, ordered, retrieval
+from provena.operators import audit, baselines, cases, inverted, ordered, retrieval
 from provena.sources import files
 from pyspark.sql import functions as F
 
@@ -227,3 +227,24 @@ def test_run_rules_move_no_lists(spark):
     got = audit.run_violations(rows, saved)
     assert {(r["entity_key"], r["rule_id"]) for r in got.collect()} == {("1", "ids"), ("2", "empty"), ("3", "run"), ("3", "answer"), ("3", "ids"), ("3", "empty")}
     assert "structstojson" in _plan(got)[_plan(got).index("Join") :] and "_causes" not in _plan(got)  # below the join, ids are one text
+
+
+def test_texts_are_cut_once_for_tf_idf(spark):
+    docs = spark.createDataFrame([(1, "a b b"), (2, "a c"), (3, None), (4, "c c d")], "id long, t string")
+    got = baselines.tf_idf(docs, "id", "t")
+    assert "regexp_extract_all" not in _plan(got)
+    assert {r["id"] for r in got.collect()} == {1, 2, 4}
+
+
+def test_documents_of_queries_meet_by_block(spark):
+    rows = [(i, [f"w{i % 7}", f"w{i % 5}", "all"] * (1 + i % 3)) for i in range(300)]
+    index = inverted.build_index(spark.createDataFrame(rows, "id long, words array<string>"), "id", F.col("words"), block_docs=8)
+    asked = spark.createDataFrame([(q, w) for q in range(9) for w in {f"w{q}", "all" if q == 8 else "w0"}], "q long, word string")
+    found = inverted.matching_documents(index, asked, "q")
+    assert "collect_list" not in _plan(found)  # no query's postings of a block are gathered by a shuffle of their own
+    words = {q: {f"w{q}", "all" if q == 8 else "w0"} for q in range(9)}
+    assert {(r["q"], r["n_documents"]) for r in found.collect()} == {(q, n) for q, ws in words.items() if (n := sum(bool(ws & set(h)) for _, h in rows))}
+    best = inverted.best_documents(index, asked, "q", inverted.shared_part, 3).best
+    assert "explode(docs" not in _plan(best) and "CoGroup" in _plan(best)  # no row for each query, word and document
+    want = {(q, i, -s) for q, ws in words.items() for s, i in sorted((-len(ws & set(h)), i) for i, h in rows if ws & set(h))[:3]}
+    assert {(r["q"], r["doc"], r["score"]) for r in best.collect()} == want
