@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from provena.functions.text import tokens
 from provena.operators.inverted import best_documents, bm25_part, build_index
+from provena.sources.stored import stored
 
 Embedder = Callable[[pd.Series], pd.Series]  # texts -> lists of floats, batch by batch
 
@@ -35,6 +36,7 @@ def tf_idf(docs: DataFrame, key: str, text: str, buckets: int = 256) -> DataFram
     Frequencies of documents are one row a bucket; a document without words has no rows.
     """
     counts = docs.select(key, F.explode(words_of(F.col(text))).alias("w")).groupBy(key, word_bucket(F.col("w"), buckets).alias("bucket")).agg(F.count("*").alias("tf"))
+    counts = stored(counts, "bucket-counts")  # read three times; texts are cut once
     n = docs.select(F.count("*").alias("n"))
     df = counts.groupBy("bucket").agg(F.count("*").alias("df")).crossJoin(n).select("bucket", F.ln((F.col("n") + 1) / (F.col("df") + 1)).alias("idf"))
     raw = counts.join(F.broadcast(df), "bucket").withColumn("x", F.col("tf") * F.col("idf"))  # a row for each bucket
