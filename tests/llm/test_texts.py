@@ -87,6 +87,21 @@ def test_packing_loses_and_repeats_nothing(spark):
     assert packing.pack(frame(spark, [], parts=1), tokenizer_path()).collect() == []
 
 
+def test_words_known_are_not_merged_again(monkeypatch):
+    """A word is found within other keys, and one that is met again outlives a full memo; ids stay the library's."""
+    library, own = Tokenizer.from_file(tokenizer_path()), bpe.Encoder(bpe.vocabulary_bytes(tokenizer_path()))
+    own.memo = {}
+    merged, merge = [], own.vocab.merge_many
+    monkeypatch.setattr(own.vocab, "merge_many", lambda words: merged.extend(words) or merge(words))
+    monkeypatch.setattr(bpe, "MEMO", 10)
+    texts = ["wrelthan mondirek", "wrelthan, mondirek's (wrelthan) x1", "wrelthan " + " ".join(f"zor{c}el" for c in "abcdef"), "wrelthan", "mondirek mondirek!"]
+    for t in texts:
+        (ids,) = own.encode_block([t])
+        assert np.frombuffer(ids, np.uint32).tolist() == library.encode(t, add_special_tokens=False).ids
+    assert merged.count(b"wrelthan") == 1 and merged.count(b"zorael") == 1
+    assert merged.count(b"mondirek") == 2  # gone with the full memo
+
+
 def test_open_windows_take_the_best_fit_and_emit_the_fullest():
     w = packing.OpenWindows(10, 2)
     assert w.place(("a",), 6) == [] and w.place(("b",), 7) == []
