@@ -5,13 +5,14 @@ from __future__ import annotations
 import collections
 import hashlib
 import math
+import pickle
 import random
 import re
 import time
 import zlib
 
 import numpy as np
-from provena.llm import bpe, classifier, dartminhash, followers, mixing, packing, quality_rules, secrets
+from provena.llm import bpe, classifier, dartminhash, followers, mixing, packing, quality_rules, secrets, sequences
 from provena.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -567,6 +568,37 @@ def test_followers_are_a_distribution_and_leave_own_occurrences_out(spark):
     assert not empty.gains(flat, sizes, own[flat], np.zeros(len(most), bool)).any()
 
 
+def test_every_sequence_counts(spark):
+    """Sequences of words that are met twice, and of words beyond the commonest 16,384, are counted and foretell; nothing of a text is left out."""
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdeilmnorstu") for _ in range(8))
+    texts = [" ".join(word() for _ in range(100)) for _ in range(210)]
+    texts = [*texts, *texts, "", "a b a b"]
+    singles = collections.Counter(w for t in texts for w in [*mixing.tokens_of(t), b""])
+    words = [w for w, _ in singles.most_common()]
+    counts = sequences.count(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), words, mixing.tokens_of)
+    assert len(words) > followers.PAIRED and counts.sum() == 2 * sum(singles.values())
+    own = np.log10(np.array([singles[w] for w in words]) / (sum(singles.values()) + 100))[:, None]
+    model = pickle.loads(pickle.dumps(sequences.Sequences(counts, words.index(b""), sequences.class_shares(own), len(words))))
+    rank = {w: i for i, w in enumerate(words)}
+    split = [np.array([rank[w] for w in [*mixing.tokens_of(t), b""]]) for t in texts]
+    rare = [i for i in range(210) if split[i][:-1].min() > followers.PAIRED - 4000 and split[i][:-1].max() > followers.PAIRED]
+    gain = lambda ranks, learn: model.gains(ranks, np.array([len(ranks)]), np.zeros(len(ranks), np.int64), np.array([learn]))
+    assert rare and all(gain(split[i], True).sum() > 20 for i in rare)  # the other copy foretells it
+    # Own occurrences are taken out of each text alone, whatever stands beside it.
+    some = [split[i] for i in (3, 421, 3, 420, 9)]
+    together = model.gains(np.concatenate(some), np.array([len(r) for r in some]), np.zeros(sum(map(len, some)), np.int64), np.ones(len(some), bool))
+    assert np.allclose(together, np.concatenate([gain(r, True) for r in some]))
+    assert gain(split[3], True).sum() < gain(split[3], False).sum()
+    # All words that may follow, those beyond the head among them, have a probability of one.
+    for start in ([], [5], list(split[3][:7]), list(split[420])):
+        ranks = [np.array([*start, w, rank[b""]]) for w in (*range(len(words)), len(words))]
+        flat, sizes = np.concatenate(ranks), np.full(len(ranks), len(start) + 2)
+        gains = model.gains(flat, sizes, np.zeros(len(flat), np.int64), np.zeros(len(ranks), bool)).reshape(len(ranks), -1)[:, len(start)]
+        assert abs((10**gains * np.append(10 ** own[:, 0], 1 - (10 ** own[:, 0]).sum())).sum() - 1) < 1e-6
+    assert not sequences.count(spark.createDataFrame([], "text string"), [], mixing.tokens_of).any()
+
+
 def test_phrases_are_cut_alike_and_foretold_by_other_texts(spark):
     rng = random.Random(3)
     word = lambda: "".join(rng.choice("abcdeilmnorstu") for _ in range(rng.randint(2, 7)))
