@@ -72,6 +72,14 @@ DIRECTIONS = [
 ]
 
 
+def test_an_observation_is_composed_once(spark):
+    """However often its reading names the text, what it is composed of is worked out once."""
+    rows = spark.createDataFrame([("mA\nlimits: 35-55 mA",)], "o string")
+    read = rows.select(text.read_direction(F.concat(F.lit("Measured current: 60 "), F.reverse(F.reverse("o")))).alias("d"))
+    assert read.first()["d"].asDict() == {"direction": "high", "error": None}
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("reverse(reverse(") == 1
+
+
 def test_directions(spark):
     rows = spark.createDataFrame([(i, o) for i, (o, _, _) in enumerate(DIRECTIONS)], "i int, o string")
     got = {r["i"]: (r["d"]["direction"], r["d"]["error"]) for r in rows.select("i", text.read_direction(F.col("o")).alias("d")).collect()}
