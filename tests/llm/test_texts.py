@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from provena.llm import bpe, classifier, dartminhash, followers, mixing, packing, quality_rules, secrets, sequences
 from provena.llm.queries import tokenizer_path
 from pyspark.sql import functions as F
@@ -625,6 +626,30 @@ def test_text_score_by_hand_and_within_one():
     assert abs(total - 1) < 1e-6
 
 
+def test_words_are_looked_up_by_column(spark):
+    """Words and ranks of whole columns are those of one text after the other, and so are counted sequences."""
+    letters = [*"ABab.", "\u212a", "\u00c4", "\u0085", "\u00a0", "\x1c", "\x1f", "\u3000", "\U0001f600", *" \t\n\x0b\x0c\r" * 3]
+    rng = random.Random(4)
+    texts = [None, "", " ", "\t\n", " a", "b ", *("".join(rng.choices(letters, k=rng.randrange(60))) for _ in range(3000)), "b" * 70_000, None]
+    words = [mixing.tokens_of(t or "") for t in texts]
+    found, n = sequences.words_in(pa.array(texts))
+    assert found.to_pylist() == [w for ws in words for w in ws] and n.tolist() == [len(ws) for ws in words]
+    known = [b"a", b"", *sorted({w for ws in words for w in ws} - {b"a"})[::2]]
+    for head in (known, [w for w in known if w]):
+        rank, got = {w: i for i, w in enumerate(head)}, []
+        batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+        before, sequences.WIDE = sequences.WIDE, 5000
+        try:
+            for part, _, ranks, sizes in sequences.ranked(iter([batch, batch.slice(7, 20), batch.slice(0, 0)]), pa.array(head, pa.binary())):
+                assert part.num_rows == len(sizes)
+                got += [r.tolist() for r in np.split(ranks, np.cumsum(sizes)[:-1])]
+        finally:
+            sequences.WIDE = before
+        assert got == [[rank.get(w, len(head)) for w in (*ws, b"")] for ws in (*words, *words[7:27])]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    assert (sequences.count(docs, known) == sequences.count(docs, known, mixing.tokens_of)).all()
+
+
 def test_mixing_learns_from_all_counted_words(spark):
     words = [b"%06d" % i for i in range(110_000)]
     head = mixing.Head([b"0", b""], np.array([[0, 2, 0, 0, 0, 0], [0, 1, 0, 0, 0, 0]]), np.array([0, 3, 0, 0, 0, 0]))
