@@ -47,6 +47,13 @@ SENSITIVE = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 
+#: What these two patterns look for, each way of writing it; one of them stands in every lower-cased text in which they find something.
+ASSIGN_WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
+SENSITIVE_WORDS = (
+    "password", "passwd", "passphrase", "pwd", "secret", "token", "credential", "auth", "bearer", "signature", "cookie",
+    *(f"{a}{by}{b}" for a, b in (("api", "key"), ("access", "key"), ("private", "key"), ("client", "key"), ("session", "id")) for by in ("", "_", "-")),
+)
+
 #: Identifiers that code around secrets is made of; they prime the dictionary.
 IDENTIFIERS = """
 import from return def class self const let var function public private static final void string int bool null none true
@@ -122,9 +129,15 @@ def novelty(names: tuple[str, ...] = ()) -> Novelty:
     return Novelty(names)
 
 
+def holds(text: str, words: tuple[str, ...]) -> bool:
+    """Whether one of the words stands in the text, in either case: many times as fast as a pattern of them."""
+    low = text.lower()
+    return any(w in low for w in words)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind number, end) of the three fixed kinds, in order."""
-    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6]
+    spans = [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6] if holds(text, ASSIGN_WORDS) else []
     spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 20]
     spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text)]
     return sorted(spans)
@@ -134,7 +147,7 @@ def candidates(text: str) -> list[tuple[int, int]]:
     """(start, end) of the values in sensitive contexts, in order, none within another."""
     found: list[tuple[int, int]] = []
     end = 0
-    for m in NAMED.finditer(text) if SENSITIVE.search(text) else ():
+    for m in NAMED.finditer(text) if holds(text, SENSITIVE_WORDS) else ():
         if m.start() >= end and SENSITIVE.search(m[1]):
             end = VALUE.match(text, m.end(2)).end()
             found.append((m.end(2), end))

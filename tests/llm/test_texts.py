@@ -370,6 +370,18 @@ def test_novel_spans_are_whole_and_need_no_digit():
         assert not secrets.novel_spans(f"the cookie {word} is here", [])
 
 
+def test_texts_without_a_sensitive_word_meet_no_pattern(monkeypatch):
+    """Plain searches leave out no text in which the patterns find something, and spare the others the patterns."""
+    rng, parts_ = random.Random(5), ["pass", "word", "wd", "phrase", "PWD", "Secret", "TOKEN", "api", "Access", "private", "client", "key", "KEY", "session", "Id", "_", "-", "credential", "auth", "bearer", "signature", "cookie", "\u0130", "\u212a", "\ud800", "\u03a3", " ", "=", "= 'q9Zt4LmP0xYw8'"]
+    for _ in range(20_000):
+        text = "".join(rng.choices(parts_, k=rng.randrange(1, 7)))
+        assert secrets.holds(text, secrets.SENSITIVE_WORDS) or not secrets.SENSITIVE.search(text)
+        assert secrets.base_spans(text) == sorted((m.start(), 0, m.end()) for m in secrets.ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 6)
+    for name in ("ASSIGN", "SENSITIVE", "NAMED"):
+        monkeypatch.setattr(secrets, name, None)
+    assert secrets.all_spans("Plain words of an ordinary text = 12 " * 50) == ([], [])
+
+
 def test_mixing_base_counts_and_probabilities(spark):
     rows = sentence_docs()
     docs = clashing(frame(spark, rows)).drop("score")
