@@ -7,7 +7,9 @@ import json
 import os
 
 import pytest
+from provena.functions.phrases import holds, token_line
 from provena.operators import wafer_gen, wafer_parse
+from provena.operators.chat import overclaims
 from provena.operators.constraints import ContractError
 from provena.operators.lines import number_lines
 from provena.plans.investigate import Sources, investigate
@@ -48,6 +50,17 @@ def test_turns_over_batches(spark, tmp_path):
     assert got["s", 1, "invalid"]["error"] == "run" and got["b", 2, "rejected"]["error"] == "no reply" and got["b", 3, "conversation"]["history"] == [1]
 
 
+def test_a_sentence_is_read_once_for_all_phrases(spark):
+    """The line in which phrases are looked for is made once for a sentence, not again for each phrase; what is found is the same."""
+    told = ["This indicates a leakage.", "The result clearly proves an internal short", "This indicates nothing", "A leakage this indicates", "In a previous case this indicates leakage", "", None]
+    rows = spark.createDataFrame([(x,) for x in told], "s string")
+    found = rows.select(overclaims(F.col("s")).alias("o"), holds(token_line(F.col("s")), ["leakage", "internal short"]).alias("h"), holds(F.col("s"), ["x"]).alias("n"))
+    assert [(r["o"], r["h"]) for r in found.collect()] == [(True, True), (True, True), (False, False), (False, True), (False, True), (False, False), (False, False)]
+    assert [r["n"] for r in found.collect()] == [False] * 6 + [None]
+    plan = rows.select(overclaims(F.col("s")).alias("o"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 and plan.index("transform(array(") < plan.index("lower(") < plan.index("exists(")
+
+
 def test_a_suite_resumes_where_its_markers_end(spark, tmp_path):
     configuration = {"manifest": "m1", "variants": ["full", "no_keyword", "no_verifier"]}
     part = lambda name: spark.range(20).select("id", F.lit(name).alias("variant"), (F.col("id") * len(name)).alias("value"))
