@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from provena.operators import audit, baselines, cases, inverted, ordered, retrieval
+from provena.plans import retrieval_queries
 from provena.sources import files
 from pyspark.sql import functions as F
 
@@ -248,3 +249,38 @@ def test_documents_of_queries_meet_by_block(spark):
     assert "explode(docs" not in _plan(best) and "CoGroup" in _plan(best)  # no row for each query, word and document
     want = {(q, i, -s) for q, ws in words.items() for s, i in sorted((-len(ws & set(h)), i) for i, h in rows if ws & set(h))[:3]}
     assert {(r["q"], r["doc"], r["score"]) for r in best.collect()} == want
+
+
+def test_fusion_asks_every_case(spark, tmp_path):
+    rng = random.Random(12)
+    words = [f"word{i}" for i in range(12)] + ["of", "Word1"]
+    docs = [(i, None if i == 5 else "" if i in (6, 9) else " ".join(rng.choices(words, k=9)), "en" if i % 10 else "de", "web") for i in range(90)]
+    docs[25] = (25, docs[25][1], None, "web")
+    held = [(i, None if i == 31 else [float(rng.randrange(3)), float(rng.randrange(3))], None if i == 41 else i % 2) for i in range(1, 95)]  # many at one distance, some without a document
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(held, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval_queries.rrf_fusion_vs_vector_only(spark, str(tmp_path)).collect()
+    cases = {i: (label, docs[i][2], v, {w for w in (docs[i][1] or "").lower().split() if len(w) > 2}) for i, v, label in held if i < 90 and label is not None and docs[i][2]}
+    want = set()
+    for q, (label, lang, v, mine) in cases.items():
+        apart = lambda h: (1, 0.0) if v is None or cases[h][2] is None else (0, math.dist(v, cases[h][2]))  # noqa: B023, E731
+        near = sorted((h for h in cases if h != q and cases[h][:2] == (label, lang)), key=lambda h: (*apart(h), h))[:10]
+        shared = {h: len(mine & cases[h][3]) for h in near}
+        by_words = sorted(near, key=lambda h: (-shared[h], h))
+        score = {h: 1 / (61 + near.index(h)) + 2 / (61 + by_words.index(h)) for h in near}
+        fused = sorted(near, key=lambda h: (-score[h], near.index(h)))
+        want |= {(q, h, fused.index(h) + 1, round(score[h], 6), near.index(h) + 1, shared[h]) for h in near}
+    assert {r["q_id"] for r in got} == set(cases)  # not every twentieth alone
+    assert len(got) == len(want) and {(r["q_id"], r["h_id"], r["hybrid_rank"], r["score"], r["vector_only_rank"], r["keyword_overlap"]) for r in got} == want
+
+
+def test_equal_vectors_are_measured_for_the_smallest_ids_alone(monkeypatch):
+    made = np.repeat(np.random.default_rng(3).integers(0, 3, (4, 2)).astype(float), 100, 0)
+    ids = np.random.default_rng(4).permutation(400)
+    rows = pa.table({"id": pa.array(ids), "vector": pa.array(made.tolist(), pa.list_(pa.float64()))})
+    pairs, plain = [], retrieval._distances
+    monkeypatch.setattr(retrieval, "_distances", lambda a, b: (pairs.append(len(a)), plain(a, b))[1])
+    q, h, d = retrieval.nearest_rows(rows, rows, 5)
+    want = {(a, b, x) for a in range(400) for x, _, b in sorted((float(((made[a] - made[b]) ** 2).sum()), ids[b], b) for b in range(400) if b != a)[:5]}
+    assert set(zip(q.tolist(), h.tolist(), d, strict=True)) == want and len(q) == 2000
+    assert sum(pairs) <= 400 * 4 * 6  # not each with all its equals
